@@ -34,7 +34,7 @@ def event_order(events: DataFrame, ip=None, start=None, end=None) -> DataFrame:
     return filter_time(events, start, end).orderBy("ts", *POSITION)
 
 
-def _slot(gap_seconds: int) -> Column:
+def slot_of(gap_seconds: int) -> Column:
     micros = F.unix_micros("ts")
     return (micros - F.pmod(micros, F.lit(gap_seconds * 1_000_000))).alias("slot")
 
@@ -42,7 +42,7 @@ def _slot(gap_seconds: int) -> Column:
 def slot_sums(events: DataFrame, rules: R.RuleSet = R.DEFAULT_RULES,
               gap_seconds: int = R.SESSION_GAP_SECONDS, tagged: bool = True) -> DataFrame:
     """Per (ip, ua, slot): first and last time, and the sums a session needs."""
-    keep = ["ip", "ua", _slot(gap_seconds), "ts"]
+    keep = ["ip", "ua", slot_of(gap_seconds), "ts"]
     if not tagged:
         return events.select(*keep).groupBy(*SLOT).agg(
             F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -107,7 +107,7 @@ def sessionize(events: DataFrame, gap_seconds: int = R.SESSION_GAP_SECONDS) -> D
     split over tasks by the adaptive skew join.
     """
     slots = session_slots(events, gap_seconds)
-    return events.withColumn("slot", _slot(gap_seconds)).join(slots, SLOT).drop("slot")
+    return events.withColumn("slot", slot_of(gap_seconds)).join(slots, SLOT).drop("slot")
 
 
 def session_samples(events: DataFrame, rules: R.RuleSet = R.DEFAULT_RULES,
@@ -126,7 +126,7 @@ def session_samples(events: DataFrame, rules: R.RuleSet = R.DEFAULT_RULES,
                     F.struct(F.when(F.size("tags") > 0, F.lit("tagged")).alias("kind"),
                              F.lit(SAMPLES).alias("most")))
     rows = (events.withColumn("tags", url_tags(events.columns, rules))
-            .select("ip", "ua", _slot(gap_seconds), "ts", "method", "url", "status", "tags",
+            .select("ip", "ua", slot_of(gap_seconds), "ts", "method", "url", "status", "tags",
                     *POSITION, F.inline(kinds))
             .filter("kind is not null"))
     in_slot = Window.partitionBy(*SLOT, "kind").orderBy("ts", *POSITION)

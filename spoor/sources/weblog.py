@@ -95,10 +95,11 @@ _LAYOUTS = {
 
 
 def w3c_lines(log: DataFrame) -> DataFrame:
-    """W3C lines; the layout changes every 500 rows, the first has none yet.
+    """W3C lines whose layout changes every 500 rows.
 
-    Each log row is its own line; rows that open a stretch are preceded by a
-    directive line.
+    Each log row is its own line; the fifth to eighth of a stretch, one for
+    each file, are preceded by a directive. Two of the files also start with
+    one, the others with data no header explains.
     """
     n = F.col("seq")
     layout = F.floor(n / 500) % 2
@@ -114,7 +115,7 @@ def w3c_lines(log: DataFrame) -> DataFrame:
     data = F.when(layout == 0, wide).otherwise(slim)
     directive = F.when(layout == 0, f"#Fields: {_LAYOUTS[0]}").otherwise(f"#Fields: {_LAYOUTS[1]}")
     rows = log.select("src_file", "block_start", n.alias("n"), data.alias("data"),
-                      F.when((n % 500).between(4, 7), directive).alias("directive"))
+                      F.when((n % 500).between(4, 7) | (n < 2), directive).alias("directive"))
     pair = F.array(F.struct((F.col("n") * 2).alias("seq"), F.col("directive").alias("line")),
                    F.struct((F.col("n") * 2 + 1).alias("seq"), F.col("data").alias("line")))
     return (rows.select("src_file", "block_start", F.inline(pair))
