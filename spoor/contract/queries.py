@@ -19,7 +19,7 @@ from spoor.session import configure, run_path, stage
 from spoor.sinks import write
 from spoor.sources import parse, store
 from spoor.sources import text as source_text
-from spoor.sources.weblog import combined_lines, w3c_lines, weblog
+from spoor.sources.weblog import as_lines, combined_lines, w3c_lines, weblog
 
 NOW = dt.datetime(2024, 1, 3)
 QUERIES: dict = {}
@@ -290,7 +290,7 @@ def _alb_lines(log):
         F.col("ip"), (n % 60000).cast("int"), F.col("status"), F.col("status"), F.col("bytes"),
         F.col("method"), F.col("url"), F.col("ua"),
         F.when(n % 13 == 0, "-").otherwise("ECDHE-RSA TLSv1.2 arn:tg"))
-    return _relined(log, F.when(n % 71 == 0, "short line").otherwise(line))
+    return as_lines(log, F.when(n % 71 == 0, "short line").otherwise(line))
 
 
 def _haproxy_lines(log):
@@ -299,7 +299,7 @@ def _haproxy_lines(log):
         'Feb  6 12:14:14 host haproxy[14389]: %s:%d [%s] http-in static/srv1 10/0/30/69/109 %d %d - - ---- 1/1/1/1/0 0/0 "%s %s HTTP/1.1"',
         F.col("ip"), (n % 60000).cast("int"), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss.SSS"),
         F.col("status"), F.col("bytes"), F.col("method"), F.col("url"))
-    return _relined(log, F.when(n % 67 == 0, "connect error").otherwise(line))
+    return as_lines(log, F.when(n % 67 == 0, "connect error").otherwise(line))
 
 
 def _squid_lines(log):
@@ -308,11 +308,7 @@ def _squid_lines(log):
                            F.unix_seconds("ts"), (n % 1000).cast("int"), F.col("ip"), F.col("status"),
                            F.col("bytes"), F.col("method"), F.col("url"),
                            F.when(n % 5 == 0, "alice").otherwise("-"))
-    return _relined(log, F.when(n % 73 == 0, "too few parts").otherwise(line))
-
-
-def _relined(log, line):
-    return log.select("src_file", "block_start", "seq", line.alias("line"))
+    return as_lines(log, F.when(n % 73 == 0, "too few parts").otherwise(line))
 
 
 _LINES = {"apache": combined_lines, "iis": w3c_lines, "aws_alb": _alb_lines,
@@ -369,7 +365,7 @@ def _broken(log, server):
     line = (F.when(n % 3 == 0, F.concat(F.lit("noise "), n.cast("string")))
             .when(n % 7 == 0, F.regexp_replace("line", r"\[[0-9]{2}/Jan", "[10/Foo"))
             .otherwise(F.regexp_replace("line", r'"(GET|POST|PUT) ', '"- ')))
-    return lines.withColumn("line", line)
+    return as_lines(lines, line)
 
 
 def _fired(log, server):

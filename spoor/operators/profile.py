@@ -15,7 +15,7 @@ from spoor.functions.ip import is_non_global_ip, is_valid_ip
 from spoor.functions.logtime import has_tz_offset, parse_ts_kind
 from spoor.functions.text import is_populated
 from spoor.operators.catalogue import (CATALOGUES, CLIENT_KEY, SERVER_TYPES, TIME_KEY, TIME_KIND,
-                                       keys_of)
+                                       field_catalog, keys_of)
 from spoor.operators.tokenize import tokenize
 from spoor.schema import POSITION
 
@@ -58,14 +58,22 @@ def _unparsable() -> Column:
     return F.col("logged").isNotNull() & F.col("moment").isNull()
 
 
+def _how_many(condition: Column) -> Column:
+    return F.count(F.when(condition, 1))
+
+
 def counts(rows: DataFrame, server: str) -> DataFrame:
-    """One row with every number the profile needs."""
+    """One row with every number the profile needs.
+
+    ``seen``, ``filled`` and ``samples`` hold one entry per catalogue field.
+    """
     place = F.struct(*POSITION)
+    keys = keys_of(server)
     fields = []
-    for i, key in enumerate(keys_of(server)):
+    for i, key in enumerate(keys):
         value = F.col("f")[key]
         filled = is_populated(value)
-        fields += [F.count(value).alias(f"s{i}"), F.count_if(filled).alias(f"p{i}"),
+        fields += [F.count(value).alias(f"s{i}"), _how_many(filled).alias(f"p{i}"),
                    F.min_by(F.when(filled, value), F.when(filled, place)).alias(f"v{i}")]
     parsed = F.count("f")
     sampled = parsed if server == "iis" else F.count("*")
@@ -73,13 +81,21 @@ def counts(rows: DataFrame, server: str) -> DataFrame:
     forwarded = (F.coalesce(F.bool_or(is_populated(F.col("f.x_forwarded_for"))), F.lit(False))
                  if has_xff else F.lit(False))
     client = F.col("client")
-    return rows.agg(
+    totals = rows.agg(
         sampled.alias("sampled"), parsed.alias("parsed"), *fields,
-        F.count("logged").alias("n_times"), F.count_if(_lacks_offset(server)).alias("no_offset"),
-        F.count_if(_unparsable()).alias("unparsable"), F.count("client").alias("n_clients"),
-        F.count_if(is_non_global_ip(client)).alias("n_private"), forwarded.alias("forwarded"),
+        F.count("logged").alias("n_times"), _how_many(_lacks_offset(server)).alias("no_offset"),
+        _how_many(_unparsable()).alias("unparsable"), F.count("client").alias("n_clients"),
+        _how_many(is_non_global_ip(client)).alias("n_private"), forwarded.alias("forwarded"),
         F.coalesce(F.bool_or(~client.contains(":") & is_valid_ip(client)), F.lit(False)).alias("any_v4"),
         F.coalesce(F.bool_or(client.contains(":")), F.lit(False)).alias("any_v6"))
+    lists = [F.array(*[F.col(f"{p}{i}") for i in range(len(keys))]).alias(name)
+             for p, name in (("s", "seen"), ("p", "filled"), ("v", "samples"))]
+    return totals.select("sampled", "parsed", *lists, "n_times", "no_offset", "unparsable",
+                         "n_clients", "n_private", "forwarded", "any_v4", "any_v6")
+
+
+def _of(numbers: str, place: int) -> Column:
+    return F.get(F.col(numbers), F.lit(place))
 
 
 def _ratio(part: Column, digits: int) -> Column:
@@ -88,19 +104,18 @@ def _ratio(part: Column, digits: int) -> Column:
 
 def field_presence(totals: DataFrame, server: str) -> DataFrame:
     """One row per catalogue field with its presence, a sample and a note."""
-    rows = []
-    for i, (key, label, category, ecs, description) in enumerate(CATALOGUES[server]):
-        seen, filled = F.col(f"s{i}"), F.col(f"p{i}")
-        ratio = _ratio(seen, 2)
-        note = (F.when((seen > 0) & (filled == 0), "present but never filled")
-                .when((ratio > 0) & (ratio < 0.9), "only in some lines").otherwise(""))
-        rows.append(F.struct(
-            F.lit(i).alias("place"), F.lit(key).alias("key"), F.lit(label).alias("label"),
-            F.lit(category).alias("category"), F.lit(description).alias("description"),
-            F.lit(ecs).alias("ecs"), (seen > 0).alias("present"),
-            ratio.alias("presence_ratio"), _ratio(filled, 2).alias("populated_ratio"),
-            F.coalesce(f"v{i}", F.lit("")).alias("sample"), note.alias("note")))
-    return totals.select(F.inline(F.array(*rows)))
+    numbers = totals.select("parsed", F.posexplode(F.arrays_zip("seen", "filled", "samples"))
+                            .alias("place", "n"))
+    fields = field_catalog(totals.sparkSession).filter(F.col("server_type") == server)
+    ratio = _ratio(F.col("n.seen"), 2)
+    rows = fields.join(numbers, "place").withColumn("presence_ratio", ratio)
+    present, share = F.col("n.seen") > 0, F.col("presence_ratio")
+    note = (F.when(present & (F.col("n.filled") == 0), "present but never filled")
+            .when((share > 0) & (share < 0.9), "only in some lines").otherwise(""))
+    return rows.select("place", "key", "label", "category", "description", "ecs",
+                       present.alias("present"), "presence_ratio",
+                       _ratio(F.col("n.filled"), 2).alias("populated_ratio"),
+                       F.coalesce("n.samples", F.lit("")).alias("sample"), note.alias("note"))
 
 
 def field_notes(presence: DataFrame) -> DataFrame:
@@ -112,14 +127,14 @@ def profile_summary(totals: DataFrame, server: str) -> DataFrame:
     rows = list(enumerate(CATALOGUES[server]))
 
     def present(category=None) -> Column:
-        hits = [F.when(F.col(f"s{i}") > 0, 1).otherwise(0) for i, r in rows
+        hits = [F.when(_of("seen", i) > 0, 1).otherwise(0) for i, r in rows
                 if category in (None, r[2])]
         return sum(hits, F.lit(0)).cast("bigint")
 
     def total(category) -> Column:
         return F.lit(sum(r[2] == category for _, r in rows)).cast("bigint")
 
-    missing = F.array_compact(F.array(*[F.when(F.col(f"s{i}") == 0, F.lit(r[1]))
+    missing = F.array_compact(F.array(*[F.when(_of("seen", i) == 0, F.lit(r[1]))
                                         for i, r in rows if r[2] == "core"]))
     return totals.select(
         F.lit(server).alias("server_type"), F.lit(SERVER_TYPES[server]).alias("server_label"),
@@ -221,11 +236,11 @@ def _checks(server: str) -> list[Column]:
                          F.lit("Both IPv4 and IPv6 clients occur")))
     if server == "iis":
         i = keys_of("iis").index("cs-uri-query")
-        result.append(_check("query_string_empty", (c(f"s{i}") > 0) & (c(f"p{i}") == 0), "medium",
+        result.append(_check("query_string_empty", (_of("seen", i) > 0) & (_of("filled", i) == 0), "medium",
                              F.lit("The query column is logged but never filled")))
     for i, row in enumerate(CATALOGUES[server]):
         if row[2] == "core":
-            result.append(_check("empty_core_field", (c(f"s{i}") > 0) & (_ratio(c(f"p{i}"), 2) == 0),
+            result.append(_check("empty_core_field", (_of("seen", i) > 0) & (_ratio(_of("filled", i), 2) == 0),
                                  "high", F.lit(f"Core field {row[1]} is present but never filled")))
     return result
 
