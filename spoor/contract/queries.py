@@ -364,7 +364,8 @@ def _broken(log, server):
         return lines
     line = (F.when(n % 3 == 0, F.concat(F.lit("noise "), n.cast("string")))
             .when(n % 7 == 0, F.regexp_replace("line", r"\[[0-9]{2}/Jan", "[10/Foo"))
-            .otherwise(F.regexp_replace("line", r'"(GET|POST|PUT) ', '"- ')))
+            .otherwise(F.col("line")))
+    line = F.regexp_replace(line, r'"(GET|POST|PUT) ', '"- ')
     return as_lines(lines, line)
 
 
@@ -389,7 +390,7 @@ _simple("chk_non_chronological", lambda log: profile.backsteps(
 @query("chk_query_string_empty")
 def _(spark, log):
     bare = log.withColumn("url", F.substring_index("url", "?", 1))
-    rows = profile.observed(w3c_lines(bare), "iis")
+    rows = profile.observed(w3c_lines(bare, layouts=1), "iis")
     return (profile.discrepancies(rows, profile.counts(rows, "iis"), "iis")
             .filter(F.col("check") == "query_string_empty").drop("message"))
 

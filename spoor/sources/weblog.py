@@ -96,15 +96,15 @@ _LAYOUTS = {
 }
 
 
-def w3c_lines(log: DataFrame) -> DataFrame:
-    """W3C lines whose layout changes every 500 rows.
+def w3c_lines(log: DataFrame, layouts: int = 2) -> DataFrame:
+    """W3C lines whose layout changes every 500 rows, unless ``layouts`` is 1.
 
     Each log row is its own line; the fifth to eighth of a stretch, one for
     each file, are preceded by a directive. Two of the files also start with
     one, the others with data no header explains.
     """
     n = F.col("seq")
-    layout = F.floor(n / 500) % 2
+    layout = F.floor(n / 500) % layouts
     stem, query = F.substring_index("url", "?", 1), F.regexp_extract("url", r"\?(.*)$", 1)
     ua = F.replace(F.col("ua"), F.lit(" "), F.lit("+"))
     when = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
