@@ -441,8 +441,7 @@ def oracle_sql() -> dict[str, str]:
       FULL JOIN (SELECT CAST(c AS BIGINT) AS case_id, count(*) AS findings FROM found, (VALUES (2), (9)) v(c) GROUP BY 1) b
       ON a.case_id = b.case_id""")
 
-    o["event_order"] = _with(LOG, f"""SELECT ts, seq, url FROM w WHERE ip = '{LEAD_IP}'
-      AND ts >= TIMESTAMP '2024-01-01 02:00:00'""")
+    o["event_order"] = _with(LOG, "SELECT ts, seq, url FROM w")
     o["sessionize"] = _with(SESS, """SELECT e.seq, e.session_no, s."start" AS session_start, s."end" AS session_end
       FROM e JOIN s USING (ip, ua, session_no)""")
     o["session_rollup"] = _with(SESS, "SELECT * EXCLUDE (phase) FROM s")

@@ -211,8 +211,7 @@ def _(spark, log):
 
 # --- sessions, phases, chains -------------------------------------------------
 
-_simple("event_order", lambda log: correlate.event_order(log, LEAD_IP, "2024-01-01 02:00:00")
-        .select("ts", "seq", "url"))
+_simple("event_order", lambda log: correlate.event_order(log).select("ts", "seq", "url"))
 _simple("sessionize", lambda log: correlate.sessionize(log)
         .select("seq", "session_no", "session_start", "session_end"))
 _simple("session_rollup", lambda log: correlate.session_rollup(log))
@@ -403,8 +402,9 @@ _simple("discrepancies", _each(_fired, ("apache", "iis")))
 @query("write_findings")
 def _(spark, log):
     path = run_path(spark, "findings")
-    write.write_findings(_all(log, 1).unionByName(_all(log, 2)), path)
-    write.write_findings(detect.find_enum_404(log, ENUM, case_id=2, now=NOW), path)
+    for case_id in (1, 2):
+        write.write_findings(_all(log, case_id), path, case_id)
+    write.write_findings(detect.find_enum_404(log, ENUM, case_id=2, now=NOW), path, 2)
     return spark.read.parquet(path).groupBy("case_id", "rule").agg(
         F.count("*").alias("n"), F.sum("count").alias("hits"))
 

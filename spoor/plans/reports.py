@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spoor import rules as R
 from spoor.operators import correlate, describe, detect, enrich, profile
 from spoor.session import configure, stage
-from spoor.sinks.write import clear_findings, write_findings
+from spoor.sinks.write import write_findings
 from spoor.sources.store import read_case
 
 
@@ -19,12 +20,9 @@ def run_analysis(spark: SparkSession, events_path: str, findings_path: str, case
     configure(spark)
     events = read_case(spark, events_path, case_id)
     found = detect.all_findings(events, rules, case_id=case_id, now=now, thresholds=thresholds)
-    found = stage(found, "findings")
-    if found.isEmpty():
-        clear_findings(found, findings_path, case_id)
-    else:
-        write_findings(found, findings_path)
-    return detect.findings_by_severity(found)
+    write_findings(found, findings_path, case_id)
+    stored = spark.read.schema(found.schema).parquet(findings_path)
+    return detect.findings_by_severity(stored.filter(F.col("case_id") == case_id))
 
 
 @dataclass

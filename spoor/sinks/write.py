@@ -8,20 +8,14 @@ from pyspark.sql import functions as F
 from spoor.operators import describe as D
 
 
-def write_findings(findings: DataFrame, path: str) -> None:
-    """Replace the findings of the cases present in ``findings``; others stay.
+def write_findings(findings: DataFrame, path: str, case_id: int) -> None:
+    """Replace the stored findings of one case; other cases stay untouched.
 
-    A case whose new set is empty has no row to carry its number; clear it
-    with ``clear_findings``.
+    The case's partition folder is written directly, so that a run without any
+    finding also clears what an earlier run left.
     """
-    (findings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("case_id").parquet(path))
-
-
-def clear_findings(findings_table: DataFrame, path: str, case_id: int) -> None:
-    """Drop the findings of one case by writing an empty partition file."""
-    empty = findings_table.filter(F.lit(False)).drop("case_id")
-    empty.write.mode("overwrite").parquet(f"{path}/case_id={int(case_id)}")
+    (findings.filter(F.col("case_id") == case_id).drop("case_id")
+     .write.mode("overwrite").parquet(f"{path}/case_id={int(case_id)}"))
 
 
 def timeline_table(sessions: DataFrame) -> DataFrame:

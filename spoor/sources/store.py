@@ -23,11 +23,9 @@ def write_events(events: DataFrame, path: str, case_id: int,
     the rule table runs once and not in every later query. To apply another
     rule table later, drop the ``tags`` column after reading.
     """
-    (validate_event(events)
-     .withColumn("tags", tag_url(F.col("url"), rules))
-     .withColumn("status", F.col("status").try_cast("int"))
-     .withColumn("ip_key", ip_key(F.col("ip")))
-     .withColumn("case_id", F.lit(case_id))
+    (validate_event(events.withColumn("ip_key", ip_key(F.col("ip"))))
+     .withColumns({"tags": tag_url(F.col("url"), rules),
+                   "status": F.col("status").try_cast("int"), "case_id": F.lit(case_id)})
      .write.mode("append").partitionBy("case_id", "verdict").parquet(path))
 
 
