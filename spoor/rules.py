@@ -46,27 +46,36 @@ def _words(prefix: str, words: str) -> list[str]:
     return [prefix + re.escape(w) for w in words.split()]
 
 
-def _groups(patterns: Iterable[str]) -> dict[str, str]:
+def _groups(patterns: Iterable[str]) -> dict[str, list[str]]:
+    """First literal of each pattern to the remainders that follow it."""
     groups: dict[str, list[str]] = {}
     for pattern in patterns:
         head = pattern[:2] if pattern[0] == "\\" else pattern[0]
         groups.setdefault(head, []).append(pattern[len(head):])
-    return {head: f"{head}(?:{'|'.join(rest)})" for head, rest in groups.items()}
+    return groups
 
 
 def by_first(patterns: Iterable[str]) -> str:
     """One alternation, grouped by first literal, so that a search position
     whose character starts no pattern is left after a few comparisons."""
-    return "|".join(_groups(patterns).values())
+    return "|".join(f"{head}(?:{'|'.join(rest)})" for head, rest in _groups(patterns).items())
 
 
-def by_first_class(patterns: Iterable[str], size: int = 5) -> str:
-    """As ``by_first`` with a character-class test before every few groups.
-    Uses a look-ahead, so for Spark only."""
+def _by_second(rest: list[str]) -> str:
+    """Group remainders once more where they go on with a plain character."""
+    plain = [r for r in rest if re.match(r"(?:[a-z0-9/_]|\\[.\-])(?![*+?{])", r, re.I)]
+    other = [r for r in rest if r not in plain]
+    return "|".join(([by_first(plain)] if plain else []) + other)
+
+
+def by_first_class(patterns: Iterable[str], size: int = 8) -> str:
+    """As ``by_first``, grouped by two characters and with a character-class
+    test before every few groups. Uses a look-ahead, so for Spark only."""
     groups = sorted(_groups(patterns).items())
     chunks = [groups[i:i + size] for i in range(0, len(groups), size)]
-    return "|".join(f"(?=[{''.join(h for h, _ in c)}])(?:{'|'.join(p for _, p in c)})"
-                    for c in chunks)
+    return "|".join(
+        f"(?=[{''.join(h for h, _ in c)}])(?:{'|'.join(f'{h}(?:{_by_second(r)})' for h, r in c)})"
+        for c in chunks)
 
 
 # Characters and sequences that make a URL worth the full rule table: all but
