@@ -9,11 +9,10 @@ from spoor.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = build_session("spoor-tests", "local[8]", {
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-        "spark.driver.memory": "6g",
-        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
+        "spark.driver.memory": "6g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
