@@ -36,6 +36,8 @@ def _wishes(labels: DataFrame, links: DataFrame, n: int) -> DataFrame:
     home = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(n))
     counts = counts.select("key", *[(F.col(f"c{j}") + F.when(home == j, 0.5).otherwise(0.0)).alias(f"c{j}")
                                     for j in range(n)])
+    # Written first: a join of two plain exchanges is one whose hot keys Spark can split.
+    counts = stage(counts, "shard-counts")
     votes = links.join(counts, "key").groupBy("v").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(n)])
     best = F.greatest(*[F.struct(F.col(f"c{j}").alias("votes"), F.lit(n - j).alias("late")) for j in range(n)])
     here = F.element_at(F.array(*[F.col(f"c{j}") for j in range(n)]), F.col("shard") + 1)
@@ -118,8 +120,8 @@ def balanced_shards(vertices: DataFrame, links: DataFrame, n: int = 8, rounds: i
     Vertices without links only even out. Empty tables give an empty result; ties go to the
     home shard of the key, then to the smaller shard. The driver sees n x n sums at most.
     """
-    links = links.filter("v is not null and key is not null").select("v", "key").distinct()
-    shared = links.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    links = stage(links.filter("v is not null and key is not null").select("v", "key").distinct(), "shard-all-links")
+    shared = stage(links.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shard-keys")
     links = stage(links.join(shared, "key"), "shard-links")
     linked = links.select("v").distinct().withColumn("linked", F.lit(True))
     start = F.pmod(F.xxhash64("v"), F.lit(n)).cast("int")
