@@ -36,6 +36,23 @@ def remainder(column: str, divisor: int) -> Column:
 
 
 
+def hash_sample(rows: DataFrame, id_column: str, size: int, parts: Sequence[str] = ()) -> DataFrame:
+    """About twice ``size`` rows of each part: those whose id has a small enough hash, all if there are fewer.
+
+    The share follows from a count of the part, so that what a later top-n gathers does not grow with the
+    number of tasks. Rows of one id are all in or all out.
+    """
+    steps = 1 << 30
+    if parts:
+        # Staged, so that the planner broadcasts the counts only if they are small.
+        counts = stage(rows.groupBy(*parts).agg(F.count("*").alias("_n")), "sample-counts")
+        joined = rows.join(counts, list(parts))
+    else:
+        joined = rows.withColumn("_n", F.lit(max(1, rows.count())))
+    low = F.pmod(F.xxhash64(id_column), F.lit(steps))
+    return joined.filter(low < F.least(F.lit(1.0), F.lit(2.0 * size) / F.col("_n")) * steps).drop("_n")
+
+
 def running(rows: DataFrame, parts: Sequence[str], bucket: str, order: Sequence[str], size: Column,
             into: str = "before") -> DataFrame:
     """Sum of ``size`` over the rows before each row, in the order (bucket, order) of its part.

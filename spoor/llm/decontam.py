@@ -202,4 +202,4 @@ def leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", item_col
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of ``docs`` that hold no benchmark item; rows with a null doc_id stay."""
     found = stage(leaks(docs, items).select(F.col("doc_id").alias("_leak")).distinct(), "leak-docs")
-    return docs.join(found, docs["doc_id"] == F.col("_leak"), "left_anti")
+    return docs.join(found, docs["doc_id"] == found["_leak"], "left_anti")

@@ -225,5 +225,6 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     # Staged, so that the planner knows the size and broadcasts only a small table.
     paths = stage(host_paths(pages), "extract-paths").withColumnsRenamed({"host": "_host", "winners": "_winners"})
-    joined = pages.join(paths, host_of(pages["url"]) == F.col("_host"), "left")
-    return joined.withColumn("main_text", F.pandas_udf(of, "string")("html", "_winners")).drop("_host", "_winners")
+    joined = pages.join(paths, host_of(pages["url"]) == paths["_host"], "left")
+    text = F.pandas_udf(of, "string")(pages["html"], paths["_winners"])
+    return joined.withColumn("main_text", text).drop(paths["_host"], paths["_winners"])

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spoor.llm.common import hash_sample
+
 DIMS = 1 << 12            # hashed n-grams
 SAMPLE_PER_LANG = 1500    # rows that a language's centroids are fitted on, at most
 CENTROIDS = 4
@@ -127,7 +129,7 @@ def fit_languages(rows: DataFrame) -> LanguageModel:
         df[r.gram] = r.df
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).filter(
+    ids = hash_sample(rows.select("doc_id", "lang"), "doc_id", SAMPLE_PER_LANG, ["lang"]).withColumn("n", F.row_number().over(first)).filter(
         F.col("n") <= SAMPLE_PER_LANG).select("doc_id").distinct()
     # At most SAMPLE_PER_LANG numbers for each language: a bounded table.
     sample = rows.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id", "lang"])
@@ -138,8 +140,8 @@ def fit_languages(rows: DataFrame) -> LanguageModel:
     return LanguageModel(idf, vectors, [r.lang for r in fitted])
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` and ``prediction``: struct(lang_pred, score, rejected).
+def predict_languages(docs: DataFrame, model: LanguageModel, into: str = "prediction") -> DataFrame:
+    """All columns of ``docs`` and ``into``: struct(lang_pred, score, rejected).
 
     Null texts and texts without a letter are ``und`` with score 0 and rejected. A text whose cosine
     to all centroids is below ``REJECT_AT`` keeps its nearest language and is rejected. Ties go to
@@ -147,4 +149,4 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
-    return docs.withColumn("prediction", F.pandas_udf(of, "lang_pred string, score double, rejected boolean")("text"))
+    return docs.withColumn(into, F.pandas_udf(of, "lang_pred string, score double, rejected boolean")("text"))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spoor.llm.common import hash_sample
+
 WORD_DIMS = 1 << 13       # hashed words
 STATS = ("bias_length", "upper", "digit", "symbol", "space", "word_length", "long_word", "distinct_words",
          "top_word", "distinct_lines", "line_length", "stop_end", "capital_start", "short", "repeat_next", "pipes")
@@ -110,8 +112,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> FactorisationMachine:
     Features are computed in the tasks; the driver gets TRAIN_ROWS x WORD_DIMS values at most.
     """
     own = (labels.filter("quality is not null and doc_id is not null").groupBy("doc_id")
-           .agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS))
+           .agg((F.avg("quality") >= 0.5).cast("int").alias("label")))
+    own = hash_sample(own, "doc_id", TRAIN_ROWS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
 
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([features(t) for t in texts], columns=["at", "x"])
@@ -124,12 +126,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> FactorisationMachine:
     return fit([(np.array(r.f.at, np.int32), np.array(r.f.x, np.float32)) for r in rows], [r.label for r in rows])
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
-    """All columns of ``docs`` and ``quality_score`` (0 to 1; higher: good likelier).
+def score_quality(docs: DataFrame, model: FactorisationMachine, into: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` and ``into`` (0 to 1; higher: good likelier).
 
     Only ``text`` is read. Null and empty texts are scored by their structure alone. Equal texts
     have equal scores.
     """
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) for t in texts], dtype="float64")
-    return docs.withColumn("quality_score", F.pandas_udf(of, "double")("text"))
+    return docs.withColumn(into, F.pandas_udf(of, "double")("text"))

@@ -132,7 +132,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("lead")
     kept = stage(members.groupBy("root").agg(lead).select(
         F.col("lead.doc_id").alias("_doc"), F.col("lead.mark").alias("_mark")).distinct(), "simhash-kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_mark")), "left_semi")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_doc"]) & (F.xxhash64(docs["text"]) == kept["_mark"]), "left_semi")
     if members.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         return out
     return out.dropDuplicates(["doc_id", "text"])
