@@ -16,16 +16,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drop texts without a letter and texts too far from every language."""
     small_batches(spark)
     model = langid.fit_languages(docs.filter(remainder("doc_id", 3) != 1))
-    found = langid.predict_languages(docs, model)
-    return found.filter(~F.col("prediction.rejected")).select(*docs.columns)
+    found = langid.predict_languages(docs, model, "_language_found")
+    return found.filter(~F.col("_language_found.rejected")).select(*docs.columns)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what scores at least ``quality.PREDICT_AT``."""
     small_batches(spark)
     labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 4) != 2)
-    scored = quality.score_quality(docs, quality.fit_quality(docs, labels))
-    return scored.filter(F.col("quality_score") >= quality.PREDICT_AT).select(*docs.columns)
+    scored = quality.score_quality(docs, quality.fit_quality(docs, labels), "_quality_found")
+    return scored.filter(F.col("_quality_found") >= quality.PREDICT_AT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
