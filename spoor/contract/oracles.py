@@ -86,7 +86,7 @@ _BRUTE = f"""brute AS (SELECT ip, max(n) AS worst, CAST(sum(n) AS BIGINT) AS tot
 _MISS = f"""miss AS (SELECT ip, count(*) AS n, min(ts) AS f, max(ts) AS l FROM w WHERE status = 404 GROUP BY ip)"""
 _FLEET = """fleet AS (SELECT ip, count(*) AS n, sum(bytes) AS total FROM w GROUP BY ip),
   stat AS (SELECT count(*) AS k, avg(total) AS mean, stddev_pop(total) AS sigma FROM fleet)"""
-_RARE = """rare AS (SELECT ua, count(*) AS n FROM w GROUP BY ua ORDER BY n, ua LIMIT 25)"""
+_RARE = """rare AS (SELECT ua, count(*) AS n FROM w GROUP BY ua)"""
 _HOURS = """hrs AS (SELECT CAST(epoch(ts) AS BIGINT) // 3600 AS h, count(*) AS n FROM w GROUP BY h),
   every AS (SELECT unnest(generate_series(min(h)::BIGINT, max(h)::BIGINT)) AS h FROM hrs),
   filled AS (SELECT every.h, coalesce(n, 0) AS n FROM every LEFT JOIN hrs USING (h)),

@@ -29,7 +29,16 @@ def domain_of(vhost: Column, referrer: Column, strip_port: bool = True) -> Colum
 
 
 def _matches(url: Column, rule: R.Rule) -> Column:
-    return url.rlike(f"(?i){rule.pattern}")
+    return _search(url, rule.pattern)
+
+
+def _search(url: Column, pattern: str) -> Column:
+    """Repeated blanks are searched as single characters: repeating a group with
+    alternatives takes a stack as deep as the URL is long."""
+    if R.BLANK not in pattern:
+        return url.rlike(f"(?i){pattern}")
+    plain = F.replace(F.replace(url, F.lit("%20"), F.lit(" ")), F.lit("/**/"), F.lit(" "))
+    return plain.rlike(f"(?i){pattern.replace(R.BLANK, '[ +]')}")
 
 
 def is_suspect(url: Column, rules: R.RuleSet = R.DEFAULT_RULES) -> Column:
@@ -37,7 +46,7 @@ def is_suspect(url: Column, rules: R.RuleSet = R.DEFAULT_RULES) -> Column:
     URLs the rule table."""
     if rules.suspect is None:
         return F.lit(True)
-    return url.rlike(f"(?i){rules.suspect}")
+    return _search(url, rules.suspect)
 
 
 def tag_url(url: Column, rules: R.RuleSet = R.DEFAULT_RULES) -> Column:

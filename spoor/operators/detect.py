@@ -11,6 +11,7 @@ from spoor import rules as R
 from spoor.functions.ip import ip_key
 from spoor.functions.text import is_scanner_ua, severity_rank, url_tags
 from spoor.schema import FINDING_COLUMNS, MAX_SAMPLE, POSITION
+from spoor.session import stage
 
 SCANNER = ("scanner_ua", "medium", "Client is a known scanner or script")
 METHOD = ("dangerous_method", "medium", "Uncommon or state-changing HTTP method")
@@ -86,19 +87,19 @@ def _labelled_findings(events, labels, rules, max_ips, case_id, now) -> DataFram
 
 
 def find_signatures(events: DataFrame, rules: R.RuleSet = R.DEFAULT_RULES,
-                    max_ips: int | None = R.MAX_IPS, case_id: int = 0, now=None) -> DataFrame:
+                    max_ips: int | None = None, case_id: int = 0, now=None) -> DataFrame:
     """One finding per rule and address, from a single scan for all rules."""
     tags = url_tags(events.columns, rules)
     return _labelled_findings(events, tags, rules, max_ips, case_id, now)
 
 
-def find_scanner_ua(events: DataFrame, max_ips: int | None = R.MAX_IPS, case_id: int = 0,
+def find_scanner_ua(events: DataFrame, max_ips: int | None = None, case_id: int = 0,
                     now=None) -> DataFrame:
     hits = events.filter(is_scanner_ua(F.col("ua")))
     return _labelled_findings(hits, F.array(F.lit(SCANNER[0])), None, max_ips, case_id, now)
 
 
-def find_dangerous_method(events: DataFrame, max_ips: int | None = R.MAX_IPS, case_id: int = 0,
+def find_dangerous_method(events: DataFrame, max_ips: int | None = None, case_id: int = 0,
                           now=None) -> DataFrame:
     hits = events.filter(F.col("method").isin(*R.UNCOMMON_METHODS))
     return _labelled_findings(hits, F.array(F.lit(METHOD[0])), None, max_ips, case_id, now)
@@ -113,26 +114,26 @@ def _busiest(per_ip: DataFrame, n: int | None, measure: str = "count") -> DataFr
 
 def find_brute_force(events: DataFrame, threshold: int = R.BRUTE_FORCE_THRESHOLD,
                      window_seconds: int = R.BRUTE_FORCE_WINDOW_SECONDS,
-                     max_ips: int | None = R.MAX_IPS, case_id: int = 0, now=None) -> DataFrame:
+                     max_ips: int | None = None, case_id: int = 0, now=None) -> DataFrame:
     """Addresses whose worst window of refused logins reaches the threshold."""
     slot = F.floor(F.unix_seconds("ts") / window_seconds)
     windows = (events.filter(F.col("status").isin(*R.AUTH_FAILURES))
                .groupBy(F.col("ip").alias("source_ip"), slot.alias("slot"))
                .agg(F.count("*").alias("n")))
     per_ip = windows.groupBy("source_ip").agg(F.max("n").alias("worst"), F.sum("n").alias("count"))
-    rows = _busiest(per_ip, max_ips).filter(F.col("worst") >= threshold)
+    rows = _busiest(per_ip.filter(F.col("worst") >= threshold), max_ips)
     text = F.format_string(f"%d refused logins (401/403) within {window_seconds // 60} minutes",
                            F.col("worst"))
     return _findings(_with_rule(rows, "brute_force", "high", text), case_id, now)
 
 
 def find_enum_404(events: DataFrame, threshold: int = R.ENUM_404_THRESHOLD,
-                  max_ips: int | None = R.MAX_IPS, case_id: int = 0, now=None) -> DataFrame:
+                  max_ips: int | None = None, case_id: int = 0, now=None) -> DataFrame:
     """Addresses that ask for many missing paths."""
     per_ip = events.filter(F.col("status") == 404).groupBy(F.col("ip").alias("source_ip")).agg(
         F.count("*").alias("count"), F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"))
-    rows = _busiest(per_ip, max_ips).filter(F.col("count") >= threshold)
+    rows = _busiest(per_ip.filter(F.col("count") >= threshold), max_ips)
     text = F.format_string("%d responses were 404: path enumeration", F.col("count"))
     return _findings(_with_rule(rows, "enumeration_404", "medium", text), case_id, now)
 
@@ -150,31 +151,34 @@ def find_enum_404_ratio(events: DataFrame, min_requests: int = 30, min_ratio: fl
 
 
 def find_exfil_bytes(events: DataFrame, min_bytes: int = R.EXFIL_MIN_BYTES,
-                     candidates: int = R.EXFIL_CANDIDATES, min_ips: int = R.EXFIL_MIN_IPS,
+                     candidates: int | None = None, min_ips: int = R.EXFIL_MIN_IPS,
                      sigmas: float = 3.0, case_id: int = 0, now=None) -> DataFrame:
-    """Addresses that received far more bytes than the busiest ones on average."""
-    per_ip = events.groupBy(F.col("ip").alias("source_ip")).agg(
-        F.count("*").alias("count"), F.sum("bytes").alias("total"))
-    # At most ``candidates`` rows are left, so an unpartitioned window is cheap.
-    fleet = Window.partitionBy()
-    rows = (_busiest(per_ip, candidates)
-            .withColumns({"n": F.count("*").over(fleet), "mean": F.avg("total").over(fleet),
-                          "sigma": F.stddev_pop("total").over(fleet)})
-            .filter((F.col("n") >= min_ips) & (F.col("total") > min_bytes)
-                    & (F.col("sigma") > 0)
-                    & (F.col("total") > F.col("mean") + sigmas * F.col("sigma"))))
+    """Addresses that received far more bytes than the average address.
+
+    Mean and deviation are one row, read when the frame is made; no address is left out and no
+    task sees all of them. ``candidates`` compares the busiest addresses only.
+    """
+    per_ip = _busiest(stage(events.groupBy(F.col("ip").alias("source_ip")).agg(
+        F.count("*").alias("count"), F.sum("bytes").alias("total")), "bytes-by-ip"), candidates)
+    fleet = per_ip.agg(F.count("total").alias("n"), F.avg("total").alias("mean"),
+                       F.stddev_pop("total").alias("sigma")).first()
+    usual = fleet.n >= min_ips and (fleet.sigma or 0) > 0
+    bound = (fleet.mean or 0.0) + sigmas * (fleet.sigma or 0.0)
+    rows = per_ip.withColumn("mean", F.lit(fleet.mean or 0.0)).filter(
+        F.lit(usual) & (F.col("total") > min_bytes) & (F.col("total") > bound))
     text = F.format_string("%.1f MB sent to one address against a mean of %.1f MB",
                            F.col("total") / 1048576, F.col("mean") / 1048576)
     return _findings(_with_rule(rows, "exfil_bytes", "high", text), case_id, now)
 
 
 def find_rare_ua(events: DataFrame, max_count: int = R.RARE_UA_MAX_COUNT,
-                 candidates: int = R.RARE_UA_CANDIDATES, case_id: int = 0,
+                 candidates: int | None = None, case_id: int = 0,
                  now=None) -> DataFrame:
-    """Clients among the least frequent that were seen only a few times."""
-    rows = (events.groupBy(F.col("ua").alias("sample")).agg(F.count("*").alias("count"))
-            .orderBy("count", "sample").limit(candidates)
-            .filter((F.col("count") <= max_count) & ~F.col("sample").isin("", "-")))
+    """Clients that were seen only a few times; ``candidates`` looks at the least frequent ones only."""
+    rows = events.groupBy(F.col("ua").alias("sample")).agg(F.count("*").alias("count"))
+    if candidates is not None:
+        rows = rows.orderBy("count", "sample").limit(candidates)
+    rows = rows.filter((F.col("count") <= max_count) & ~F.col("sample").isin("", "-"))
     return _findings(_with_rule(rows, "rare_user_agent", "low",
                                 F.lit("Client was seen only a few times")), case_id, now)
 
@@ -215,7 +219,7 @@ def find_traffic_spike(events: DataFrame, zscore: float = R.SPIKE_ZSCORE,
 
 
 def all_findings(events: DataFrame, rules: R.RuleSet = R.DEFAULT_RULES,
-                 max_ips: int | None = R.MAX_IPS, case_id: int = 0, now=None,
+                 max_ips: int | None = None, case_id: int = 0, now=None,
                  thresholds: dict | None = None) -> DataFrame:
     """Every finding of a case. Signatures, clients and methods share one scan.
 

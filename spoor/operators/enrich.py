@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from spoor.functions.ip import ip_key, is_non_global_ip
 from spoor.functions.text import reputation_band
 
-MAX_CASE_IPS = 10000
 CACHE_HOURS = 24
 
 
-def case_source_ips(events: DataFrame, limit: int = MAX_CASE_IPS) -> DataFrame:
-    """``ip, count`` of the most frequent addresses, ties in address order."""
-    return (events.groupBy("ip").agg(F.count("*").alias("count"))
-            .orderBy(F.desc("count"), ip_key(F.col("ip")), "ip").limit(limit))
+def case_source_ips(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """``ip, count`` of all addresses, or of the ``limit`` most frequent, ties in address order."""
+    counts = events.groupBy("ip").agg(F.count("*").alias("count"))
+    if limit is None:
+        return counts
+    return counts.orderBy(F.desc("count"), ip_key(F.col("ip")), "ip").limit(limit)
 
 
 def listed(ips: DataFrame, order: Column, source: int) -> DataFrame:

@@ -48,8 +48,10 @@ def test_bytes_outlier(events_of):
 def test_rare_clients(events_of):
     rows = [{"ua": f"u{i:02d}"} for i in range(26)] + [{"ua": "a"}] * 5 + [{"ua": ""}, {"ua": "-"}]
     names = {f["sample"] for f in detect.find_rare_ua(events_of(rows)).collect()}
+    assert names == {"a", *(f"u{i:02d}" for i in range(26))}
     # "" and "-" sort first and use two of the 25 places.
-    assert names == {f"u{i:02d}" for i in range(23)}
+    cut = detect.find_rare_ua(events_of(rows), candidates=25).collect()
+    assert {f["sample"] for f in cut} == {f"u{i:02d}" for i in range(23)}
     five = detect.find_rare_ua(events_of([{"ua": "a"}] * 5 + [{"ua": "b"}] * 6)).collect()
     assert [(f["sample"], f["count"]) for f in five] == [("a", 5)]
 
@@ -97,7 +99,7 @@ def test_uncapped_counts_equal_tagged_rows(events_of):
 
 
 def test_cut_per_rule_trims_before_the_shuffle(events_of):
-    plan = detect.find_signatures(events_of([{"url": "/.git/"}]))._jdf.queryExecution().toString()
+    plan = detect.find_signatures(events_of([{"url": "/.git/"}]), max_ips=20)._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 2
 
 
@@ -116,3 +118,15 @@ def test_listing_order(events_of):
             {"ip": "1.0.0.1", "url": "/.git/"}, {"ip": "1.0.0.3", "url": "/.env"}]
     found = detect.list_findings(detect.find_signatures(events_of(rows), now=NOW)).collect()
     assert [(f["severity"], f["count"]) for f in found] == [("critical", 1), ("high", 2), ("high", 1)]
+
+
+def test_defaults_lose_no_address(events_of):
+    slow = [{"ip": f"10.{i // 250}.{i % 250}.1", "status": 401, "s": 400 * k} for i in range(210) for k in range(6)]
+    quick = [{"ip": "9.9.9.1", "status": 401, "s": k} for k in range(5)]
+    found = detect.find_brute_force(events_of(slow + quick), threshold=5).collect()
+    assert [f["source_ip"] for f in found] == ["9.9.9.1"]
+    cut = detect.find_brute_force(events_of(slow + quick), threshold=5, max_ips=1).collect()
+    assert [f["source_ip"] for f in cut] == ["9.9.9.1"]
+    busy = [{"ip": f"10.{i // 250}.{i % 250}.1", "bytes": 1} for i in range(510) for _ in range(2)]
+    large = [{"ip": "9.9.9.2", "bytes": 50 * 1024 ** 3}]
+    assert [f["source_ip"] for f in detect.find_exfil_bytes(events_of(busy + large)).collect()] == ["9.9.9.2"]

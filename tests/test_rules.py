@@ -127,3 +127,23 @@ def test_guard_passes_whatever_a_rule_matches(spark):
     held = spark.createDataFrame([(u,) for u in urls], "url string").filter(
         ~is_suspect(F.col("url"))).collect()
     assert held == []
+
+
+def test_hostile_urls_and_lines_cost_time_in_proportion(spark):
+    from pyspark.sql import functions as F
+
+    from spoor.functions.text import tag_url
+    from spoor.operators.tokenize import tokenize
+    from spoor.sources.parse import parse_combined
+    leads = ["/?q=union", "/?q='", "/?a=;", "/?x={{", "/?y=${", "/?z=<", "/?w=on", "/?v==", "/?u=system"]
+    fill = ["+", "%20", "/**/", " ", ".", "'", "(", "{"]
+    rows = [(lead + unit * (200_000 // len(unit)),) for lead in leads[:3] for unit in fill]
+    rows += [(lead + unit * 5000,) for lead in leads for unit in fill] + [("/?q=union" + "+" * 5000 + "select",)]
+    found = spark.createDataFrame(rows, "url string").select("url", F.array_join(tag_url(F.col("url")), ",").alias("t")).collect()
+    assert len(found) == len(rows)
+    assert "sqli" in [r.t for r in found if r.url.endswith("select")][0].split(",")
+    line = '%s9.9.9.9 - - [01/Jan/2024:00:00:00 +0000] "GET /a HTTP/1.1" 200 5 "-" "ua" x\x85y z'
+    lines = [line % "", line % "host.example:80 ", "." * 300_000, "a." * 100_000 + " b", ":" * 200_000, line % ("." * 1000 + "a ")]
+    df = spark.createDataFrame([("f", 0, i, x) for i, x in enumerate(lines)], "src_file string, block_start long, seq long, line string")
+    assert parse_combined(df).count() >= 2
+    assert tokenize(df, "apache").filter("f is not null").count() >= 2
