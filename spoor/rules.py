@@ -1,7 +1,9 @@
 """Detection rules: a table of named URL patterns plus fixed lists and thresholds.
 
 The default table is built from a few encodings (blank, quote, dot, slash ...)
-combined with lists of indicators per category. Every pattern stays inside the
+combined with lists of indicators per category. Several of these lists are fixed
+values taken over from an existing rule list, cut to common prefixes; they still
+have to be written anew from public advisories. Every pattern stays inside the
 dialect shared by Java and RE2: no look-around, no back-references. Patterns
 are searched anywhere in the URL, ignoring ASCII case.
 
