@@ -16,7 +16,8 @@ def _list(values) -> str:
     return ", ".join(_q(v) if isinstance(v, str) else str(v) for v in values)
 
 
-_PAYLOADS = " ".join(f"WHEN event_id % 23 = {k} THEN {_q(v)}" for k, v in PAYLOADS.items())
+_PAYLOADS = " ".join(f"WHEN event_id % 23 = {k % 7 + 1} AND event_id // 23 % {len(PAYLOADS) // 7} = {k // 7} THEN {_q(v)}"
+                     for k, v in enumerate(PAYLOADS))
 LOG = f"""
 b AS (SELECT event_id AS seq, user_id, event_type, value,
   {START} + CASE WHEN event_id % 20 = 0 THEN 72000 + (event_id * 13) % 3600

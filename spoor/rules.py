@@ -1,11 +1,11 @@
 """Detection rules: a table of named URL patterns plus fixed lists and thresholds.
 
-The default table is built from a few encodings (blank, quote, dot, slash ...)
-combined with lists of indicators per category. Several of these lists are fixed
-values taken over from an existing rule list, cut to common prefixes; they still
-have to be written anew from public advisories. Every pattern stays inside the
-dialect shared by Java and RE2: no look-around, no back-references. Patterns
-are searched anywhere in the URL, ignoring ASCII case.
+The default table is written from public descriptions of each attack; the source
+is named above each rule. It is built from a few encodings (blank, quote, dot,
+slash ...) and lists of indicators. Every pattern stays inside the dialect shared
+by Java and RE2: no look-around, no back-references, no repeated group with
+alternatives except blanks. Patterns are searched anywhere in the URL, ignoring
+ASCII case.
 
 Analysts extend or replace the table by passing another ``RuleSet``; a table
 kept in a file or store is read with ``RuleSet.from_table``.
@@ -81,8 +81,8 @@ def by_first_class(patterns: Iterable[str], size: int = 8) -> str:
 
 
 # Characters and sequences that make a URL worth the full rule table: all but
-# letters, digits, / . _ ? & = , ~ + - and an encoded blank or comma.
-UNUSUAL = r"[^A-Za-z0-9/._?&=,~+%\-]|%(?:[^2]|2[^0c]|2?$)"
+# letters, digits, blank, / . _ ? & = , ~ + - and an encoded blank or comma.
+UNUSUAL = r"[^A-Za-z0-9 /._?&=,~+%\-]|%(?:[^2]|2[^0c]|2?$)"
 
 
 @dataclass(frozen=True)
@@ -100,10 +100,14 @@ class Rule:
             raise ValueError(f"rule {self.name}: unknown severity {self.severity}")
 
 
-def _rule(name, severity, description, words=(), marks=()):
-    """``words`` can occur in an ordinary URL, ``marks`` need something UNUSUAL."""
-    parts = ([by_first(words)] if words else []) + list(marks)
-    return Rule(name, severity, f"(?:{'|'.join(parts)})", description, tuple(words))
+def _rule(name, severity, description, words=(), marks=(), covered=None):
+    """``words`` can occur in an ordinary URL, ``marks`` need something UNUSUAL.
+
+    ``covered`` maps patterns that begin with a choice to words which every ordinary match of them holds.
+    """
+    covered = covered or {}
+    parts = ([by_first(words)] if words else []) + list(covered) + list(marks)
+    return Rule(name, severity, f"(?:{'|'.join(parts)})", description, (*words, *covered.values()))
 
 
 @dataclass(frozen=True)
@@ -148,144 +152,185 @@ class RuleSet:
         return cls.from_rows(rows)
 
 
-_SHELL_WORDS = _any("id whoami uname cat ls dir ping curl wget nc netcat bash sh powershell cmd perl python")
-_REDIRECTS = ("redirect redirect_uri redirect_url redir next url uri return returnto returnurl return_url "
-              "goto go out link target dest destination continue callback forward image_url checkout_url")
+_EQUALS = r"(?:=|%3d)"
+_EQUATION = f"{BLANK}+[0-9]{{1,9}}{BLANK}*="
+_COMMANDS = _any("awk base64 bash busybox cat certutil chmod curl cmd dig echo env ftp head hostname id ifconfig "
+                 "ipconfig ksh ls nc ncat netcat netstat nslookup perl php ping powershell ps pwd pwsh python "
+                 "python3 rm ruby sh sleep socat systeminfo tail tasklist telnet tftp touch uname wget whoami zsh")
+_LONE_COMMANDS = _any("hostname id ifconfig ipconfig ls netstat pwd systeminfo tasklist uname whoami")
+_COLON2 = f"{COLON}{COLON}"
+_SCHEME_END = f"{COLON}(?:/|%2f)(?:/|%2f)"
+_INNER = r"(?:localhost|127\.|10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|0\.0\.0\.0|0x7f|2130706433|\[|%5b)"
+_MONGO = _any("ne eq gt gte lt lte in nin regex exists where or and not nor elemMatch expr function jsonSchema")
+
+
+def _param(names: str, value: str) -> list[str]:
+    """A query parameter of one of the names with a value, first or later in the query."""
+    return [rf"\?(?:{names})={value}", rf"&(?:{names})={value}"]
+
+
+_LANDING = ("redirect|redirect_to|redirect_ur[il]|redirectur[il]|return|return_to|return_ur[il]|returnur[il]|"
+            "next|continue|goto|dest|destination|target|forward|back|success_url|cancel_url|logout")
+_HANDLERS = _any("onerror onload onclick onmouseover onfocus onblur ontoggle onanimationend onpointerenter onbegin "
+                 "onsubmit oninput onchange onkeydown onkeyup onwheel ondrag")
 
+# Written from public descriptions of each attack, named above the rule.
 _RULES = (
+    # OWASP testing guide INPV-05; function names from the manuals of MySQL, PostgreSQL, SQL Server, Oracle
     _rule("sqli", "high", "SQL injection attempt",
-          words=[rf"union{BLANK}+(?:all{BLANK}+|distinct{BLANK}+)?select",
-                 rf"waitfor{BLANK}+delay", rf"into{BLANK}+(?:out|dump)file",
-                 rf"or{BLANK}+[0-9]+{BLANK}*=", rf"and{BLANK}+[0-9]+{BLANK}*=",
-                 rf"having{BLANK}+[0-9]+{BLANK}*=", r"0x[0-9a-f]{4}",
-                 *_words("", "information_schema table_schema column_name group_concat xp_cmdshell "
-                             "sp_executesql utl_http dbms_lock dbms_pipe sysobjects pg_catalog")],
-          marks=[rf"(?:load_file|pg_sleep|benchmark|extractvalue|updatexml|sleep|randomblob|cast){BLANK}*{LPAR}",
-                 rf"{QUOTE}{BLANK}*(?:or|and|having){BLANK}", rf"{QUOTE}{BLANK}*(?:--|;|{HASH})",
-                 r";--", r"/\*!", rf"(?:char|concat){LPAR}(?:0x)?[0-9]"]),
+          words=[f"union{BLANK}+select\\b", f"union{BLANK}+(?:all|distinct){BLANK}+select\\b",
+                 "information_schema", "pg_catalog", "sqlite_master", "sysobjects", "all_tab_columns",
+                 "pg_sleep", f"waitfor{BLANK}+delay", r"dbms_pipe\.receive", r"utl_http\.request", "xp_cmdshell",
+                 "sp_oacreate", "sp_executesql", f"into{BLANK}+(?:outfile|dumpfile)\\b",
+                 f"order{BLANK}+by{BLANK}+[0-9]{{1,4}}{BLANK}*--"],
+          covered={f"{BLANK}(?:or|xor){_EQUATION}": f"r{_EQUATION}", f"{BLANK}and{_EQUATION}": f"and{_EQUATION}",
+                   f"{BLANK}having{_EQUATION}": f"having{_EQUATION}"},
+          marks=[f"{QUOTE}{RPAR}?{BLANK}*(?:or|and|xor|\\|\\||%7c%7c){BLANK}*{QUOTE}?[a-z0-9_]{{1,30}}{QUOTE}?"
+                 f"{BLANK}*(?:=|%3d|<|>|%3c|%3e|like{BLANK}|in{BLANK}*{LPAR})",
+                 f"{QUOTE}{BLANK}*(?:--|#|%23|/\\*)", f"{QUOTE}{BLANK}*union{BLANK}",
+                 f"(?:;|%3b){BLANK}*(?:drop{BLANK}+table|insert{BLANK}+into|delete{BLANK}+from|declare{BLANK}+(?:@|%40)"
+                 f"|exec{BLANK}|shutdown)",
+                 f"\\b(?:sleep|benchmark){LPAR}[0-9]", f"\\b(?:load_file|extractvalue|updatexml){LPAR}",
+                 f"\\bconcat{LPAR}0x[0-9a-f]{{2}}", f"\\bchar{LPAR}[0-9]{{2,3}}", "/\\*![0-9]{5}"]),
+    # MongoDB manual, query operators
     _rule("nosqli", "high", "NoSQL operator injection",
-          marks=[rf"{LBRACKET}{DOLLAR}(?:n?eq?|[gl]te?|n?in|n?or|not|and|regex|where|exists|expr)(?:\]|%5d)",
-                 rf"{LBRACE}{QUOTE}?{DOLLAR}(?:ne|[gl]te?|n?in|or|regex|where|exists)",
-                 rf"{DOLLAR}where"]),
+          marks=[f"{LBRACKET}{DOLLAR}{_MONGO}\\b", f"{LBRACE}{BLANK}*{QUOTE}?{DOLLAR}{_MONGO}\\b",
+                 f"{QUOTE}{DOLLAR}{_MONGO}{QUOTE}", f"{DOLLAR}where\\b"]),
+    # CWE-78; a command counts when it has an argument, stands alone at the end, or is substituted
     _rule("command_injection", "critical", "Operating-system command injection",
-          words=[rf"bash{BLANK}+-[ci]", rf"nc{BLANK}+-[el]", rf"chmod{BLANK}+[+0-7]",
-                 rf"&&{BLANK}*{_SHELL_WORDS}",
-                 *_words("", "/bin/sh /bin/bash /bin/dash /bin/zsh /bin/ksh /bin/csh /bin/busybox "
-                             "/dev/tcp/ /dev/udp/ /etc/cron")],
-          marks=[rf"(?:;|%3b|\||%7c|&&|%26%26|%0a){BLANK}*{_SHELL_WORDS}(?:[ +;/|]|%20|%3b|$)",
-                 rf"(?:`|%60|{DOLLAR}{LPAR}){BLANK}*{_SHELL_WORDS}", rf"{DOLLAR}{LBRACE}?ifs"]),
+          words=[f"&&{_COMMANDS}{BLANK}", r"/bin/(?:ba|z|k|da|c)?sh\b", "/dev/(?:tcp|udp)/", r"cmd\.exe\b",
+                 r"powershell\.exe\b"],
+          marks=[f"(?:;|\\||%3b|%7c|%26%26|{NEWLINE}){BLANK}*{_COMMANDS}(?:{BLANK}|%09|{DOLLAR}{LBRACE}?ifs\\b)",
+                 f"(?:;|%3b|\\|\\||%7c%7c|%26%26|{NEWLINE}){BLANK}*{_LONE_COMMANDS}(?:[;&|#]|%3b|%7c|%23|%26|{QUOTE}|$)",
+                 "(?:`|%60)[a-z/.][^`%&]{0,200}(?:`|%60)", f"{DOLLAR}{LPAR}[^)&(]{{1,200}}{RPAR}",
+                 f"{DOLLAR}{LBRACE}?ifs\\b", "(?:%5c|\\\\)(?:cmd|powershell)\\b"]),
+    # CVE-2014-6271
     _rule("shellshock", "critical", "Function definition in an environment value",
-          marks=[rf"{LPAR}{RPAR}{BLANK}*{LBRACE}"]),
+          marks=[f"{LPAR}{BLANK}?{RPAR}{BLANK}*{LBRACE}"]),
+    # CWE-1336; Jinja, FreeMarker, ERB and expression-language syntax
     _rule("ssti", "high", "Template expression injection",
-          words=[r"freemarker", r"velocity\."],
-          marks=[rf"{LBRACE}{LBRACE}{BLANK}*(?:[0-9]|{QUOTE}|config|self|request|session|settings|cycler|lipsum)",
-                 rf"(?:{DOLLAR}|{HASH}){LBRACE}{BLANK}*(?:[0-9]|t{LPAR}|java|runtime|class)",
-                 rf"{LT}%{BLANK}*={BLANK}*[0-9]", rf"\{{%{BLANK}*(?:if|for|import|include|set)"]),
+          words=["__class__", "__mro__", "__subclasses__", "__globals__", "__builtins__", r"freemarker\.template",
+                 r"java\.lang\.(?:runtime|processbuilder)"],
+          marks=[f"{LBRACE}{LBRACE}[^{{}}]{{1,120}}(?:\\}}|%7d)", f"[$#*@]{LBRACE}[^{{}}]{{1,120}}(?:\\}}|%7d)",
+                 f"(?:%24|%23){LBRACE}[^{{}}]{{1,120}}(?:\\}}|%7d)", f"{LBRACE}(?:%25|%(?:[^0-9a-f]|$))",
+                 f"{LT}(?:%|%25)(?:=|%3d)"]),
+    # RFC 4515 filters, CWE-90
     _rule("ldap_injection", "high", "LDAP filter break-out",
-          marks=[rf"{RPAR}{LPAR}(?:\||&)?{LPAR}?(?:uid|cn|sn|mail|userpassword|objectclass)=",
-                 rf"(?:\*|%2a){RPAR}(?:{LPAR}|%00)"]),
+          marks=[f"(?:\\*|%2a){RPAR}{LPAR}", f"{RPAR}{LPAR}(?:[|&!]|%7c|%26|%21)",
+                 f"{RPAR}{LPAR}(?:uid|cn|sn|ou|mail|member|memberof|objectclass|userpassword|samaccountname)(?:=|%3d)",
+                 f"{LPAR}(?:[|&]|%7c|%26){LPAR}"]),
+    # XPath 1.0: axes and core functions, CWE-643
     _rule("xpath_injection", "medium", "XPath expression injection",
-          marks=[rf"{SQUOTE}{BLANK}+or{BLANK}+{SQUOTE}1{SQUOTE}={SQUOTE}1",
-                 rf"{SQUOTE}{BLANK}+or{BLANK}+(?:count|name|position){LPAR}",
-                 r"/(?:child|parent|ancestor|descendant)::", r"::(?:text|node)\(\)",
-                 r"string-length\(", r"\[position\(\)", r"substring\(/"]),
+          marks=[f"(?:ancestor|descendant|parent|child|following|preceding|self|sibling|attribute){_COLON2}",
+                 f"\\b(?:local-name|string-length|normalize-space|starts-with|name|count|position){LPAR}(?:/|%2f|\\.|@|{RPAR})",
+                 "(?:\\]|%5d)(?:\\||%7c)(?:/|%2f)", f"{QUOTE}{BLANK}*(?:or|and){BLANK}*{QUOTE}1{QUOTE}(?:=|%3d){QUOTE}1"]),
+    # CWE-79; elements and handlers of the HTML standard
     _rule("xss", "medium", "Cross-site scripting attempt",
-          words=[*[rf"on{e}{BLANK}*=" for e in ("error", "load", "click", "focus", "blur", "mouseover",
-                                                "mouseenter", "toggle", "animationstart", "pointerover")],
-                 *_words("", "document.cookie document.domain document.location document.write "
-                             "window.location window.name string.fromcharcode")],
-          marks=[rf"{LT}/?(?:script|iframe|svg|img|body|object|embed|details|video|math|marquee)(?:[ +/>]|%20|%2f|%3e|$)",
-                 rf"(?:javascript|vbscript){COLON}", r"data:text/html",
-                 rf"on(?:error|load|click|focus|blur|mouseover|mouseenter|toggle){BLANK}*%3d",
-                 rf"(?:alert|prompt|confirm|eval|expression){BLANK}*(?:{LPAR}|`)"]),
+          words=[r"document\.(?:cookie|domain|write|location)", r"string\.fromcharcode"],
+          covered={f"(?:{BLANK}|/){_HANDLERS}{BLANK}*=": f"on[a-z]{{4,15}}{BLANK}*="},
+          marks=[f"{LT}{BLANK}*(?:/|%2f)?(?:script|svg|img|iframe|object|embed|body|video|audio|math|details|marquee|"
+                 "link|meta|base|form|input|style)\\b",
+                 f"(?:{QUOTE}|%09|%0a|%2f){BLANK}*{_HANDLERS}{BLANK}*(?:=|%3d)", f"{BLANK}{_HANDLERS}%3d",
+                 f"(?:java|vb)script{COLON}", f"data{COLON}text(?:/|%2f)html",
+                 f"\\b(?:alert|confirm|prompt|eval){LPAR}"]),
+    # CWE-22, CWE-98; PHP manual, supported wrappers
     _rule("lfi_traversal", "high", "Path traversal or local file inclusion",
-          words=[r"\.\./", r"/proc/(?:self|version|cmdline|[0-9]+)",
-                 *_words("", "etc/passwd etc/shadow etc/hosts etc/group etc/issue boot.ini win.ini "
-                             "windows/system32 /var/log/")],
-          marks=[rf"{DOT}{DOT}{SLASH}", rf"etc{SLASH}(?:passwd|shadow|hosts|group|issue)",
-                 rf"c:{SLASH}windows", rf"windows{SLASH}system32",
-                 r"(?:php|zip|phar|glob|expect|compress\.zlib)://", r"file:///", r"data://text"]),
+          words=[r"/etc/(?:passwd|shadow|group|hosts|issue|sudoers|crontab)\b", "/proc/(?:self|version|cpuinfo|[0-9])",
+                 r"boot\.ini\b", r"/win\.ini\b", "/windows/system32", "/var/log/"],
+          covered={f"{DOT}{DOT}{SLASH}": r"\.\./"},
+          marks=["etc(?:%2f|%252f|%5c|\\\\)(?:passwd|shadow|group|hosts)", "(?:\\\\|%5c|%2f)win\\.ini",
+                 f"\\b(?:php|phar|zip|zlib|expect|glob){_SCHEME_END}", "%c0%ae"]),
+    # CWE-98
     _rule("rfi", "high", "Remote URL given as a parameter value",
-          marks=[rf"={BLANK}*(?:https?|ftps?|php|data|expect|dict|gopher){COLON}{SLASH}{SLASH}",
-                 r"=%68%74%74%70"]),
+          marks=[f"{_EQUALS}(?:https?|ftps?|smb|php|expect){_SCHEME_END}", f"{_EQUALS}data{COLON}[a-z]{{1,20}}/[a-z]{{1,20}};base64"]),
+    # CWE-918; metadata addresses from the documentation of the cloud providers
     _rule("ssrf", "high", "Server-side request to an internal or metadata address",
-          words=[r"metadata\.(?:google|azure)", r"/latest/(?:meta-data|user-data|dynamic)",
-                 *_words("", "169.254.169.254 100.100.100.200 /computemetadata /metadata/instance "
-                             ".oast. oastify burpcollaborator interact.sh requestbin canarytokens")],
-          marks=[rf"={BLANK}*(?:file|dict|gopher|ldaps?|s?ftp|tftp|netdoc|jar)://",
-                 rf"={BLANK}*https?://(?:localhost|127\.|0\.0\.0\.0|\[::1\]|169\.254\.|10\.|192\.168\."
-                 r"|172\.(?:1[6-9]|2[0-9]|3[01])\.)"]),
+          words=[r"169\.254\.169\.254", r"169\.254\.170\.2\b", r"168\.63\.129\.16", r"100\.100\.100\.200",
+                 r"metadata\.google\.internal", r"burpcollaborator\.net", r"oastify\.com", r"interact\.sh\b",
+                 r"oast\.(?:fun|live|me|online|pro|site)\b", r"dnslog\.cn", r"webhook\.site", r"localtest\.me", r"nip\.io\b"],
+          marks=[f"{_EQUALS}https?{_SCHEME_END}(?:[a-z0-9._-]{{1,40}}(?:@|%40))?{_INNER}", f"fd00{COLON}ec2",
+                 f"{_EQUALS}(?:gopher|dict|ldaps?|tftp|sftp|file|jar|netdoc){COLON}"]),
+    # CWE-611; XML 1.0, prolog and declarations
     _rule("xxe", "high", "XML external entity declaration",
-          marks=[rf"{LT}(?:!|%21)(?:entity|doctype)(?:[ +]|%20|$)", rf"{LT}!\[cdata\[",
-                 rf"system{BLANK}+{QUOTE}(?:file|https?|php|expect)"]),
+          words=["xinclude"],
+          marks=[f"{LT}(?:!|%21)(?:doctype|entity|element|attlist)\\b", f"{LT}(?:\\?|%3f)xml\\b",
+                 f"{BLANK}(?:system|public){BLANK}+{QUOTE}"]),
+    # CWE-502; stream headers of Java, PHP, .NET, Python and Node serialisers
     _rule("deserialization", "high", "Serialised object or code-loading marker",
-          words=[r"java\.lang\.(?:runtime|processbuilder)", r"commons-?collections",
-                 r"__reduce(?:_ex)?__", r"pickle\.loads?", r"marshal\.loads?", r"yaml\.loads?",
-                 *_words("", "rO0AB aced0005 ysoserial subprocess.popen os.system child_process __proto__")],
-          marks=[rf"[oac]:[0-9]+:(?:{QUOTE}|{LBRACE})", r"_\$\$nd_func",
-                 r"constructor(?:\[|%5b)", r"phar://"]),
+          words=["=ro0ab", "aced0005", "aaeaaad/////", "=gasv"],
+          marks=["%3dro0ab", "aaeaaad%2f%2f", f"\\b[oc]{COLON}[0-9]{{1,6}}{COLON}{QUOTE}",
+                 f"\\ba{COLON}[0-9]{{1,6}}{COLON}{LBRACE}", f"_{DOLLAR}{DOLLAR}nd_func", f"{QUOTE}{DOLLAR}type{QUOTE}",
+                 "(?:!|%21)(?:!|%21)(?:python|javax|ruby)", "c(?:os|posix|__builtin__)%0a"]),
+    # Names of published web shells; a command parameter must hold a command
     _rule("webshell", "critical", "Web shell file or command parameter",
-          words=[*[rf"{n}\.(?:php[0-9]?|phtml)" for n in (
-              "c99", "c100", "r57", "wso[0-9]*", "b374k", "alfa", "indoxploit", "priv8", "mini", "gecko",
-              "madspot", "up", "upload", "uploader", "shell", "cmd", "backdoor", "webadmin", "adminer",
-              "radio", "404", "xx", "/[0-9ax]")],
-                 r"shell\.(?:aspx?|jspx?|ashx)", r"cmd\.(?:aspx?|jspx?|ashx)", r"eval-stdin\.php",
-                 rf"cmd=(?:whoami|id|dir|ls|cat|type|uname|net{BLANK}+user)",
-                 r"exec=(?:whoami|id|dir|ls|cat|uname)",
-                 *[rf"{n}=(?:cmd|shell|command|exec)" for n in ("func", "action", "act")],
-                 *_words("", "alfashell weevely regeorg behinder godzilla antsword filesman")]),
+          words=[r"/(?:c99|r57|b374k|wso[0-9.]{0,6}|alfa|alfashell|p0wny|p0wny-shell|weevely|indoxploit|webshell|"
+                 r"shell|cmd|backdoor)\.(?:php[3-8]?|phtml|aspx?|ashx|jspx?|cfm)\b",
+                 *_param("cmd|command|exec|execute|shell", f"{_COMMANDS}(?:{BLANK}|&|$)")],
+          marks=[*_param("cmd|command|exec|execute|shell", f"{_COMMANDS}(?:;|%3b|%7c|\\||{QUOTE})")]),
+    # CVE-2021-44228; lookups of the Log4j manual
     _rule("log4shell", "critical", "JNDI lookup in a logged value",
-          marks=[rf"{DOLLAR}{LBRACE}(?:jndi|lower|upper|env|sys|main|date|base64|::-.){COLON}?",
-                 rf"{DOLLAR}{LBRACE}{DOLLAR}{LBRACE}", r"%6a%6e%64%69"]),
+          marks=[f"{DOLLAR}{LBRACE}{BLANK}*jndi\\b", f"\\bjndi{COLON}(?:ldaps?|rmi|dns|iiop|corba|nis|nds|https?)\\b",
+                 f"{DOLLAR}{LBRACE}(?:lower|upper|env|sys|date|main|java|base64|ctx|map|bundle|docker|k8s|web){COLON}",
+                 f"{DOLLAR}{LBRACE}{_COLON2}-"]),
+    # CVE-2022-22965, CVE-2022-22963, CVE-2022-22947
     _rule("spring4shell", "critical", "Class-loader property manipulation",
-          words=[r"class\.(?:module\.)?classloader"],
-          marks=[r"class(?:\.|%2e)(?:module(?:\.|%2e))?classloader", r"getruntime\(\)\.exec",
-                 r"%63%6c%61%73%73%2e"]),
+          words=[r"class\.module\.classloader", r"class\.classloader", r"pipeline\.first\.(?:pattern|suffix|prefix|directory)",
+                 r"spring\.cloud\.function", "/functionrouter", "/actuator/gateway/routes"],
+          marks=["class%2emodule", f"class{LBRACKET}{QUOTE}?(?:module|classloader)"]),
+    # CVE-2017-5638, CVE-2018-11776 and earlier OGNL advisories
     _rule("struts_ognl", "critical", "OGNL expression injection",
-          words=[r"_memberaccess", r"ognl\.", r"\.getruntime"],
-          marks=[rf"{PERCENT}{LBRACE}{BLANK}*(?:{LPAR}|{HASH})", rf"{DOLLAR}{LBRACE}{BLANK}*{LPAR}",
-                 rf"{HASH}context\[", r"@java\.lang", rf"(?:redirect|action):{DOLLAR}{LBRACE}"]),
+          words=["_memberaccess", "allowstaticmethodaccess", r"ognl\.ognlcontext", r"com\.opensymphony\.xwork2"],
+          marks=[f"{HASH}(?:context|parameters|attr|application|session|request){DOT}?{LBRACKET}",
+                 f"(?:%25|%)(?:\\{{|%7b)[^}}]{{0,80}}(?:@|%40|{HASH}|{LPAR})", "(?:@|%40)java\\.(?:lang|io)\\b",
+                 f"\\b(?:redirect|redirectaction|action|method){COLON}(?:{DOLLAR}|{HASH}|%25|%7b|\\{{)"]),
+    # CWE-93, CWE-113
     _rule("crlf_injection", "medium", "Line break smuggled into a header",
-          marks=[rf"{NEWLINE}{NEWLINE}", rf"{NEWLINE}(?:set-cookie|location|content-(?:type|length)|x-)",
-                 r"%e5%98%8a%e5%98%8d"]),
+          marks=["%0d%0a", "%250d%250a", "%e5%98%8a",
+                 f"{NEWLINE}{BLANK}*(?:set-cookie|location|content-type|content-length|host|link|refresh|x-[a-z-]{{1,30}}){COLON}",
+                 f"{NEWLINE}http(?:/|%2f)1"]),
+    # CWE-601
     _rule("open_redirect", "medium", "Redirect parameter with an absolute target",
-          words=[rf"{n}={BLANK}*//" for n in _REDIRECTS.split()],
-          marks=[rf"{_any(_REDIRECTS)}={BLANK}*(?:https?{COLON}|{SLASH}{SLASH}|%68%74%74%70)"]),
+          words=_param(_LANDING, "//"),
+          marks=[*_param(_LANDING, f"https?{_SCHEME_END}"), *_param(_LANDING, "(?:/%2f|%2f/|%2f%2f|/\\\\|\\\\|/%5c|%5c)")]),
+    # Published research on path normalisation; override headers of reverse proxies
     _rule("access_bypass", "high", "Path confusion or header override to pass access rules",
-          words=_words("", "/j_security_check x-original-url x-rewrite-url"),
-          marks=[rf"{DOT}{DOT};", rf";/{DOT}{DOT}", r"/\.?;/", r"/(?:%2e|\.%2e|%2e\.|%2e%2e)/",
-                 r"/;jsessionid", r"/\.%00"]),
+          words=[r"/\./", "//(?:admin|manager|console|actuator)\\b", "x-(?:original|rewrite)-url", "x-http-method-override",
+                 "x-custom-ip-authorization"],
+          marks=[f"{DOT}{DOT}(?:;|%3b){SLASH}", "/(?:;|%3b)/", "(?:/|%2f)%2e(?:/|%2f)", "%ef%bc%8f",
+                 "/(?:admin|manager|console|actuator)(?:%09|%0a|%23|%3f|%3b|;)"]),
+    # CWE-538; usual file names of the tools concerned
     _rule("sensitive_file", "high", "Request for secrets, backups or configuration",
-          words=[*_words("/.", "env git gitignore svn hg bzr aws ssh kube ds_store htaccess htpasswd npmrc "
-                               "dockercfg bash_history travis.yml well-known/security"),
-                 *_words("/", "wp-config.php config.php configuration.php phpinfo.php info.php web.config "
-                              "settings.py database.yml database.sql dump.sql id_rsa credentials "
-                              "docker-compose.yml composer.lock config.json.bak backup. secrets. "
-                              "server-status server-info")]),
+          words=[r"/\.env\b", r"/\.git\b", r"/\.svn\b", r"/\.hg/", r"/\.aws/", r"/\.ssh/", r"/\.kube/", r"/\.docker", r"/\.npmrc",
+                 r"/\.netrc", r"/\.pgpass", r"/\.htaccess", r"/\.htpasswd", r"/\.bash_history", r"/\.ds_store", r"/\.vscode/",
+                 r"/\.idea/", r"/wp-config\.php", r"/web\.config\b", r"/appsettings[a-z.]{0,20}\.json", r"/database\.ya?ml",
+                 r"/secrets?\.(?:json|ya?ml|txt)", r"/credentials\b", r"/docker-compose\.ya?ml", "/id_(?:rsa|dsa|ecdsa|ed25519)\\b",
+                 "/server-status", "/server-info", r"/phpinfo\.php", r"\.(?:sql|bak|swp|pem|pfx|p12|kdbx|jks|ppk|sqlite3?)(?:$|\?)",
+                 r"\.sql\.(?:gz|zip|bz2)", r"/(?:backup|dump|database|htdocs|www)\.(?:zip|tar|tgz|rar|7z)"]),
+    # CWE-158, CWE-174
     _rule("null_byte", "medium", "Null byte or doubly encoded path",
-          marks=[r"%(?:25)?00", r"%c0%80", r"%252e%252e"]),
+          marks=["%00", "%u0000", "%25(?:00|2e|2f|5c|3c|3e|27|22|3b)"]),
+    # Components with entries in public vulnerability catalogues, and usual paths of admin panels
     _rule("cve_probe", "medium", "Probe for an admin panel or known vulnerable component",
-          words=[r"xmlrpc\.php", r"eval-stdin", r"/(?:vendor/)?phpunit",
-                 r"/wp-(?:login\.php|admin/|json/wp/|content/(?:plugins/|uploads/[^?]*\.php))",
-                 r"\?author=[0-9]",
-                 *_words("/", "cgi-bin/ user/register? index.php?s= administrator/ manager/html "
-                              "host-manager actuator solr/admin jenkins thinkphp tp/public hnap1 boaform "
-                              "setup.cgi currentsetting.htm goform/ druid/ nacos/ eureka/ consul/ "
-                              "_all_dbs owa/ ecp/ ews/ autodiscover remote/fgt_lang remote/login "
-                              "dana-na/ global-protect vpn/ citrix vaadin wls-wsat _async/ console/css "
-                              "adminer pma/ phpmyadmin dbadmin typo3 joomla cfide geoserver zabbix "
-                              "grafana/ kibana _cat/ telescope/requests debug/default/view frontend/web "
-                              "graphql v2/api-docs swagger api-docs wsdl soap .vscode/ mifs/ rpc/ "
-                              "portal/ +cscoe+ api/jsonws jsonws api/v1/totp")]),
+          words=["/phpmyadmin", "/pma/", "/adminer", "/manager/html", "/host-manager/", "/jmx-console", "/invoker/", "/jolokia",
+                 "/actuator\\b", "/solr/admin", "/wls-wsat/", "/_async/", "/console/login", "/vendor/phpunit/", r"eval-stdin\.php",
+                 "/boaform/", "/gponform/", "/hnap1", r"/setup\.cgi", "/cgi-bin/luci", r"/cgi-bin/\.", r"/icons/\.",
+                 "/tmui/", "/mgmt/tm/util/", "/remote/fgt_lang", "/remote/logincheck", "/dana-na/", "/vpns/", r"/\+cscoe\+/",
+                 "/owa/auth", r"/autodiscover/autodiscover\.json", "/ecp/", r"/xmlrpc\.php", r"/wp-login\.php", "/wp-admin/",
+                 r"/administrator/index\.php", "element_parents=", "/geoserver/", "/nacos/", "/druid/", "/struts2?-showcase",
+                 r"/createpage-entervariables\.action", r"/setup/setupadministrator", "/public/plugins/", "invokefunction",
+                 "allow_url_include", "/moveitisapi", "/zabbix", "/nagios", "/cacti/"],
+          marks=["/cgi-bin/%2e", "/icons/%2e", "/console/(?:css|images)/%252e"]),
+    # Vendor documentation of the server: diagnostic handlers and protected folders
     _rule("iis_aspnet", "medium", "Probe of an ASP.NET or IIS handler",
-          words=[r"/(?:trace|elmah)?\.axd", r"/app_(?:data|code)/", r"/f?ckeditor",
-                 r"/bin/[^?]*\.dll", r"/scripts/[^?]*\.asp",
-                 *_words("", "__viewstate= global.asax /aspnet_client /iisstart /certsrv /owa/auth web.config")],
-          marks=[r"%u002e%u002e"]),
+          words=[r"/(?:trace|elmah|glimpse)\.axd", "/app_(?:data|code|browsers)/", r"/global\.asax", "/_vti_(?:bin|pvt|cnf|inf)",
+                 "/aspnet_client/", "/aspnet_webadmin", "/iisadmin", "/msadc/", "/certsrv/", r"/bin/[a-z0-9_.]{1,60}\.dll",
+                 r"\.(?:ida|idq|htr|printer)(?:$|\?)", "~1/", r"~1\."],
+          marks=[f"{_COLON2}{DOLLAR}data", r"~1(?:\*|%2a)", f"/{LPAR}s{LPAR}[a-z]{LPAR}"]),
+    # Documentation of scanners and of the discovery interfaces they read
     _rule("recon_probe", "low", "Fuzzing or discovery artefact",
-          words=[r"\?rest_route=", r"&rest_route=", r"wp-json/oembed", r"/robots\.txt[^?]*\.\.",
-                 r"/\.aws/credentials", r"/\.env[^?]*/", r"/(?:api|v[0-9]|static)/\.\./"],
-          marks=[r"/sitemap\.xml[^?]*<"]),
+          words=["rest_route=/", "/wp-json/wp/", r"\?author=[0-9]", "/nmaplowercheck", r"trinity\.txt\.bak", "acunetix", "netsparker",
+                 "/w00tw00t", "=fuzz(?:&|$)", "/fuzz(?:/|$)", "/swagger", "/api-docs", r"/openapi\.json", "__schema", "/graphiql",
+                 r"/test\.(?:php|cgi|aspx?)\b", r"/info\.php\b", r"\?=php[a-f0-9]{8}-"]),
 )
 
 # --- fixed values: phase sets, lists and thresholds that decide the results --

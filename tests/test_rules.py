@@ -18,6 +18,10 @@ POSITIVES = [
     ("/find?name[$regex]=.*", "nosqli"),
     ("/tools/trace?target=a|cat+/etc/hosts", "command_injection"),
     ("/run?c=`id`", "command_injection"),
+    ("/run?c=$(mkfifo+q)", "command_injection"),
+    ("/run?c=1;uname", "command_injection"),
+    ("/up/a.php?cmd=whoami", "webshell"),
+    ("/list?id=4+or+1=1", "sqli"),
     ("/cgi-bin/t?h=()%20{%20_;}", "shellshock"),
     ("/card?to={{9*9}}", "ssti"),
     ("/mail?subject=${T(java.lang.Runtime)}", "ssti"),
@@ -52,7 +56,17 @@ POSITIVES = [
     ("/?rest_route=/wp/v2/posts", "recon_probe"),
 ]
 NEGATIVES = ["", "/about", "/cart?items=3&coupon=SPRING", "/img/a%20b.png", "/js/app.4f2c.js", "/map?lat=51.5&lon=-0.1",
-             "/news/2025/12/union-members-select-new-chair", "/help?topic=sleep+well", "/u/anne-marie"]
+             "/news/2025/12/union-members-select-new-chair", "/help?topic=sleep+well", "/u/anne-marie",
+             "/img?w=1&&id=3", "/search?q=for+2=b", "/shop?color+5=1", "/list?langs=java|python|ruby", "/go?next=/basket",
+             "/a?tags=cat|dog", "/b?name=O'Brien&city=Cork", "/c?order=by+date"]
+
+
+def test_sample_log_fires_every_rule(spark):
+    from spoor.sources.weblog import PAYLOADS
+    rows = spark.createDataFrame([(u,) for u in PAYLOADS], "url string").select(
+        tag_url(F.col("url")).alias("tags")).collect()
+    assert {t for r in rows[:25] for t in r["tags"]} == set(DEFAULT_RULES.names)
+    assert [r["tags"] for r in rows[25:]] == [[], [], []]
 
 
 def test_table():
