@@ -85,6 +85,33 @@ def ip_key(ip: Column) -> Column:
     return F.unhex(ip_hex(ip))
 
 
+def _shorten(digits: Column) -> Column:
+    """Text of 32 hex digits by RFC 5952: no leading zeros, the first longest run of zero groups as ``::``."""
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)),
+                         lambda i: F.regexp_replace(F.substr(digits, i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
+
+    def of_text(text: Column) -> Column:
+        out = text
+        for n in range(2, 9):
+            run = rf"(?:^|:)0(?::0){{{n - 1}}}(?:$|:)"
+            out = F.when(text.rlike(run), F.regexp_replace(text, f"^(.*?){run}(.*)$", "$1::$2")).otherwise(out)
+        return out
+
+    return _let(F.array_join(groups, ":"), of_text)
+
+
+def canonical_ip(ip: Column) -> Column:
+    """One spelling for each address: IPv4 as it is, also when written inside IPv6; other IPv6 by
+    RFC 5952. Text that is no address stays."""
+    def spell(digits: Column) -> Column:
+        octets = F.transform(F.sequence(F.lit(0), F.lit(3)),
+                             lambda i: F.conv(F.substr(digits, i * 2 + 25, F.lit(2)), 16, 10))
+        return (F.when(digits.startswith(_MAPPED_PREFIX), F.array_join(octets, "."))
+                .when(digits.isNotNull(), _shorten(digits)))
+
+    return F.when(ip.contains(":"), F.coalesce(_let(ip_hex(ip), spell), ip)).otherwise(ip)
+
+
 def is_valid_ip(ip: Column) -> Column:
     return ip_hex(ip).isNotNull()
 

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from spoor.functions.ip import ip_key
 from spoor.functions.rank import clamp_top_n, drop_blank_terms, percent, top_n, with_pct
-from spoor.schema import MAX_REFERRER_KEY
 
-STATUS_CODES_SHOWN = 50
 HISTOGRAM_BUCKETS = 60
 
 # Status classes, and the widths a histogram may choose from.
@@ -44,8 +42,6 @@ def rank_field(events: DataFrame, field: str, n=20) -> DataFrame:
 
     Blank values take part in the cut and are removed after it.
     """
-    if field == "referrer":
-        events = events.filter(F.length("referrer") <= MAX_REFERRER_KEY)
     tie = ip_key(F.col("label")) if field == "ip" else None
     return with_pct(drop_blank_terms(top_n(events, F.col(field), n, tie)))
 
@@ -75,8 +71,8 @@ def top_methods(events, n=20):
 
 
 def status_codes(events: DataFrame) -> DataFrame:
-    """``label, count`` of the most frequent status codes."""
-    return top_n(events, F.col("status"), STATUS_CODES_SHOWN)
+    """``label, count`` of every status code."""
+    return events.groupBy(F.col("status").alias("label")).agg(F.count("*").alias("count"))
 
 
 def top_status(events: DataFrame, n=20) -> DataFrame:
@@ -136,13 +132,14 @@ def traffic_histogram(events: DataFrame, buckets: int = HISTOGRAM_BUCKETS) -> Da
     """
     spark = events.sparkSession
     span = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    step = span.select(_ladder(F.col("lo"), F.col("hi"), buckets).alias("s"), "lo", "hi").first()
+    step = span.select(_ladder(F.col("lo"), F.col("hi"), buckets).alias("s"), *[
+        F.struct(F.unix_seconds(c).alias("seconds"), _month(F.col(c)).alias("months")).alias(c) for c in ("lo", "hi")]).first()
     kind, width = step["s"]["kind"], F.lit(step["s"]["width"])
     index = _index(F.col("ts"), kind, width)
     counted = events.groupBy(index.alias("i")).agg(F.count("*").alias("count"))
-    edges = span.filter("lo is not null").select(
-        F.explode(F.sequence(_index(F.col("lo"), kind, width), _index(F.col("hi"), kind, width)))
-        .alias("i")) if step["lo"] is not None else spark.createDataFrame([], "i bigint")
+    empty = step["lo"]["seconds"] is None
+    first, last = (0, -1) if empty else (step[c][kind] // step["s"]["width"] for c in ("lo", "hi"))
+    edges = spark.range(first, last + 1).withColumnRenamed("id", "i")
     start = (F.timestamp_seconds(F.col("i") * width) if kind == "seconds" else
              F.make_timestamp(F.floor(F.col("i") * width / 12).cast("int"),
                               (F.pmod(F.col("i") * width, F.lit(12)) + 1).cast("int"),

@@ -37,7 +37,6 @@ MAX_URL = 4096
 MAX_DOMAIN = 255
 MAX_UA = 1024
 MAX_RAW = 8192
-MAX_REFERRER_KEY = 2048
 MAX_SAMPLE = 2048
 MAX_SESSION_UA = 200
 MAX_SAMPLE_URL = 300

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.functions.ip import cidr_bounds, ip_key
@@ -15,24 +15,30 @@ from spoor.sources.text import scan_log_text
 
 
 def write_events(events: DataFrame, path: str, case_id: int,
-                 rules: RuleSet = DEFAULT_RULES) -> None:
-    """Append validated events to a case; refused rows are kept apart.
+                 rules: RuleSet = DEFAULT_RULES) -> dict[str, int]:
+    """Append validated events to a case and count them: ``ok, failed, unparsed``.
+
+    Refused rows, and lines that are no event, are kept apart with the reason.
 
     One pass writes both, and readers prune by partition. The address key is
     stored so that CIDR filters reach the Parquet reader, and the tags so that
     the rule table runs once and not in every later query. To apply another
     rule table later, drop the ``tags`` column after reading.
     """
+    counts, verdict = Observation(), F.col("verdict")
     (validate_event(events.withColumn("ip_key", ip_key(F.col("ip"))))
      .withColumns({"tags": tag_url(F.col("url"), rules),
                    "status": F.col("status").try_cast("int"), "case_id": F.lit(case_id)})
+     .observe(counts, F.count_if(verdict == "ok").alias("ok"), F.count_if(verdict == "unparsed").alias("unparsed"),
+              F.count_if(~verdict.isin("ok", "unparsed")).alias("failed"))
      .write.mode("append").partitionBy("case_id", "verdict").parquet(path))
+    return {k: counts.get[k] for k in ("ok", "failed", "unparsed")}
 
 
 def ingest(spark: SparkSession, source, path: str, case_id: int, fmt: str = "auto",
-           rules: RuleSet = DEFAULT_RULES) -> None:
-    """Read log files, parse them and append them to a case."""
-    write_events(parse_lines(scan_log_text(spark, source), fmt), path, case_id, rules)
+           rules: RuleSet = DEFAULT_RULES) -> dict[str, int]:
+    """Read log files, parse them and append them to a case; the counts are those of ``write_events``."""
+    return write_events(parse_lines(scan_log_text(spark, source), fmt, keep_unparsed=True), path, case_id, rules)
 
 
 def read_case(spark: SparkSession, path: str, case_id: int) -> DataFrame:
@@ -46,10 +52,13 @@ def read_rejected(spark: SparkSession, path: str, case_id: int) -> DataFrame:
 
 
 def filter_ip(events: DataFrame, ip: str) -> DataFrame:
-    """One address, or a CIDR block such as ``203.0.113.0/24``."""
-    if "/" not in ip:
+    """One address in any spelling, or a CIDR block such as ``203.0.113.0/24``."""
+    try:
+        lo, hi = cidr_bounds(ip)
+    except ValueError:
+        if "/" in ip:
+            raise
         return events.filter(F.col("ip") == ip)
-    lo, hi = cidr_bounds(ip)
     key = F.col("ip_key") if "ip_key" in events.columns else ip_key(F.col("ip"))
     return events.filter(key.between(F.lit(lo), F.lit(hi)))
 

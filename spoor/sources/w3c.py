@@ -16,8 +16,9 @@ def header_changes(lines: DataFrame, keys: list[str]) -> DataFrame:
     """``src_file, block_start, seq, slots``: one row per new column layout.
 
     ``slots[i]`` is the 1-based place of ``keys[i]``, 0 when the layout lacks
-    it; of a repeated name the last place counts. Repeats of the layout in
-    force within a split are left out.
+    it; of a repeated name the last place counts. A directive without names ends
+    the layout before it: its ``slots`` are empty. Repeats of the layout in force
+    within a split are left out.
     """
     names = F.split(F.trim(F.regexp_replace(
         F.substring(F.col("line"), len(DIRECTIVE) + 1, 1 << 30), r"\s+", " ")), " ")
@@ -28,7 +29,8 @@ def header_changes(lines: DataFrame, keys: list[str]) -> DataFrame:
         .otherwise(0).cast("int"))
     found = (lines.filter(F.col("line").startswith(DIRECTIVE))
              .withColumn("names", names)
-             .select("src_file", "block_start", "seq", slots.alias("slots"),
+             .select("src_file", "block_start", "seq",
+                     F.when(F.array_join("names", "") == "", F.array().cast("array<int>")).otherwise(slots).alias("slots"),
                      F.array_join("names", " ").alias("layout")))
     before = F.lag("layout").over(
         Window.partitionBy("src_file", "block_start").orderBy("seq"))

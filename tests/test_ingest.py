@@ -126,3 +126,32 @@ def test_nested_view(lines_of):
     nested = parse.nested_view(parse.parse_combined(lines_of([GOOD])))
     assert nested.select("http.response.status_code").first()[0] == 200
     assert nested.select(F.col("source.ip")).first()[0] == "203.0.113.7"
+
+
+def test_ingest_counts_and_keeps_what_does_not_parse(spark, tmp_path):
+    good = '%s - - [01/Jan/2024:00:00:00 +0000] "GET /a HTTP/1.1" 404 5 "-" "ua"'
+    long = good.replace("/a", "/" + "b" * 9000 + "?q=union+select+1") % "9.9.9.9"
+    text = [good % "2001:DB8::1", good % "2001:db8:0:0::1", "garbage here", "", good % "999.1.1.1",
+            (good % "9.9.9.9").replace("[01", "[32"), long]
+    (tmp_path / "a.log").write_text("\n".join(text) + "\n")
+    (tmp_path / "b.log").write_text("#Fields: date time c-ip cs-uri-stem sc-status\n2024-01-01 00:00:00 8.8.8.8 /x 200\n"
+                                    "#Fields:\n2024-01-01 00:00:00 8.8.8.8 /y 200\n")
+    path = str(tmp_path / "events")
+    counts = store.ingest(spark, str(tmp_path / "*.log"), path, 1)
+    assert counts == {"ok": 4, "failed": 1, "unparsed": 3}
+    events = store.read_case(spark, path, 1)
+    assert sorted(r.ip for r in events.collect()) == ["2001:db8::1", "2001:db8::1", "8.8.8.8", "9.9.9.9"]
+    assert store.filter_ip(events, "2001:0DB8:0::1").count() == 2
+    assert events.filter("length(url) > 9000 and array_contains(tags, 'sqli')").count() == 1
+    lost = store.read_rejected(spark, path, 1).filter("verdict = 'unparsed'")
+    assert {"garbage here", text[5]} <= {r.raw for r in lost.collect()}
+
+
+def test_one_spelling_for_each_address(spark):
+    from pyspark.sql import functions as F
+
+    from spoor.functions.ip import canonical_ip
+    cases = {"::": "::", "::1": "::1", "1::": "1::", "2001:0db8:0:0:1:0:0:1": "2001:db8::1:0:0:1", "::ffff:1.2.3.4": "1.2.3.4",
+             "1:0:2:0:3:0:4:0": "1:0:2:0:3:0:4:0", "0:0:1:0:0:0:0:2": "0:0:1::2", "8.8.8.8": "8.8.8.8", "x:y": "x:y"}
+    rows = spark.createDataFrame([(k,) for k in cases], "ip string").select("ip", canonical_ip(F.col("ip")).alias("c")).collect()
+    assert {r.ip: r.c for r in rows} == cases
