@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -150,6 +151,10 @@ def is_non_global_ip(ip: Column) -> Column:
     return _let(ip_hex(F.trim(ip)), reserved)
 
 
+def is_ipv4_text(ip: str) -> bool:
+    return re.fullmatch(_IPV4, ip) is not None
+
+
 def subnet24(ip: Column) -> Column:
     """First three octets of an IPv4 address as ``a.b.c.0/24``; other text as is."""
     return F.when(ip.rlike(rf"^{_IPV4}$"),

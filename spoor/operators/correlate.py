@@ -161,6 +161,11 @@ def timeline(events: DataFrame, ip=None, start=None, end=None, include_benign: b
     sessions = session_phase(roll_up(slots, rules), rules)
     if not include_benign:
         sessions = sessions.filter(F.col("phase") != "benign")
+    if samples and not include_benign and "tags" not in events.columns:
+        # Looking up the slots kept costs less than tagging the URLs of all others a second time.
+        sessions = stage(sessions, "sessions-kept")
+        slots = stage(slots.join(sessions.select(*SESSION), SESSION, "left_semi").select(*SLOT, "session_no"), "slots-kept")
+        events = events.withColumn("slot", slot_of(gap_seconds)).join(slots, SLOT, "left_semi").drop("slot")
     if samples:
         sessions = sessions.join(session_samples(events, rules, gap_seconds, slots), SESSION,
                                  "left")

@@ -105,6 +105,11 @@ def find_dangerous_method(events: DataFrame, max_ips: int | None = None, case_id
     return _labelled_findings(hits, F.array(F.lit(METHOD[0])), None, max_ips, case_id, now)
 
 
+def _clock(seconds: int) -> Column:
+    """Number of the step of the clock that an event falls into."""
+    return F.floor(F.unix_seconds("ts") / seconds)
+
+
 def _busiest(per_ip: DataFrame, n: int | None, measure: str = "count") -> DataFrame:
     """The n addresses with most rows, ties in address order."""
     if n is None:
@@ -116,10 +121,15 @@ def find_brute_force(events: DataFrame, threshold: int = R.BRUTE_FORCE_THRESHOLD
                      window_seconds: int = R.BRUTE_FORCE_WINDOW_SECONDS,
                      max_ips: int | None = None, case_id: int = 0, now=None) -> DataFrame:
     """Addresses whose worst window of refused logins reaches the threshold."""
-    slot = F.floor(F.unix_seconds("ts") / window_seconds)
     windows = (events.filter(F.col("status").isin(*R.AUTH_FAILURES))
-               .groupBy(F.col("ip").alias("source_ip"), slot.alias("slot"))
+               .groupBy(F.col("ip").alias("source_ip"), _clock(window_seconds).alias("slot"))
                .agg(F.count("*").alias("n")))
+    return _brute_force(windows, threshold, window_seconds, max_ips, case_id, now)
+
+
+def _brute_force(windows, threshold=R.BRUTE_FORCE_THRESHOLD, window_seconds=R.BRUTE_FORCE_WINDOW_SECONDS,
+                 max_ips=None, case_id=0, now=None) -> DataFrame:
+    """``windows``: source_ip and the number ``n`` of refused logins, one row per window."""
     per_ip = windows.groupBy("source_ip").agg(F.max("n").alias("worst"), F.sum("n").alias("count"))
     rows = _busiest(per_ip.filter(F.col("worst") >= threshold), max_ips)
     text = F.format_string(f"%d refused logins (401/403) within {window_seconds // 60} minutes",
@@ -133,6 +143,11 @@ def find_enum_404(events: DataFrame, threshold: int = R.ENUM_404_THRESHOLD,
     per_ip = events.filter(F.col("status") == 404).groupBy(F.col("ip").alias("source_ip")).agg(
         F.count("*").alias("count"), F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"))
+    return _enum_404(per_ip, threshold, max_ips, case_id, now)
+
+
+def _enum_404(per_ip, threshold=R.ENUM_404_THRESHOLD, max_ips=None, case_id=0, now=None) -> DataFrame:
+    """``per_ip``: source_ip, count, first_seen and last_seen of missing paths."""
     rows = _busiest(per_ip.filter(F.col("count") >= threshold), max_ips)
     text = F.format_string("%d responses were 404: path enumeration", F.col("count"))
     return _findings(_with_rule(rows, "enumeration_404", "medium", text), case_id, now)
@@ -158,8 +173,15 @@ def find_exfil_bytes(events: DataFrame, min_bytes: int = R.EXFIL_MIN_BYTES,
     Mean and deviation are one row, read when the frame is made; no address is left out and no
     task sees all of them. ``candidates`` compares the busiest addresses only.
     """
-    per_ip = _busiest(stage(events.groupBy(F.col("ip").alias("source_ip")).agg(
-        F.count("*").alias("count"), F.sum("bytes").alias("total")), "bytes-by-ip"), candidates)
+    per_ip = events.groupBy(F.col("ip").alias("source_ip")).agg(
+        F.count("*").alias("count"), F.sum("bytes").alias("total"))
+    return _exfil_bytes(per_ip, min_bytes, candidates, min_ips, sigmas, case_id, now)
+
+
+def _exfil_bytes(per_ip, min_bytes=R.EXFIL_MIN_BYTES, candidates=None, min_ips=R.EXFIL_MIN_IPS,
+                 sigmas=3.0, case_id=0, now=None) -> DataFrame:
+    """``per_ip``: source_ip, count of requests and total of bytes."""
+    per_ip = _busiest(stage(per_ip, "bytes-by-ip"), candidates)
     fleet = per_ip.agg(F.count("total").alias("n"), F.avg("total").alias("mean"),
                        F.stddev_pop("total").alias("sigma")).first()
     usual = fleet.n >= min_ips and (fleet.sigma or 0) > 0
@@ -185,7 +207,7 @@ def find_rare_ua(events: DataFrame, max_count: int = R.RARE_UA_MAX_COUNT,
 
 def hourly_counts(events: DataFrame) -> DataFrame:
     """``hour, count`` of the hours that hold events; ``hour`` counts from 1970."""
-    return (events.groupBy(F.floor(F.unix_seconds("ts") / 3600).alias("hour"))
+    return (events.groupBy(_clock(3600).alias("hour"))
             .agg(F.count("*").alias("count")))
 
 
@@ -198,11 +220,16 @@ def find_traffic_spike(events: DataFrame, zscore: float = R.SPIKE_ZSCORE,
     They change mean and deviation but can never be a spike themselves, so
     they enter as a number and no row is made for them.
     """
+    return _traffic_spike(hourly_counts(events), zscore, min_hours, case_id, now)
+
+
+def _traffic_spike(hourly, zscore=R.SPIKE_ZSCORE, min_hours=R.SPIKE_MIN_HOURS, case_id=0, now=None) -> DataFrame:
+    """``hourly``: hour and count."""
     # One row per hour of the calendar that holds events is left, so an
     # unpartitioned window costs less than a second scan for the statistics.
     fleet = Window.partitionBy()
     span = (F.max("hour").over(fleet) - F.min("hour").over(fleet) + 1)
-    rows = (hourly_counts(events)
+    rows = (hourly
             .withColumns({"hours": span, "mean": F.sum("count").over(fleet) / span,
                           "used": F.count("*").over(fleet)})
             .withColumn("squares", F.sum((F.col("count") - F.col("mean"))
@@ -218,24 +245,42 @@ def find_traffic_spike(events: DataFrame, zscore: float = R.SPIKE_ZSCORE,
     return _findings(_with_rule(rows, "traffic_spike", "medium", text), case_id, now)
 
 
+def activity(events: DataFrame, window_seconds: int = R.BRUTE_FORCE_WINDOW_SECONDS) -> DataFrame:
+    """What each address did in each window of each hour: ``source_ip, slot, hour, count, total, refused,
+    missing, first_missing, last_missing``. All thresholds follow from these sums."""
+    lost = F.col("status") == 404
+    return events.groupBy(F.col("ip").alias("source_ip"), _clock(window_seconds).alias("slot"),
+                          _clock(3600).alias("hour")).agg(
+        F.count("*").alias("count"), F.sum("bytes").alias("total"),
+        F.count_if(F.col("status").isin(*R.AUTH_FAILURES)).alias("refused"), F.count_if(lost).alias("missing"),
+        F.min(F.when(lost, F.col("ts"))).alias("first_missing"), F.max(F.when(lost, F.col("ts"))).alias("last_missing"))
+
+
 def all_findings(events: DataFrame, rules: R.RuleSet = R.DEFAULT_RULES,
                  max_ips: int | None = None, case_id: int = 0, now=None,
                  thresholds: dict | None = None) -> DataFrame:
-    """Every finding of a case. Signatures, clients and methods share one scan.
+    """Every finding of a case, in three scans: labels, rare clients, and all thresholds together.
 
     ``thresholds`` maps a detector's name to keyword arguments, for example
     ``{"brute_force": {"threshold": 5}}``.
     """
     given = thresholds or {}
     common = {"case_id": case_id, "now": now}
+    brute = given.get("brute_force", {})
+    done = stage(activity(events, brute.get("window_seconds", R.BRUTE_FORCE_WINDOW_SECONDS)), "activity")
+    windows = done.filter("refused > 0").groupBy("source_ip", "slot").agg(F.sum("refused").alias("n"))
+    missing = done.filter("missing > 0").groupBy("source_ip").agg(
+        F.sum("missing").alias("count"), F.min("first_missing").alias("first_seen"), F.max("last_missing").alias("last_seen"))
+    sent = done.groupBy("source_ip").agg(F.sum("count").alias("count"), F.sum("total").alias("total"))
+    hourly = done.groupBy("hour").agg(F.sum("count").alias("count"))
     parts = [
         _labelled_findings(events, _all_labels(url_tags(events.columns, rules)), rules, max_ips,
                            case_id, now),
-        find_brute_force(events, max_ips=max_ips, **common, **given.get("brute_force", {})),
-        find_enum_404(events, max_ips=max_ips, **common, **given.get("enum_404", {})),
-        find_exfil_bytes(events, **common, **given.get("exfil_bytes", {})),
+        _brute_force(windows, **{"max_ips": max_ips, **common, **brute}),
+        _enum_404(missing, **{"max_ips": max_ips, **common, **given.get("enum_404", {})}),
+        _exfil_bytes(sent, **common, **given.get("exfil_bytes", {})),
         find_rare_ua(events, **common, **given.get("rare_ua", {})),
-        find_traffic_spike(events, **common, **given.get("traffic_spike", {})),
+        _traffic_spike(hourly, **common, **given.get("traffic_spike", {})),
     ]
     result = parts[0]
     for part in parts[1:]:

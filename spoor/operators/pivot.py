@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor import rules as R
-from spoor.functions.ip import subnet24
+from spoor.functions.ip import is_ipv4_text, subnet24
 from spoor.functions.text import is_scanner_ua
 from spoor.operators.correlate import SLOT, session_slots, slot_of
 from spoor.schema import POSITION
 from spoor.session import stage
+from spoor.sources.store import filter_ip
 
 MARGIN_SECONDS = 300
 
@@ -21,9 +22,13 @@ def pivot_ip(events: DataFrame, sessions: DataFrame, findings: DataFrame, ip: st
     ``source, ip, count, first_seen, last_seen``; rows cover the whole /24.
     """
     net = subnet24(F.lit(ip))
+    block = f"{ip}/24" if is_ipv4_text(ip) else None
 
     def part(rows: DataFrame, source: str, column: str, first: str, last: str) -> DataFrame:
-        near = rows.filter(subnet24(F.col(column)) == net)
+        near = rows
+        if block and "ip_key" in rows.columns:
+            near = filter_ip(rows, block)          # reaches the Parquet reader
+        near = near.filter(subnet24(F.col(column)) == net)
         return near.groupBy(F.lit(source).alias("source"), F.col(column).alias("ip")).agg(
             F.count("*").alias("count"), F.min(first).alias("first_seen"),
             F.max(last).alias("last_seen"))

@@ -20,6 +20,7 @@ from spoor.operators.tokenize import tokenize
 from spoor.schema import POSITION
 
 BACKSTEP_SECONDS = 3600
+PIECE_LINES = 1 << 20      # consecutive lines that one task puts in order
 CHECKS = ("low_parse_rate", "missing_timezone", "timezone_is_utc", "inconsistent_datetime",
           "non_chronological", "private_client_ip", "mixed_ip_versions", "query_string_empty",
           "empty_core_field")
@@ -151,19 +152,22 @@ def backsteps(rows: DataFrame, limit_seconds: int = BACKSTEP_SECONDS) -> DataFra
     """One row ``backward``: how often time falls by more than the limit between
     consecutive readable lines of a file.
 
-    Lines are compared inside each file split; of a split only its first and
-    last time go on, and those few rows are compared across split borders.
+    Lines are compared inside pieces of a file split, so a file that cannot be
+    split is no single task either; of a piece only its first and last time go
+    on, and those few rows are compared across borders.
     """
-    times = rows.filter("moment is not null").select(*POSITION, "moment")
-    in_block = Window.partitionBy("src_file", "block_start").orderBy("seq")
+    piece = ["src_file", "block_start", "piece"]
+    times = rows.filter("moment is not null").select(
+        *POSITION, F.floor(F.col("seq") / PIECE_LINES).alias("piece"), "moment")
+    in_block = Window.partitionBy(*piece).orderBy("seq")
     previous = F.lag("moment").over(in_block)
     fall = F.unix_micros("before") - F.unix_micros("moment") > limit_seconds * 1_000_000
     blocks = (times.withColumn("before", previous)
-              .groupBy("src_file", "block_start").agg(
+              .groupBy(*piece).agg(
                   F.count_if(fall).alias("inside"),
                   F.min(F.struct("seq", "moment")).alias("first"),
                   F.max(F.struct("seq", "moment")).alias("last")))
-    in_file = Window.partitionBy("src_file").orderBy("block_start")
+    in_file = Window.partitionBy("src_file").orderBy("block_start", "piece")
     drop = (F.unix_micros(F.lag("last.moment").over(in_file))
             - F.unix_micros("first.moment")) > limit_seconds * 1_000_000
     return (blocks.withColumn("border", F.when(drop, 1).otherwise(0))

@@ -66,6 +66,14 @@ def test_timeline_and_chains(events_of):
     assert correlate.timeline(events, ip="1.1.1.1").count() == 2
 
 
+def test_samples_are_those_of_all_sessions(events_of):
+    rows = [{"ip": f"1.1.1.{i % 5}", "s": i * 40, "url": "/.git/x" if i % 5 < 2 and i % 3 == 0 else f"/p{i}"} for i in range(200)]
+    events = events_of(rows)
+    kept = correlate.timeline(events).collect()
+    every = correlate.timeline(events, include_benign=True).filter("phase <> 'benign'").collect()
+    assert kept == every and {r["ip"] for r in kept} == {"1.1.1.0", "1.1.1.1"}
+
+
 def test_events_combine_before_the_shuffle(spark):
     plan = correlate.slot_sums(weblog(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "partial_bit_or" in plan

@@ -113,6 +113,22 @@ def test_empty_case(events_of):
     assert detect.all_findings(events_of([{}]).limit(0)).collect() == []
 
 
+def test_all_findings_equal_the_single_detectors(events_of):
+    rows = [{"ip": f"1.0.0.{i % 12}", "s": i * 7, "bytes": 10 ** 6 if i % 12 == 3 else 10,
+             "status": (200, 401, 404, 403, 200)[i % 5], "ua": "rare/1" if i == 9 else "UA"} for i in range(900)]
+    rows += [{"ip": "1.0.0.1", "s": 4 * 3600 + i % 60} for i in range(2000)]
+    rows += [{"ip": "1.0.0.2", "s": h * 3600} for h in range(40)]
+    events = events_of(rows)
+    given = {"brute_force": {"threshold": 3, "window_seconds": 700}, "enum_404": {"threshold": 10},
+             "exfil_bytes": {"min_bytes": 1000}, "rare_ua": {}, "traffic_spike": {}}
+    whole = [r for r in detect.all_findings(events, now=NOW, thresholds=given).collect()]
+    single = []
+    for name, kw in given.items():
+        single += getattr(detect, f"find_{name}")(events, now=NOW, **kw).select(*whole[0].__fields__).collect()
+    assert len({r["rule"] for r in single}) == 5
+    assert sorted(map(str, whole)) == sorted(map(str, single))
+
+
 def test_listing_order(events_of):
     rows = [{"ip": "1.0.0.1", "url": "/.git/"}, {"ip": "1.0.0.2", "url": "/shell.php"},
             {"ip": "1.0.0.1", "url": "/.git/"}, {"ip": "1.0.0.3", "url": "/.env"}]

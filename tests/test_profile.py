@@ -112,6 +112,14 @@ def test_backsteps_do_not_depend_on_splits(lines_of, split):
     assert profile.backsteps(rows).first()["backward"] == 3
 
 
+@pytest.mark.parametrize("piece", [1, 3, 4])
+def test_backsteps_do_not_depend_on_pieces(lines_of, monkeypatch, piece):
+    hours = [5, 6, 3, 4, 9, 9, 1, 2, 8, 0]
+    lines = [f'8.8.8.8 - - [01/Jan/2024:{h:02d}:00:00 +0000] "GET / HTTP/1.1" 200 1 "-" "A"' for h in hours]
+    monkeypatch.setattr(profile, "PIECE_LINES", piece)
+    assert profile.backsteps(profile.observed(lines_of(lines), "apache")).first()["backward"] == 3
+
+
 def test_mixed_versions_and_bad_times(lines_of):
     line = '{} - - [{}] "GET / HTTP/1.1" 200 1'
     _, _, checks = _run(lines_of, "generic", [line.format("9.9.9.9", "10/Jul/2026:13:55:36 +0000"),
