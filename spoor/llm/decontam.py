@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,115 +28,171 @@ UNITS = frozenset(
     "lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons s sec second seconds min minute "
     "minutes h hour hours day days week weeks month months year years dollar dollars euro euros cent cents mph kmh "
     "meter meters metre metres kilometer kilometers kilometre kilometres percent degree degrees".split())
+# Words that open sentences without being names. Words that are names as well (Will, May, Mark) are not here.
+OPENERS = frozenset(
+    "a about add after all also although among an and any are as assume at based because before both but by calculate can "
+    "choose complete compute consider could determine did do does each either estimate evaluate every explain express factor "
+    "find first five for four from give given he her here his how however identify if in is it its let list many more most "
+    "multiply name no not now of on one only or other our out round select she should show simplify since six so solve some "
+    "subtract suppose ten that the their then there these they this those three to two under using was we were what when "
+    "where which while who whom whose why with without write you your".split())
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[%$€£¥°]|[.!?:;\n]")
-WORD, NUMBER, CAPITAL, UNIT, STOP = range(5)
+WORD, NUMBER, CAPITAL, UNIT, STOP, OPENER = range(6)
 PLACEHOLDER = {NUMBER: 0x9D39247E33776D41, CAPITAL: 0x2AF7398005AAA5C7, UNIT: 0x44DB015024623547}
 STEP = np.uint64(0x9E3779B97F4A7C15)
+CHUNK = 1 << 19          # characters of texts that are worked on together
+
+# How a capitalised word that begins a sentence is read. Windows meet windows of the same reading only.
+AS_WORD, AS_NAME = range(2)
+READINGS = (AS_WORD, AS_NAME)
 
 
 def _spell(token: str) -> int:
     """64-bit value of a token, without case."""
-    raw = token.lower().encode("utf-8", "surrogatepass")
+    raw = token.casefold().encode("utf-8", "surrogatepass")
     return (zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x5BD1E995)) ^ len(raw)
 
 
 class Speller(dict):
-    """Token -> (value, class), computed once; forgets all when it grows."""
+    """Token -> place of its value and class, computed once; forgets all between texts when it has grown."""
 
-    def __missing__(self, token: str) -> tuple[int, int]:
-        if len(self) > 300_000:
-            self.clear()
+    def __init__(self):
+        super().__init__()
+        self.values, self.kinds = array("Q"), array("b")
+
+    def __missing__(self, token: str) -> int:
         first = token[0]
         kind = (NUMBER if first.isdigit() else STOP if first in ".!?:;\n" else UNIT if token.lower() in UNITS
-                else CAPITAL if first.isupper() else WORD)
-        self[token] = made = (_spell(token), kind)
-        return made
+                else WORD if not first.isupper() else OPENER if token.lower() in OPENERS else CAPITAL)
+        self[token] = place = len(self.values)
+        self.values.append(_spell(token))
+        self.kinds.append(kind)
+        return place
+
+    def spelled(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Value and class of all tokens, text after text."""
+        if len(self) > 300_000:
+            self.clear()
+            self.values, self.kinds = array("Q"), array("b")
+        place = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        if not len(place):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        return np.array(self.values, np.uint64)[place], np.array(self.kinds, np.int8)[place]
 
 
-def template(text: str | None, speller: Speller) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(canonical, value, class) of the tokens of a text.
+def template(value: np.ndarray, kind: np.ndarray, text: np.ndarray, reading: int) -> tuple[np.ndarray, ...]:
+    """(canonical, value, class, text) of the tokens of texts; ``text`` numbers the text of each token.
 
-    A number is a slot; so is a unit right before or after one, and a capitalised word that does not
-    begin a sentence. Names in a row are one slot. Other words stand for themselves, without case.
+    A number is a slot; so is a unit right before or after one, and a capitalised word. One that begins a
+    sentence is a plain word in the reading AS_WORD; in AS_NAME it is a slot, too, unless it is one of
+    OPENERS. Names in a row are one slot. Other words stand for themselves, without case.
     """
-    tokens = TOKEN.findall(text or "")
-    if not tokens:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
-    spelled = np.array([speller[t] for t in tokens], dtype=np.uint64)
-    value, kind = spelled[:, 0], spelled[:, 1].astype(np.int8)
-    starts = np.concatenate(([True], kind[:-1] == STOP))
-    kind = np.where((kind == CAPITAL) & starts, WORD, kind)
+    begins = np.ones(len(kind), bool)
+    begins[1:] = (kind[:-1] == STOP) | (text[1:] != text[:-1])
+    plain = begins & ((kind == OPENER) | ((kind == CAPITAL) & (reading == AS_WORD)))
+    kind = np.where(plain, WORD, np.where(kind == OPENER, CAPITAL, kind)).astype(np.int8)
     words = kind != STOP
-    value, kind = value[words], kind[words]
-    number = kind == NUMBER
+    value, kind, text = value[words], kind[words], text[words]
+    number, joined = kind == NUMBER, np.zeros(len(kind), bool)
+    joined[1:] = text[1:] == text[:-1]
     beside = np.zeros(len(kind), bool)
-    beside[1:] |= number[:-1]
-    beside[:-1] |= number[1:]
-    kind = np.where((kind == UNIT) & ~beside, WORD, kind)
+    beside[1:] |= number[:-1] & joined[1:]
+    beside[:-1] |= number[1:] & joined[1:]
+    kind[(kind == UNIT) & ~beside] = WORD
     name = kind == CAPITAL
-    first = name & ~np.concatenate(([False], name[:-1]))
     if name.any():                              # a run of names is one slot with a common value
-        run = np.cumsum(first) - 1
+        first = name.copy()
+        first[1:] &= ~(name[:-1] & joined[1:])
         sums = np.zeros(int(first.sum()), np.uint64)
-        np.add.at(sums, run[name], value[name] * STEP)
+        np.add.at(sums, (np.cumsum(first) - 1)[name], value[name] * STEP)
         value = value.copy()
         value[first] = sums
         keep = ~name | first
-        value, kind = value[keep], kind[keep]
+        value, kind, text = value[keep], kind[keep], text[keep]
     canonical = value.copy()
     for k, mark in PLACEHOLDER.items():
         canonical[kind == k] = np.uint64(mark)
-    return canonical, value, kind
+    return canonical, value, kind, text
 
 
-def window_hashes(canonical: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of ``width`` tokens, and whether it has enough plain words."""
-    n = len(canonical) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
+def window_hashes(canonical: np.ndarray, kind: np.ndarray, text: np.ndarray, widths: list[int],
+                  reading: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, hashes, telling) of the windows from each token on: whether it lies in one text and has enough plain words."""
     mixed = canonical * STEP
     mixed ^= mixed >> np.uint64(29)
-    out = np.full(n, width, np.uint64)
-    for k in range(width):
-        out = (out ^ mixed[k:k + n]) * np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(31)
+    state = np.full(len(mixed), reading + 1, np.uint64)
     plain = np.concatenate(([0], np.cumsum(kind == WORD)))
-    return out.view(np.int64), plain[width:width + n] - plain[:n] >= min(LITERALS, max(1, width // 2))
-
-
-WINDOW_COLUMNS = "id long, width int, at int, hash long, slots array<struct<place: int, kind: int, value: long>>, total int"
-
-
-def _rows(ident, text, widths, wanted: np.ndarray | None, speller: Speller) -> list[tuple]:
-    """Windows of a text: all, or those whose hash is in the sorted array ``wanted``."""
-    canonical, value, kind = template(text, speller)
-    out = []
-    for width in (widths or [min(WINDOW, len(canonical))]):
-        hashes, telling = window_hashes(canonical, kind, width) if width else window_hashes(canonical, kind, 1)
-        keep = telling
-        if wanted is not None:
-            keep = keep & (wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes)
-        for at in np.flatnonzero(keep).tolist():
-            slots = [(at + k, int(kind[at + k]), int(value[at + k].view(np.int64)))
-                     for k in range(width) if kind[at + k] != WORD]
-            out.append((ident, width, at, int(hashes[at]), slots, int(telling.sum())))
+    for width in range(1, min(max(widths, default=0), len(mixed)) + 1):
+        n = len(mixed) - width + 1
+        state = (state[:n] ^ mixed[width - 1:]) * np.uint64(0xBF58476D1CE4E5B9)
+        state ^= state >> np.uint64(31)
+        if width in widths:
+            hashes = (state + np.uint64(width)) * STEP
+            telling = text[:n] == text[width - 1:]
+            telling &= plain[width:] - plain[:n] >= min(LITERALS, max(1, width // 2))
+            yield width, (hashes ^ hashes >> np.uint64(32)).view(np.int64), telling
+
+
+WINDOW_COLUMNS = ("id long, reading int, width int, at int, hash long, slots array<struct<place: int, kind: int, value: long>>, "
+                  "total int")
+
+
+class Wanted:
+    """Membership in a sorted array of hashes; a table of bits spares most searches."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, bits = hashes, int(np.clip(len(hashes).bit_length() + 4, 16, 25))
+        self.mask = np.int64((1 << bits) - 1)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[hashes & self.mask] = True
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        maybe = np.flatnonzero(self.table[hashes & self.mask])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
+        return maybe[self.hashes[at] == hashes[maybe]]
+
+
+def _rows(idents: list[int], texts: list[str], widths, wanted: Wanted | None, speller: Speller) -> list[tuple]:
+    """Windows of texts: all, or those whose hash is ``wanted``. Without ``widths``, of one text."""
+    tokens = [TOKEN.findall(t) for t in texts]
+    spelled, out = speller.spelled(tokens), []
+    number = np.repeat(np.arange(len(texts)), [len(t) for t in tokens])
+    for reading in READINGS:
+        canonical, value, kind, text = template(*spelled, number, reading)
+        start = np.searchsorted(text, np.arange(len(texts)))
+        for width, hashes, telling in window_hashes(canonical, kind, text, widths or [min(WINDOW, len(kind))], reading):
+            total = np.bincount(text[:len(telling)][telling], minlength=len(texts))
+            found = np.flatnonzero(telling) if wanted is None else wanted.places(hashes)
+            for at in found[telling[found]].tolist():
+                own = int(text[at])
+                place = at - int(start[own])
+                slots = [(place + k, int(kind[at + k]), int(value[at + k].view(np.int64)))
+                         for k in range(width) if kind[at + k] != WORD]
+                out.append((idents[own], reading, width, place, int(hashes[at]), slots, int(total[own])))
     return out
 
 
 def windows(rows: DataFrame, id_column: str, widths: list[int] | None = None, wanted=None) -> DataFrame:
     """Template windows of ``rows`` (id, text). ``wanted``: broadcast sorted hashes to keep."""
-    names = ["id", "width", "at", "hash", "slots", "total"]
+    names = ["id", "reading", "width", "at", "hash", "slots", "total"]
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        speller, kept = Speller(), None if wanted is None else wanted.value
+        speller, kept = Speller(), None if wanted is None else Wanted(wanted.value)
         for batch in batches:
-            found = []
+            found, idents, texts, size = [], [], [], 0
             for ident, text in zip(batch["id"], batch["text"]):
-                if not pd.isna(ident):
-                    found += _rows(int(ident), text, widths, kept, speller)
+                if not pd.isna(ident) and text:
+                    idents.append(int(ident))
+                    texts.append(text)
+                    size += len(text)
+                if texts and (size > CHUNK or widths is None):
+                    found += _rows(idents, texts, widths, kept, speller)
+                    idents, texts, size = [], [], 0
                 if len(found) > 20_000:
                     yield pd.DataFrame(found, columns=names)
                     found = []
+            if texts:
+                found += _rows(idents, texts, widths, kept, speller)
             yield pd.DataFrame(found, columns=names)
 
     narrow = rows.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -166,16 +224,18 @@ def leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", item_col
     Windows are joined by hash. Along one alignment (document place minus item place) each slot value of
     the item has to stand for one value of the document, and the other way round. The value seen most
     often (of equal ones the smaller) is the one; windows with any other do not count. Null ids, null and empty texts take no part; repeated rows count once. A
-    passage that a third of all documents hold makes one hit per window and document.
+    passage that a third of all documents hold makes one hit per window and document. Each reading is judged on its own;
+    the figures are those of the reading with the greatest coverage, then the longest run, then the first.
     """
-    own = stage(windows(items, item_column).dropDuplicates(["id", "width", "at"]), "leak-items")
-    item = own.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", "width",
+    own = stage(windows(items, item_column).dropDuplicates(["id", "reading", "width", "at"]), "leak-items")
+    item = own.select(F.col("id").alias("item_id"), "reading", F.col("at").alias("item_at"), "hash", "width",
                       F.col("slots").alias("item_slots"), F.col("total").alias("windows"))
-    hits = stage(_hits(docs, own, id_column).dropDuplicates(["id", "width", "at"]), "leak-hits")
-    hit = hits.select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "hash", "width",
+    hits = stage(_hits(docs, own, id_column).dropDuplicates(["id", "reading", "width", "at"]), "leak-hits")
+    hit = hits.select(F.col("id").alias("doc_id"), "reading", F.col("at").alias("doc_at"), "hash", "width",
                       F.col("slots").alias("doc_slots"))
-    line = ["doc_id", "item_id", "shift"]
-    met = stage(hit.join(item, ["hash", "width"]).withColumn("shift", F.col("doc_at") - F.col("item_at")), "leak-met")
+    pair = ["doc_id", "item_id", "reading"]
+    line = [*pair, "shift"]
+    met = stage(hit.join(item, ["hash", "width", "reading"]).withColumn("shift", F.col("doc_at") - F.col("item_at")), "leak-met")
     slots = met.select(*line, "item_at", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("z")).select(
         *line, "item_at", F.col("z.item_slots.kind").alias("kind"), F.col("z.item_slots.value").alias("asked"),
         F.col("z.doc_slots.value").alias("given"))
@@ -191,12 +251,14 @@ def leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", item_col
     same = F.expr("forall(arrays_zip(item_slots, doc_slots), z -> z.item_slots.value = z.doc_slots.value)")
     runs = ranked.groupBy(*line, "run").agg(F.count("*").alias("length"), F.bool_and(same).alias("same"),
                                             F.max("windows").alias("windows"))
-    long = runs.groupBy("doc_id", "item_id").agg(F.max("length").alias("longest_run"), F.bool_and("same").alias("same_values"),
-                                                 F.max("windows").cast("long").alias("windows"))
-    seen = kept.select("doc_id", "item_id", "item_at").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"))
-    both = long.join(seen, ["doc_id", "item_id"]).withColumn("coverage", F.col("matched") / F.col("windows"))
-    return both.filter((F.col("coverage") >= MIN_COVERAGE) | (F.col("longest_run") >= MIN_RUN)).select(
-        "doc_id", "item_id", "matched", "windows", "coverage", "longest_run", "same_values")
+    long = runs.groupBy(*pair).agg(F.max("length").alias("longest_run"), F.bool_and("same").alias("same_values"),
+                                   F.max("windows").cast("long").alias("windows"))
+    seen = kept.select(*pair, "item_at").distinct().groupBy(*pair).agg(F.count("*").alias("matched"))
+    both = long.join(seen, pair).withColumn("coverage", F.col("matched") / F.col("windows"))
+    enough = both.filter((F.col("coverage") >= MIN_COVERAGE) | (F.col("longest_run") >= MIN_RUN))
+    best = F.max(F.struct("coverage", "longest_run", (-F.col("reading")).alias("order"), "matched", "windows", "same_values"))
+    return enough.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
+        "doc_id", "item_id", *[f"best.{c}" for c in ("matched", "windows", "coverage", "longest_run", "same_values")])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -356,6 +356,17 @@ def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
     assert sorted(map(tuple, decontam.leaks(docs, items).collect())) == whole
 
 
+def test_changed_names_that_begin_sentences_are_caught(docs_of):
+    ask = "{a} has 5 apples. {b} has 3 apples. How many apples do {a} and {b} have?"
+    short = "{a} sold 12 red kites today."
+    items = docs_of([(1, ask.format(a="Alice", b="Bob")), (2, short.format(a="Alice")), (3, "What is the capital of France?")])
+    docs = docs_of([(1, "well\n" + ask.format(a="Zoe", b="Max")), (2, "So. " + short.format(a="Zoe")), (3, "Paris is the capital of France."),
+                    (4, ask.replace(". ", ".\n").format(a="Zoe", b="Max Frost")), (5, ask.format(a="Zoe", b="Zoe"))])
+    found = {(r.doc_id, r.item_id): r for r in decontam.leaks(docs, items.withColumnRenamed("doc_id", "item_id")).collect()}
+    assert {(1, 1), (2, 2), (4, 1)} <= set(found) <= {(1, 1), (2, 2), (4, 1), (5, 1)}
+    assert all(found[k].coverage == 1.0 and not found[k].same_values for k in ((1, 1), (2, 2), (4, 1)))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:y}</style></head><body><header class="site"><h1>Site</h1></header>
 <nav><a href=a>Home</a></nav><div id="cookie-notice">We use cookies</div><div class="wrap w%d"><div class="sidebar">See also</div>
 <div class="post-body"><h2>T&amp;C</h2><p>Hello <b>wor</b>ld &lt;x&gt; &#233;<p>More   text%d here <script>var a="</p>";</script>and on.
