@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from spoor.llm.common import stage
 
 WINDOW = 8               # template tokens of a window; shorter items are one window
-LITERALS = 3             # a window with fewer plain words says nothing (shorter items: one)
+LITERALS = 3             # a window with slots and fewer plain words says nothing (shorter items: one)
 MIN_COVERAGE = 0.5       # share of an item's windows in one document
 MIN_RUN = 13             # or so many windows in a row: 20 tokens
 BLOCK = 1 << 20          # benchmark windows that a task holds at once; more take further passes
@@ -42,9 +42,9 @@ PLACEHOLDER = {NUMBER: 0x9D39247E33776D41, CAPITAL: 0x2AF7398005AAA5C7, UNIT: 0x
 STEP = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 19          # characters of texts that are worked on together
 
-# How a capitalised word that begins a sentence is read. Windows meet windows of the same reading only.
-AS_WORD, AS_NAME = range(2)
-READINGS = (AS_WORD, AS_NAME)
+# How a capitalised word that begins a sentence is read, or no slots at all. Windows meet windows of the same reading only.
+AS_WORD, AS_NAME, VERBATIM = range(3)
+READINGS = (AS_WORD, AS_NAME, VERBATIM)
 
 
 def _spell(token: str) -> int:
@@ -85,8 +85,12 @@ def template(value: np.ndarray, kind: np.ndarray, text: np.ndarray, reading: int
 
     A number is a slot; so is a unit right before or after one, and a capitalised word. One that begins a
     sentence is a plain word in the reading AS_WORD; in AS_NAME it is a slot, too, unless it is one of
-    OPENERS. Names in a row are one slot. Other words stand for themselves, without case.
+    OPENERS. Names in a row are one slot. Other words stand for themselves, without case. VERBATIM has no
+    slots: each token stands for itself, so that copies in any case or line length are the same.
     """
+    if reading == VERBATIM:
+        words = kind != STOP
+        return value[words], value[words], np.zeros(int(words.sum()), np.int8), text[words]
     begins = np.ones(len(kind), bool)
     begins[1:] = (kind[:-1] == STOP) | (text[1:] != text[:-1])
     plain = begins & ((kind == OPENER) | ((kind == CAPITAL) & (reading == AS_WORD)))
@@ -117,7 +121,8 @@ def template(value: np.ndarray, kind: np.ndarray, text: np.ndarray, reading: int
 
 def window_hashes(canonical: np.ndarray, kind: np.ndarray, text: np.ndarray, widths: list[int],
                   reading: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(width, hashes, telling) of the windows from each token on: whether it lies in one text and has enough plain words."""
+    """(width, hashes, telling) of the windows from each token on: whether it lies in one text and has enough plain words.
+    Without slots, every window of one text is telling."""
     mixed = canonical * STEP
     mixed ^= mixed >> np.uint64(29)
     state = np.full(len(mixed), reading + 1, np.uint64)
@@ -129,7 +134,8 @@ def window_hashes(canonical: np.ndarray, kind: np.ndarray, text: np.ndarray, wid
         if width in widths:
             hashes = (state + np.uint64(width)) * STEP
             telling = text[:n] == text[width - 1:]
-            telling &= plain[width:] - plain[:n] >= min(LITERALS, max(1, width // 2))
+            if reading != VERBATIM:
+                telling &= plain[width:] - plain[:n] >= min(LITERALS, max(1, width // 2))
             yield width, (hashes ^ hashes >> np.uint64(32)).view(np.int64), telling
 
 

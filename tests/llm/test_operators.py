@@ -367,6 +367,17 @@ def test_changed_names_that_begin_sentences_are_caught(docs_of):
     assert all(found[k].coverage == 1.0 and not found[k].same_values for k in ((1, 1), (2, 2), (4, 1)))
 
 
+def test_verbatim_copies_of_any_case_and_few_words_are_caught(docs_of):
+    few = "Add 12 34 56 78 90 21 43 65 and 87"
+    named = "Then Ann saw Bob and Eve Fox met Tom while Sue and Kim told Max about Zoe or Liz and Pat left Jim"
+    items = docs_of([(1, few), (2, named)]).withColumnRenamed("doc_id", "item_id")
+    docs = docs_of([(1, f"so {few} now"), (2, named.lower()), (3, named.upper()), (4, named.replace(" ", "\n")),
+                    (5, few.replace("34", "35").replace("65", "66"))])
+    found = {(r.doc_id, r.item_id): r for r in decontam.leaks(docs, items).collect()}
+    assert set(found) == {(1, 1), (2, 2), (3, 2), (4, 2)}
+    assert all(r.coverage == 1.0 and r.same_values for r in found.values())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:y}</style></head><body><header class="site"><h1>Site</h1></header>
 <nav><a href=a>Home</a></nav><div id="cookie-notice">We use cookies</div><div class="wrap w%d"><div class="sidebar">See also</div>
 <div class="post-body"><h2>T&amp;C</h2><p>Hello <b>wor</b>ld &lt;x&gt; &#233;<p>More   text%d here <script>var a="</p>";</script>and on.
