@@ -31,6 +31,7 @@ NOISE = frozenset(
     "modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion "
     "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription toolbar widget widgets".split())
+STATES = frozenset("has hide is js no not show with without".split())   # 'has-sidebar' tells of a sidebar, but is none
 GOOD = {"article": 1.5, "main": 1.2}
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
@@ -55,22 +56,65 @@ class Page:
         return ">".join(reversed(steps))
 
 
+def _noisy(word: str) -> bool:
+    """Whether the whole word, its leading or its last part is noise; a header inside the text is none."""
+    parts = [x for x in re.split(r"[^a-z]+", word) if x]
+    if not parts or not STATES.isdisjoint(parts):
+        return False
+    return parts[0] in NOISE or (parts[-1] in NOISE and (parts[-1] != "header" or parts[0] in ("global", "site", "top")))
+
+
 def _step(name: str, attributes: str) -> tuple[str, bool]:
     """Generalised tag-class of an element, without digits, and whether its name says it is noise."""
     classes, noise = [], False
     if attributes:
         for what, *values in NAMES.findall(attributes):
             words = entities.unescape("".join(values)).lower().split()
-            parts = {x for w in words for x in re.split(r"[^a-z]+", w)}
-            noise |= not parts.isdisjoint(NOISE)
+            noise |= any(map(_noisy, words))
             if what.lower() == "class":
                 classes = sorted({re.sub(r"\d+", "", w).strip("-_") for w in words} - {""})
     return ".".join([name, *classes]), noise
 
 
+def _settle(page: Page, named: list[int], articles: set[int]) -> None:
+    """Mark the elements to skip: those named 1 (class noise and forms) or 2 (by their tag), and all inside them.
+
+    An element that holds most of the text in articles, and a quarter of all text, is read all the same. If
+    less than a quarter of the text is left, so is one named 1 that holds most of it, and if none is left,
+    all that are named 1.
+    """
+    text, art = [0] * len(named), [0] * len(named)
+    for node, block, linked in page.blocks:
+        text[node] += max(0, len(block) - linked)
+    total = sum(text)
+    for n in range(len(named) - 1, -1, -1):
+        art[n] = text[n] if n in articles else art[n]
+        if page.parents[n] >= 0:
+            text[page.parents[n]] += text[n]
+            art[page.parents[n]] += art[n]
+    whole = sum(a for a, p in zip(art, page.parents) if p < 0)
+
+    def skip(n: int, least: int) -> bool:
+        if not named[n] or (named[n] == 1 and least == 2):
+            return False
+        if 2 * art[n] > whole and 4 * art[n] > total:
+            return False
+        return not (least == 1 and named[n] == 1 and 2 * text[n] > total and 4 * (whole - art[n]) <= total)
+
+    for least in range(3):
+        page.skipped = []
+        for n, parent in enumerate(page.parents):
+            page.skipped.append((parent >= 0 and page.skipped[parent]) or skip(n, least))
+        left = sum(max(0, len(b) - linked) for n, b, linked in page.blocks if not page.skipped[n])
+        if (4 * left >= total > 0 and least == 0) or (left and least):
+            break
+
+
 def parse(html: str | None) -> Page:
     """One pass over the tags. Unclosed, misnested and cut-off markup is tolerated."""
     html, page = html or "", Page()
+    named: list[int] = []                  # see _settle
+    articles: set[int] = set()
     stack: list[tuple[str, int]] = []      # block elements that are open
     anchors, text, linked, at = 0, [], 0, 0
 
@@ -81,7 +125,7 @@ def parse(html: str | None) -> Page:
             if joined and stack:
                 page.blocks.append((stack[-1][1], joined, linked))
             elif joined:
-                page.parents.append(-1), page.steps.append("html"), page.skipped.append(False)
+                page.parents.append(-1), page.steps.append("html"), named.append(0)
                 stack.append(("html", len(page.parents) - 1))
                 page.blocks.append((stack[-1][1], joined, linked))
         text, linked = [], 0
@@ -134,15 +178,18 @@ def parse(html: str | None) -> Page:
         step, noise = _step(name, attributes)
         parent = stack[-1][1] if stack else -1
         inside = any(s in ("article", "main") for s, _ in stack)
-        skip = (name in SKIPPED or (noise and name not in ("html", "body", "article", "main"))
-                or (name == "header" and not inside))
         page.parents.append(parent), page.steps.append(step)
-        page.skipped.append(skip or (parent >= 0 and page.skipped[parent]))
+        if name in ("article", "main") and not noise:
+            articles.add(len(named))
+        hard = (name in SKIPPED and name != "form") or (name == "header" and not inside)
+        soft = name == "form" or (noise and name not in ("html", "body", "article", "main"))
+        named.append(2 if hard else 1 if soft else 0)
         stack.append((name, len(page.parents) - 1))
     if at < len(html):
         text.append(html[at:])
         linked += len(html) - at if anchors else 0
     flush()
+    _settle(page, named, articles)
     return page
 
 

@@ -397,6 +397,17 @@ def test_pages_of_a_host_agree_on_a_path(spark):
     assert extract.extract_text(pages.limit(0)).count() == 0
 
 
+def test_wrappers_with_noise_in_their_names_keep_the_text():
+    body = "<article><div class='entry-header'><h1>Head</h1></div><p>" + "Long text of it. " * 20 + "</article>"
+    rest = "<div class='site-footer'>Foot</div><div class='related'><article>Teaser</article></div>"
+    for wrap in ("div class='content has-sidebar'", "div class=no-sidebar", "div class=with-footer", "div id='legal-article'", "form",
+                 "div class=widget"):
+        for inner in (body, body.replace("article", "section")):
+            found = extract.main_text(f"<body><{wrap}>{inner}</{wrap.split()[0]}>{rest if inner == body else ''}</body>", None)
+            assert "Head" in found and found.count("Long text") == 20 and "Foot" not in found and "Teaser" not in found, wrap
+    assert extract.main_text("<div class=post><p>Short post</div><div class=comments><p>" + "reply " * 5 + "</div>", None) == "Short post"
+
+
 def test_hostile_markup_is_read_in_time():
     for html in ("<" * 200_000, "<div>" * 50_000 + "x", "<!--" * 50_000, "<a b='" * 20_000, "<script>" * 20_000, "&" * 200_000):
         extract.main_text(html, None)
