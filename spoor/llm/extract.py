@@ -209,24 +209,49 @@ def scores(page: Page) -> dict[int, float]:
     return {n: s * GOOD.get(page.steps[n].split(".")[0], 1.0) for n, s in out.items() if s > 0}
 
 
+def container(page: Page) -> int | None:
+    """The best container (of equal ones the first in the page), or its farthest ancestor on the way to
+    which each one that adds text to be read adds mostly unlinked text."""
+    found = scores(page)
+    if not found:
+        return None
+    plain, linked = [0] * len(page.parents), [0] * len(page.parents)
+    for node, text, links in page.blocks:
+        if not page.skipped[node]:
+            plain[node] += max(0, len(text) - links)
+            linked[node] += min(len(text), links)
+    for n in range(len(page.parents) - 1, -1, -1):
+        if page.parents[n] >= 0:
+            plain[page.parents[n]] += plain[n]
+            linked[page.parents[n]] += linked[n]
+    top = at = max(found, key=lambda n: (found[n], -n))
+    while (at := page.parents[at]) >= 0:
+        more, links = plain[at] - plain[top], linked[at] - linked[top]
+        if more + links and more <= links:
+            break
+        if more:
+            top = at
+    return top
+
+
 def best_path(html: str | None) -> str | None:
-    """Generalised path of the page's best container; of equal ones the first in the page."""
+    """Generalised path of the page's container."""
     page = parse(html)
-    found = scores(page)
-    return page.path(max(found, key=lambda n: (found[n], -n))) if found else None
+    node = container(page)
+    return None if node is None else page.path(node)
 
 
 def main_text(html: str | None, winners: list[str] | None) -> str:
-    """Blocks in the first winning path that the page has, else in its own best container."""
+    """Blocks in the first winning path that the page has, else in its own container."""
     page = parse(html)
     paths = {}
     for n in range(len(page.parents)):
         if not page.skipped[n]:
             paths.setdefault(page.path(n), set()).add(n)
     choices = [paths[w] for w in (winners if winners is not None else []) if w in paths]
-    found = scores(page)
-    if found:
-        choices.append({max(found, key=lambda n: (found[n], -n))})
+    own = container(page)
+    if own is not None:
+        choices.append({own})
     inside: list[bool] = []
     for chosen in choices:
         inside = []
@@ -246,7 +271,7 @@ def host_of(url: Column) -> Column:
 def host_paths(pages: DataFrame) -> DataFrame:
     """(host, winners): paths with ``MIN_SHARE`` of the host's votes, most votes first.
 
-    Each page votes for the path of its best container. Votes are added up before the shuffle, so
+    Each page votes for the path of its container. Votes are added up before the shuffle, so
     a host with a third of all pages costs no more than any other.
     """
     def of(htmls: pd.Series) -> pd.Series:
@@ -265,7 +290,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """All columns of ``pages`` (url, html) and ``main_text``.
 
     Null and empty pages give the empty text. Pages without a host vote together. A page in which no
-    winning path holds text uses its own best container. Repeated rows stay.
+    winning path holds text uses its own container. Repeated rows stay.
     """
     def of(htmls: pd.Series, winners: pd.Series) -> pd.Series:
         return pd.Series([main_text(h, w) for h, w in zip(htmls, winners)], dtype=object)

@@ -408,6 +408,16 @@ def test_wrappers_with_noise_in_their_names_keep_the_text():
     assert extract.main_text("<div class=post><p>Short post</div><div class=comments><p>" + "reply " * 5 + "</div>", None) == "Short post"
 
 
+def test_text_beside_the_best_block_is_kept():
+    lead = "<article><h1>Head</h1><p class=lead>The lead.</p><div class=body>%s</div></article>" % ("<p>Body text of it." * 40)
+    two = "<div class=page><div class=intro><p>%s</div><div class=body><p>%s</div></div>" % ("intro " * 40, "body " * 72)
+    links = "<div class=more>" + "<p><a href=x>Another page</a>" * 9 + "</div>"
+    for html, parts in ((lead, ("Head", "The lead.", "Body text")), (two, ("intro", "body"))):
+        page = f"<body><div class=wrap>{html}</div>{links}</body>"
+        for found in (extract.main_text(page, None), extract.main_text(page, [extract.best_path(page)])):
+            assert all(p in found for p in parts) and "Another" not in found
+
+
 def test_hostile_markup_is_read_in_time():
     for html in ("<" * 200_000, "<div>" * 50_000 + "x", "<!--" * 50_000, "<a b='" * 20_000, "<script>" * 20_000, "&" * 200_000):
         extract.main_text(html, None)
