@@ -116,38 +116,56 @@ def _top(scores: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
     return np.flatnonzero(scores >= least - 1e-9)
 
 
-def _distance(queries: DataFrame, rows: DataFrame, k: int) -> float:
-    """FIT_QUANTILE of the distance from some queries to their k-th neighbour, found by a full scan."""
-    sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(FIT_QUERIES).toPandas()
-    if not len(sample):
-        return 1.0
-    unit, own = _unit(sample["q"]), sample["query_id"].to_numpy()
+def _by_size(vectors: pd.Series) -> dict[int, np.ndarray]:
+    """Places of the vectors of each size."""
+    sizes = vectors.map(len).to_numpy()
+    return {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
+
+
+def _distances(queries: DataFrame, rows: DataFrame, k: int, sizes: list[int]) -> dict[int, float]:
+    """Of each size, FIT_QUANTILE of the distance from some queries to their k-th neighbour, found by a full scan."""
+    order = W.partitionBy(F.size("q")).orderBy(F.xxhash64("query_id"), "query_id")
+    sample = (queries.filter(F.size("q").isin(sizes)).withColumn("_r", F.row_number().over(order))
+              .filter(F.col("_r") <= FIT_QUERIES).toPandas())
+    own, fits = sample["query_id"].to_numpy(), {}
+    if len(sample):
+        fits = {n: (at, _unit(sample["q"].iloc[at])) for n, at in _by_size(sample["q"]).items()}
 
     def nearest(batches):
         best = np.full((len(own), k), -2.0)
         for batch in batches:
-            scores = unit @ _unit(batch["embedding"]).T
-            scores[own[:, None] == batch["vec_id"].to_numpy()[None, :]] = -2.0
-            best = -np.sort(-np.concatenate([best, scores], axis=1), axis=1)[:, :k]
+            for n, held in _by_size(batch["embedding"]).items():
+                if n in fits:
+                    at, unit = fits[n]
+                    scores = unit @ _unit(batch["embedding"].iloc[held]).T
+                    scores[own[at][:, None] == batch["vec_id"].to_numpy()[held][None, :]] = -2.0
+                    best[at] = -np.sort(-np.concatenate([best[at], scores], axis=1), axis=1)[:, :k]
         yield pd.DataFrame({"i": np.repeat(np.arange(len(own)), k), "s": best.ravel()})
 
-    # k numbers of each query and task.
-    found = rows.select("vec_id", "embedding").mapInPandas(nearest, "i int, s double")
-    nth = found.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy(F.desc("s")))).filter(F.col("r") == k).toPandas()["s"]
-    nth = nth[nth > -2]
-    return float(max(0.05, np.sqrt(np.quantile(2 - 2 * nth, FIT_QUANTILE)))) if len(nth) else 1.0
+    out = dict.fromkeys(sizes, 1.0)
+    if fits:
+        # k numbers of each query and task.
+        found = rows.select("vec_id", "embedding").mapInPandas(nearest, "i int, s double")
+        nth = found.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy(F.desc("s")))).filter(F.col("r") == k).toPandas()
+        nth = nth[nth["s"] > -2]
+        for n, (at, _) in fits.items():
+            s = nth["s"][nth["i"].isin(at)]
+            if len(s):
+                out[n] = float(max(0.05, np.sqrt(np.quantile(2 - 2 * s, FIT_QUANTILE))))
+    return out
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows of each query by cosine, ties to smaller vec_id.
 
     ``rows``: vec_id, embedding; ``queries``: query_id, q. A query never finds the row with its own id.
-    Unusable vectors take no part, nor do vectors shorter than the longest one. Repeated rows count once.
+    Unusable vectors take no part. A query meets the rows of its own length. Repeated rows count once.
 
     Of equal vectors only the k + 1 smallest ids can be among the k nearest, so no more are indexed.
     Every other row is hashed into each table. A query visits buckets in the order of estimated success,
     takes all their rows as candidates, and the tables' candidates are merged and scored exactly. A bucket
-    of any size is dealt over cells of bounded size; the whole bucket is searched.
+    of any size is dealt over cells of bounded size; the whole bucket is searched. Each length has its own hashes;
+    the rows of a rare length (CELL_ROWS at most, and not the commonest) are one bucket.
     """
     rows = rows.filter(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id is not null")
     queries = queries.filter(usable(F.col("q"))).select(F.col("query_id").cast("long").alias("query_id"), "q").filter("query_id is not null")
@@ -155,34 +173,52 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     same = W.partitionBy("embedding").orderBy("vec_id")
     rows = stage(rows.dropDuplicates(["vec_id", "embedding"]).withColumn("_n", F.row_number().over(same))
                  .filter(F.col("_n") <= k + 1).drop("_n"), "ann-rows")
-    about = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not about.n:
+    asked_sizes = queries.select(F.size("q").alias("dims")).distinct()
+    counts = {r.dims: r.n for r in rows.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"))
+              .join(asked_sizes, "dims", "left_semi").collect()}
+    if not counts:
         return rows.sparkSession.createDataFrame([], schema)
-    long = F.lit(about.dims)
-    rows, queries = rows.filter(F.size("embedding") == long), queries.filter(F.size("q") == long)
-    hasher, distance = Hasher(about.dims, functions_for(about.n)), _distance(queries, rows, k)
+    total, most = sum(counts.values()), max(counts, key=lambda n: (counts[n], n))
+    hashed = [n for n in counts if n == most or counts[n] > CELL_ROWS]
+    rows = rows.filter(F.size("embedding").isin(list(counts)))
+    queries = queries.filter(F.size("q").isin(list(counts)))
+    distances = _distances(queries, rows, k, hashed)
+    hashers = {n: Hasher(n, functions_for(counts[n])) for n in hashed}
+
+    def key(size, codes):
+        return codes ^ np.array(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64).view(np.int64)
 
     def index(batches):
         for batch in batches:
-            unit = _unit(batch["embedding"])
-            for t in range(TABLES):
-                buckets = hasher.code(np.floor(hasher.project(unit, t) / WIDTH))
-                yield batch.assign(tab=t, bucket=buckets)
+            for n, at in _by_size(batch["embedding"]).items():
+                part = batch.iloc[at]
+                if n not in hashers:
+                    yield part.assign(tab=0, bucket=key(n, np.zeros(len(part), np.int64)))
+                    continue
+                unit = _unit(part["embedding"])
+                for t in range(TABLES):
+                    buckets = hashers[n].code(np.floor(hashers[n].project(unit, t) / WIDTH))
+                    yield part.assign(tab=t, bucket=key(n, buckets))
 
     def probe(batches):
         for batch in batches:
-            unit = _unit(batch["q"])
-            for t in range(TABLES):
-                for query, projected in zip(batch["query_id"], hasher.project(unit, t)):
-                    found = hasher.code(hasher.probes(projected, distance))
-                    yield pd.DataFrame({"query_id": query, "tab": t, "bucket": found})
+            for n, at in _by_size(batch["q"]).items():
+                part = batch.iloc[at]
+                if n not in hashers:
+                    yield pd.DataFrame({"query_id": part["query_id"], "tab": 0, "bucket": key(n, np.zeros(len(part), np.int64))})
+                    continue
+                unit = _unit(part["q"])
+                for t in range(TABLES):
+                    for query, projected in zip(part["query_id"], hashers[n].project(unit, t)):
+                        found = hashers[n].code(hashers[n].probes(projected, distances[n]))
+                        yield pd.DataFrame({"query_id": query, "tab": t, "bucket": key(n, found)})
 
     indexed = stage(rows.mapInPandas(
         index, f"vec_id long, embedding {dict(rows.dtypes)['embedding']}, tab int, bucket long"), "ann-index")
     sizes = stage(indexed.groupBy("tab", "bucket").agg(F.count("*").alias("n")), "ann-sizes")
     # A cell is a share of one large bucket, or many small buckets together.
-    groups = max(1, -(-about.n // CELL_ROWS))
+    groups = max(1, -(-total // CELL_ROWS))
     deals = F.ceil(F.col("n") / CELL_ROWS).cast("int")
     cells = sizes.select("tab", "bucket", deals.alias("deals"))
     home = F.pmod(F.xxhash64("tab", "bucket"), F.lit(groups))
@@ -203,12 +239,17 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         found = []
         if len(held) and len(asked):
             ids, buckets = held["vec_id"].to_numpy(), held["bucket"].to_numpy()
-            unit = _unit(held["embedding"])
+            places = _by_size(held["embedding"])
+            units = {n: _unit(held["embedding"].iloc[at]) for n, at in places.items()}
             for query, q, wanted in zip(asked["query_id"], asked["q"], asked["buckets"]):
-                own = np.flatnonzero(np.isin(buckets, np.asarray(wanted)) & (ids != query))
+                if len(q) not in places:
+                    continue
+                at = places[len(q)]
+                met = np.flatnonzero(np.isin(buckets[at], np.asarray(wanted)) & (ids[at] != query))
+                own = at[met]
                 if len(own):
                     q = np.asarray(q, np.float64)
-                    scores = unit[own] @ (q / np.linalg.norm(q))
+                    scores = units[len(q)][met] @ (q / np.linalg.norm(q))
                     best = own[_top(scores, ids[own], k)]
                     found.append(pd.DataFrame({"query_id": query, "vec_id": ids[best]}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64)})
@@ -216,7 +257,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     keys = ["tab", "cell", "block"]
     met = (held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long").distinct())
     scored = (met.join(queries, "query_id").join(rows, "vec_id")
-              .select("query_id", "vec_id", cosine("q", "embedding").alias("score")))
+              .filter(F.size("q") == F.size("embedding")).select("query_id", "vec_id", cosine("q", "embedding").alias("score")))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(

@@ -180,6 +180,16 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.nearest(df.limit(0), asked.limit(0)).count() == 0
 
 
+def test_queries_meet_all_rows_of_their_own_length(spark):
+    rows = _vectors(60, 4) + [(100, [1.0] * 5), (101, [1.0, 0.5]), (102, [1.0, 0.4]), (7, [1.0, 0.3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id in (7, 9, 100, 101)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = {}
+    for r in ann.nearest(df, asked.filter("query_id <> 7"), 5).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found[101] == [102, 7] and len(found[9]) == 5 and max(found[9]) < 60 and set(found) == {9, 101}
+
+
 def test_probes_come_in_the_order_of_success():
     hasher = ann.Hasher(8, 4)
     at = hasher.project(np.ones((1, 8)) / np.sqrt(8), 0)[0]
