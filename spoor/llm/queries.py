@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spoor.llm import ann, bpe, decontam, extract, langid, packing, quality, shard, simhash, warc
+from spoor.llm import (ann, bpe, decontam, extract, langid, merkle, oracles, packing, quality, repair, secrets, shard, simhash,
+                       warc)
 from spoor.llm.common import remainder, run_path, small_batches, table
 from spoor.session import configure
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 EOS = 50256                # free in that file
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_conversation_repair": oracles.OP11, "op12_owned_secrets": oracles.OP12,
+                           "op13_bitmap_manifest": oracles.OP13}
 
 
 def query(build):
@@ -92,6 +94,22 @@ def op10_centroid_languages(spark, sf_dir):
                         "prediction.score", "prediction.rejected")
 
 
+@query
+def op11_conversation_repair(spark, sf_dir):
+    talks = table(spark, sf_dir, "conversations")
+    return repair.repair_conversations(repair.damaged(talks), talks)
+
+
+@query
+def op12_owned_secrets(spark, sf_dir):
+    return secrets.secret_spans(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op13_bitmap_manifest(spark, sf_dir):
+    return merkle.audit_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
