@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spoor.contract.queries import BRUTE, ENUM, EXFIL, IPS, LEAD_IP, TOP
+from spoor.contract.queries import BRUTE, ENUM, EXFIL, LEAD_IP, TOP
 from spoor.operators.catalogue import CATALOGUES
 from spoor.rules import (AUTH_FAILURES, DEFAULT_RULES, SCANNER_UAS, UNCOMMON_METHODS)
 from spoor.sources.weblog import PAYLOADS, START
@@ -66,14 +66,13 @@ _SEVERITY = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN '{r.severity}'" for r
 NO_TS = "CAST(NULL AS TIMESTAMP)"
 
 
-def _hits(source: str, cap: int, extra: str = "") -> str:
+def _hits(source: str) -> str:
     """Findings of (rule, ip) from ``source(rule, ip, ts, seq, url, ua)``."""
     return f"""per AS (SELECT rule, ip, count(*) AS n, min(ts) AS f, max(ts) AS l,
       first(CASE WHEN url <> '' THEN url ELSE ua END ORDER BY ts, src_file, block_start, seq) AS s
       FROM ({source}) GROUP BY rule, ip),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY n DESC, {_ipnum('ip')}) AS place FROM per),
     hits AS (SELECT CAST(0 AS BIGINT) AS case_id, rule, {_SEVERITY} AS severity, ip AS source_ip,
-      n AS count, left(s, 2048) AS sample, f AS first_seen, l AS last_seen FROM ranked WHERE place <= {cap})"""
+      n AS count, s AS sample, f AS first_seen, l AS last_seen FROM per)"""
 
 
 _SIGN = "SELECT unnest(tags) AS rule, ip, ts, seq, url, ua, src_file, block_start FROM t"
@@ -110,7 +109,7 @@ F_RARE = _finding("rare_user_agent", "low", _NOIP, "n", "ua", NO_TS, NO_TS, "rar
 F_SPIKE = _finding("traffic_spike", "medium", _NOIP, "n", "''",
                    "make_timestamp(CAST(h AS BIGINT) * 3600000000)", NO_TS, "filled, hstat",
                    "k >= 6 AND sigma > 0 AND (n - mean) / sigma > 3")
-ALL = f"""{TAGGED}, {_hits(' UNION ALL '.join((_SIGN, _SCAN, _METH)), IPS)},
+ALL = f"""{TAGGED}, {_hits(' UNION ALL '.join((_SIGN, _SCAN, _METH)))},
   {_BRUTE}, {_MISS}, {_FLEET}, {_RARE}, {_HOURS},
   found AS (SELECT * FROM hits UNION ALL {F_BRUTE} UNION ALL {F_MISS} UNION ALL {F_EXFIL}
             UNION ALL {F_RARE} UNION ALL {F_SPIKE})"""
@@ -206,22 +205,15 @@ def _w3c_token(key: str) -> str:
     return f"CASE WHEN layout = 0 THEN {under(_WIDE)} ELSE {under(_SLIM)} END"
 
 
-_CLF = (r"""^(?:([A-Za-z0-9._-]+\.[A-Za-z0-9._-]+(?::[0-9]+)?)\s+)?([0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f:]+)\s+"""
-        r"""(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*)"\s+([0-9]{3}|-)\s+([0-9]+|-)(.*)$""")
-
-
 def _clf(lines: str) -> str:
-    names = "['vhost', 'remote_ip', 'ident', 'remote_user', 'timestamp', 'request', 'status', 'bytes', 'rest']"
-    return f"""m AS (SELECT src_file, block_start, seq, line, regexp_matches(line, {_q(_CLF)}) AS fits,
-      regexp_extract(line, {_q(_CLF)}, {names}) AS g FROM {lines}),
-    c AS (SELECT src_file, block_start, seq, fits, g.remote_ip, g.ident, g.remote_user, g."timestamp" AS "timestamp",
-      CASE WHEN split_part(g.request, ' ', 1) = '' THEN '-' ELSE split_part(g.request, ' ', 1) END AS method,
-      split(g.request, ' ')[2] AS uri, split(g.request, ' ')[3] AS protocol, g.status, g.bytes,
-      regexp_extract_all(g.rest, '"([^"]*)"', 1)[1] AS referer,
-      regexp_extract_all(g.rest, '"([^"]*)"', 1)[2] AS user_agent, nullif(g.vhost, '') AS vhost,
-      nullif(regexp_extract(g.rest, '([0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{3}}(?:\\s*,\\s*[0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{3}})+)', 1), '') AS x_forwarded_for,
-      nullif(regexp_extract(regexp_extract(g.rest, '[^"]*$'), '(?:^|[^\\w.])([0-9]{{3,}}|[0-9]+\\.[0-9]+)(?:[^\\w.]|$)', 1), '') AS response_time
-      FROM m WHERE fits)"""
+    """Fields of the generated lines, taken apart at quotes, brackets and blanks."""
+    return f"""m AS (SELECT *, split(line, '"') AS q, contains(line, '[') AND contains(line, '"') AS fits FROM {lines}),
+    h AS (SELECT *, split(split_part(q[1], ' [', 1), ' ') AS head, split(trim(q[3]), ' ') AS tail, split(q[2], ' ') AS req FROM m WHERE fits),
+    c AS (SELECT src_file, block_start, seq, fits, head[-3] AS remote_ip, head[-2] AS ident, head[-1] AS remote_user,
+      split_part(split_part(q[1], '[', 2), ']', 1) AS "timestamp", CASE WHEN req[1] = '' THEN '-' ELSE req[1] END AS method,
+      req[2] AS uri, req[3] AS protocol, tail[1] AS status, tail[2] AS bytes, q[4] AS referer, q[6] AS user_agent,
+      CASE WHEN len(head) = 4 THEN head[1] END AS vhost, CASE WHEN contains(q[8], ',') THEN q[8] END AS x_forwarded_for,
+      nullif(trim(q[9]), '') AS response_time FROM h)"""
 
 
 _BROKEN = f"""{LINES},
@@ -418,9 +410,9 @@ def oracle_sql() -> dict[str, str]:
     o["reputation_band"] = _with(LOG, """SELECT seq, seq * 7 % 101 AS score, CASE WHEN seq * 7 % 101 >= 80 THEN 'bad'
       WHEN seq * 7 % 101 >= 25 THEN 'warn' ELSE 'ok' END AS band FROM w""")
 
-    o["find_signatures"] = _with(f"{TAGGED}, {_hits(_SIGN, IPS)}", "SELECT * FROM hits")
-    o["find_scanner_ua"] = _with(f"{TAGGED}, {_hits(_SCAN, 10)}", "SELECT * FROM hits")
-    o["find_dangerous_method"] = _with(f"{TAGGED}, {_hits(_METH, IPS)}", "SELECT * FROM hits")
+    o["find_signatures"] = _with(f"{TAGGED}, {_hits(_SIGN)}", "SELECT * FROM hits")
+    o["find_scanner_ua"] = _with(f"{TAGGED}, {_hits(_SCAN)}", "SELECT * FROM hits")
+    o["find_dangerous_method"] = _with(f"{TAGGED}, {_hits(_METH)}", "SELECT * FROM hits")
     created = ", TIMESTAMP '2024-01-03 00:00:00' AS created_at"
     o["find_brute_force"] = _with(f"{LOG}, {_BRUTE}", F_BRUTE.replace(
         " FROM brute", f", worst || ' refused logins (401/403) within 5 minutes' AS description{created} FROM brute"))
@@ -450,17 +442,12 @@ def oracle_sql() -> dict[str, str]:
     o["session_samples"] = _with(f"""{SESS}, n1 AS (SELECT *, row_number() OVER (PARTITION BY ip, ua, session_no
         ORDER BY ts, src_file, block_start, seq) AS rn FROM e),
       n2 AS (SELECT *, row_number() OVER (PARTITION BY ip, ua, session_no ORDER BY rn) AS k FROM n1
-        WHERE rn <= 3 OR len(tags) > 0)""", """SELECT ip, ua, session_no, k - 1 AS place, ts, method, left(url, 300) AS url,
+        WHERE rn <= 3 OR len(tags) > 0)""", """SELECT ip, ua, session_no, k - 1 AS place, ts, method, url,
       CAST(status AS BIGINT) AS status, array_to_string(tags, ',') AS tags FROM n2 WHERE k <= 10""")
-    later = f"""{TAGGED}, t2 AS (SELECT * FROM t WHERE ts >= TIMESTAMP '2024-01-01 01:00:00'), {_sessions('t2')}"""
-    o["timeline"] = _with(later, f"""SELECT * EXCLUDE (session_no) REPLACE (left(ua, 200) AS ua), (SELECT least(10, count(*)) FROM (
-        SELECT tags, row_number() OVER (ORDER BY ts, src_file, block_start, seq) AS rn FROM e
-        WHERE e.ip = s.ip AND e.ua = s.ua AND e.session_no = s.session_no) WHERE rn <= 3 OR len(tags) > 0) AS samples
-      FROM s WHERE phase <> 'benign'""")
-    o["timeline"] = _with(f"""{later}, n1 AS (SELECT ip, ua, session_no, len(tags) > 0 AS hit, row_number() OVER (
+    o["timeline"] = _with(f"""{SESS}, n1 AS (SELECT ip, ua, session_no, len(tags) > 0 AS hit, row_number() OVER (
         PARTITION BY ip, ua, session_no ORDER BY ts, src_file, block_start, seq) AS rn FROM e),
       n2 AS (SELECT ip, ua, session_no, least(10, count(*)) AS samples FROM n1 WHERE rn <= 3 OR hit GROUP BY 1, 2, 3)""",
-      "SELECT * EXCLUDE (session_no) REPLACE (left(ua, 200) AS ua) FROM s JOIN n2 USING (ip, ua, session_no) WHERE phase <> 'benign'")
+      "SELECT * FROM s JOIN n2 USING (ip, ua, session_no) WHERE phase <> 'benign'")
     o["attack_chains"] = _with(f"""{SESS}, f AS (SELECT ip, phase, min("start") AS first, count(*) AS n FROM s
       WHERE phase <> 'benign' GROUP BY ip, phase)""", f"""SELECT ip, min(first) AS first_seen,
       string_agg(phase, ',' ORDER BY first, {_RANKS}) AS phases, CAST(sum(n) AS BIGINT) AS sessions FROM f GROUP BY ip""")
@@ -474,7 +461,7 @@ def oracle_sql() -> dict[str, str]:
       FROM w GROUP BY ua, ip""")
     o["shared_clients"] = _with(LOG, "SELECT ua, count(DISTINCT ip) AS n_ips, count(*) AS count FROM w GROUP BY ua")
     o["pivot_url"] = _with(LOG, """SELECT ts, ip, method, CAST(status AS BIGINT) AS status, url, seq FROM w
-      WHERE url = '/uploads/shell.php' OR starts_with(url, '/uploads/shell.php?')""")
+      WHERE url = '/img/c99.php' OR starts_with(url, '/img/c99.php?')""")
     o["pivot_time"] = _with(f"""{LOG}, {_BRUTE}, moments AS (SELECT DISTINCT ts FROM w WHERE status IN (401, 403)
         AND ip IN (SELECT ip FROM brute WHERE worst >= {BRUTE})),
       gap AS (SELECT ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) <= INTERVAL 120 SECOND THEN 0 ELSE 1 END AS o FROM moments),
@@ -562,7 +549,7 @@ def oracle_sql() -> dict[str, str]:
       ua AS user_agent FROM s WHERE phase <> 'benign'""")
     o["export_statistics"] = _with(f"{LOG}, {_SUMM}, {_CLASSES}, {_HIST}", _stats_sections())
 
-    o["case_source_ips"] = _with(LOG, f"SELECT ip, count(*) AS count FROM w GROUP BY ip ORDER BY count DESC, {_ipnum('ip')} LIMIT 30")
+    o["case_source_ips"] = _with(LOG, f"SELECT ip, count(*) AS count FROM w GROUP BY ip")
     o["screen_ips"] = _with(CAND, "SELECT ip, verdict FROM screen")
     o["reputation_cached"] = _with(CAND, "SELECT ip, fresh, abuse_score FROM cached")
     o["reputation_to_refresh"] = _with(CAND, "SELECT ip, state FROM states")

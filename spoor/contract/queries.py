@@ -24,7 +24,7 @@ from spoor.sources.weblog import as_lines, combined_lines, w3c_lines, weblog
 NOW = dt.datetime(2024, 1, 3)
 QUERIES: dict = {}
 # Limits chosen so that each query keeps some rows and drops some.
-BRUTE, ENUM, EXFIL, TOP, IPS = 5, 20, 1048576, 10, 20
+BRUTE, ENUM, EXFIL, TOP = 5, 20, 1048576, 10
 THRESHOLDS = {"brute_force": {"threshold": BRUTE}, "enum_404": {"threshold": ENUM},
               "exfil_bytes": {"min_bytes": EXFIL}}
 LEAD_IP = "203.0.113.7"
@@ -182,9 +182,9 @@ def _found(df):
     return df.drop("created_at", "description")
 
 
-_simple("find_signatures", lambda log: _found(detect.find_signatures(log, max_ips=IPS)))
-_simple("find_scanner_ua", lambda log: _found(detect.find_scanner_ua(log, max_ips=10)))
-_simple("find_dangerous_method", lambda log: _found(detect.find_dangerous_method(log, max_ips=IPS)))
+_simple("find_signatures", lambda log: _found(detect.find_signatures(log)))
+_simple("find_scanner_ua", lambda log: _found(detect.find_scanner_ua(log)))
+_simple("find_dangerous_method", lambda log: _found(detect.find_dangerous_method(log)))
 _simple("find_brute_force", lambda log: detect.find_brute_force(log, BRUTE, now=NOW))
 _simple("find_enum_404", lambda log: detect.find_enum_404(log, ENUM, now=NOW))
 _simple("find_enum_404_ratio", lambda log: detect.find_enum_404_ratio(log, 30, 0.05, now=NOW))
@@ -194,7 +194,7 @@ _simple("find_traffic_spike", lambda log: _found(detect.find_traffic_spike(log))
 
 
 def _all(log, case_id=0, now=NOW):
-    return detect.all_findings(log, max_ips=IPS, case_id=case_id, now=now, thresholds=THRESHOLDS)
+    return detect.all_findings(log, case_id=case_id, now=now, thresholds=THRESHOLDS)
 
 
 _simple("all_findings", lambda log: _found(_all(log)))
@@ -228,7 +228,7 @@ def _(spark, log):
 
 @query("timeline")
 def _(spark, log):
-    shown = correlate.timeline(log, start="2024-01-01 01:00:00")
+    shown = correlate.timeline(log)
     return shown.withColumn("samples", F.size("sample_events")).drop("sample_events")
 
 
@@ -244,7 +244,7 @@ def _(spark, log):
 
 _simple("pivot_ua", lambda log: pivot.pivot_ua(log))
 _simple("shared_clients", lambda log: pivot.shared_clients(log))
-_simple("pivot_url", lambda log: pivot.pivot_url(log, "/uploads/shell.php")
+_simple("pivot_url", lambda log: pivot.pivot_url(log, "/img/c99.php")
         .drop("src_file", "block_start"))
 
 
@@ -454,7 +454,7 @@ def _known(log):
     return reputation(typed.filter("seq >= 0 and ip <> ''").unionByName(log.select("ip", "seq")))
 
 
-_simple("case_source_ips", lambda log: enrich.case_source_ips(log, 30))
+_simple("case_source_ips", lambda log: enrich.case_source_ips(log))
 _simple("screen_ips", lambda log: enrich.screen_ips(_candidates(log)).select("ip", "verdict"))
 
 

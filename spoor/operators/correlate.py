@@ -17,8 +17,8 @@ from spoor import rules as R
 from spoor.functions.ip import ip_key
 from spoor.functions.text import (classify_phase, is_scanner_ua, mask_columns, mask_names,
                                   phase_rank, tags_from_masks, url_tags)
-from spoor.schema import MAX_SAMPLE_URL, MAX_SESSION_UA, POSITION
-from spoor.session import stage
+from spoor.schema import POSITION
+from spoor.session import match, stage
 from spoor.sources.store import filter_ip, filter_time
 
 SAMPLES = 10
@@ -107,7 +107,7 @@ def sessionize(events: DataFrame, gap_seconds: int = R.SESSION_GAP_SECONDS) -> D
     split over tasks by the adaptive skew join.
     """
     slots = session_slots(events, gap_seconds)
-    return events.withColumn("slot", slot_of(gap_seconds)).join(slots, SLOT).drop("slot")
+    return match(events.withColumn("slot", slot_of(gap_seconds)), slots, SLOT).drop("slot")
 
 
 def session_samples(events: DataFrame, rules: R.RuleSet = R.DEFAULT_RULES,
@@ -133,15 +133,13 @@ def session_samples(events: DataFrame, rules: R.RuleSet = R.DEFAULT_RULES,
     candidates = (rows.withColumn("place", F.row_number().over(in_slot))
                   .filter(F.col("place") <= SAMPLES).filter(F.col("place") <= F.col("most"))
                   .drop("place", "most", "kind").dropDuplicates([*SLOT, "ts", *POSITION]))
-    placed = candidates.join(slots.select(*SLOT, "session_no"), SLOT)
+    placed = match(candidates, slots.select(*SLOT, "session_no"), SLOT)
     order = Window.partitionBy(*SESSION).orderBy("ts", *POSITION)
     kept = (placed.withColumn("place", F.row_number().over(order))
             .filter((F.col("place") <= ALWAYS_SAMPLED) | (F.size("tags") > 0))
             .withColumn("place", F.row_number().over(order))
             .filter(F.col("place") <= SAMPLES))
-    event = F.struct("place", F.struct(
-        "ts", "method", F.left("url", F.lit(MAX_SAMPLE_URL)).alias("url"), "status",
-        "tags").alias("event"))
+    event = F.struct("place", F.struct("ts", "method", "url", "status", "tags").alias("event"))
     return kept.groupBy(*SESSION).agg(
         F.transform(F.sort_array(F.collect_list(event)), lambda e: e["event"])
         .alias("sample_events"))
@@ -164,13 +162,11 @@ def timeline(events: DataFrame, ip=None, start=None, end=None, include_benign: b
     if samples and not include_benign and "tags" not in events.columns:
         # Looking up the slots kept costs less than tagging the URLs of all others a second time.
         sessions = stage(sessions, "sessions-kept")
-        slots = stage(slots.join(sessions.select(*SESSION), SESSION, "left_semi").select(*SLOT, "session_no"), "slots-kept")
-        events = events.withColumn("slot", slot_of(gap_seconds)).join(slots, SLOT, "left_semi").drop("slot")
+        slots = stage(match(slots, sessions.select(*SESSION), SESSION, "left_semi").select(*SLOT, "session_no"), "slots-kept")
+        events = match(events.withColumn("slot", slot_of(gap_seconds)), slots, SLOT, "left_semi").drop("slot")
     if samples:
-        sessions = sessions.join(session_samples(events, rules, gap_seconds, slots), SESSION,
-                                 "left")
-    return (sessions.orderBy("start", "ip", "ua").drop("session_no")
-            .withColumn("ua", F.left("ua", F.lit(MAX_SESSION_UA))))
+        sessions = match(sessions, session_samples(events, rules, gap_seconds, slots), SESSION, "left")
+    return sessions.orderBy("start", "ip", "ua", "session_no")
 
 
 def timeline_totals(sessions: DataFrame) -> DataFrame:

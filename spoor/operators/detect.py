@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from spoor import rules as R
 from spoor.functions.ip import ip_key
 from spoor.functions.text import is_scanner_ua, severity_rank, url_tags
-from spoor.schema import FINDING_COLUMNS, MAX_SAMPLE, POSITION
-from spoor.session import stage
+from spoor.schema import FINDING_COLUMNS, POSITION
+from spoor.session import match, stage
 
 SCANNER = ("scanner_ua", "medium", "Client is a known scanner or script")
 METHOD = ("dangerous_method", "medium", "Uncommon or state-changing HTTP method")
@@ -36,7 +36,7 @@ def _findings(rows: DataFrame, case_id: int, now: dt.datetime | None) -> DataFra
     return rows.select(
         F.lit(case_id).alias("case_id"), "rule", "severity", "description", "source_ip",
         F.col("count").cast("bigint").alias("count"),
-        F.left(F.coalesce("sample", F.lit("")), F.lit(MAX_SAMPLE)).alias("sample"),
+        F.coalesce("sample", F.lit("")).alias("sample"),
         "first_seen", "last_seen", created.alias("created_at"))
 
 
@@ -48,14 +48,17 @@ def _with_rule(rows: DataFrame, rule: str, severity: str, description: Column) -
 def _hits_by_ip(hits: DataFrame, max_ips: int | None) -> DataFrame:
     """``rule, source_ip, count, first_seen, last_seen, sample`` of labelled hits.
 
-    The sample is the earliest hit. The cut per rule is a window group limit,
-    which trims inside each task before the shuffle.
+    The sample is the earliest hit. Counts and times are fixed-width, so they stay in hash aggregation; an
+    aggregate that carries texts would sort every hit. Only hits at the first moment are then compared by
+    their place in the log. The cut per rule is a window group limit, which trims inside each task.
     """
+    hits = stage(hits.withColumnRenamed("ip", "source_ip"), "rule-hits")
+    per_ip = stage(hits.groupBy("rule", "source_ip").agg(
+        F.count("*").alias("count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")), "rule-counts")
     shown = F.when(F.col("url") != "", F.col("url")).otherwise(F.col("ua"))
-    per_ip = hits.groupBy("rule", F.col("ip").alias("source_ip")).agg(
-        F.count("*").alias("count"), F.min("ts").alias("first_seen"),
-        F.max("ts").alias("last_seen"),
-        F.min_by(shown, F.struct("ts", *POSITION)).alias("sample"))
+    first = match(hits.withColumnRenamed("ts", "first_seen"), per_ip, ["rule", "source_ip", "first_seen"], "left_semi")
+    samples = first.groupBy("rule", "source_ip").agg(F.min_by(shown, F.struct(*POSITION)).alias("sample"))
+    per_ip = match(per_ip, samples, ["rule", "source_ip"], "left")
     if max_ips is None:
         return per_ip
     busiest = Window.partitionBy("rule").orderBy(F.desc("count"), "key", "source_ip")

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoor.operators import describe as D
+from spoor.schema import MAX_SAMPLE, MAX_SAMPLE_URL, MAX_SESSION_UA
 
 
 def write_findings(findings: DataFrame, path: str, case_id: int) -> None:
     """Replace the stored findings of one case; other cases stay untouched.
 
     The case's partition folder is written directly, so that a run without any
-    finding also clears what an earlier run left.
+    finding also clears what an earlier run left. Samples are stored up to their length limit.
     """
     (findings.filter(F.col("case_id") == case_id).drop("case_id")
-     .write.mode("overwrite").parquet(f"{path}/case_id={int(case_id)}"))
+     .withColumn("sample", F.left("sample", F.lit(MAX_SAMPLE))).write.mode("overwrite").parquet(f"{path}/case_id={int(case_id)}"))
 
 
 def timeline_table(sessions: DataFrame) -> DataFrame:
@@ -23,17 +24,21 @@ def timeline_table(sessions: DataFrame) -> DataFrame:
     return sessions.select(
         "start", "end", "ip", "phase", F.col("event_count").alias("events"),
         F.col("n404").alias("404s"), "bytes_out", F.array_join("tags", "|").alias("tags"),
-        F.col("ua").alias("user_agent"))
+        F.left("ua", F.lit(MAX_SESSION_UA)).alias("user_agent"))
 
 
 def export_timeline(sessions: DataFrame, path: str, fmt: str = "csv") -> None:
-    """CSV with a header, or one JSON document per session."""
+    """CSV with a header, or one JSON document per session; only here long clients and URLs are cut."""
     if fmt == "csv":
         (timeline_table(sessions).write.mode("overwrite").option("header", True)
          .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX").option("emptyValue", "")
          .option("escape", '"').csv(path))
     elif fmt == "json":
-        sessions.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+        short = sessions.withColumn("ua", F.left("ua", F.lit(MAX_SESSION_UA)))
+        if "sample_events" in sessions.columns:
+            short = short.withColumn("sample_events", F.transform("sample_events", lambda e: e.withField(
+                "url", F.left(e["url"], F.lit(MAX_SAMPLE_URL)))))
+        short.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     else:
         raise ValueError(f"unknown format {fmt}")
 

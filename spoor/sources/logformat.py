@@ -23,5 +23,11 @@ def line_pattern(layout: str, pieces: dict[str, str], blank: str = " ") -> str:
     return pattern + _literal(layout[at:], blank)
 
 
+def date_shape(layout: str) -> str:
+    """Pattern of the texts that a date format such as ``dd/MMM/yyyy`` can give: three M are a name, other letters digits."""
+    out = layout.replace("MMM", "@@@")
+    return "".join("[A-Za-z]" if c == "@" else "[0-9]" if c.isalpha() else "\\" + c if c in "[]()." else c for c in out)
+
+
 def _literal(text: str, blank: str) -> str:
     return "".join(blank if c == " " else "\\" + c if c in "[]()." else c for c in text)

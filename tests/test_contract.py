@@ -10,6 +10,7 @@ from spoor.contract.queries import QUERIES
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
          "timestamp_ntz": "TIMESTAMP"}
+EMPTY = ("find_brute_force", "find_enum_404", "find_traffic_spike", "pivot_time")    # find nothing in the smallest tables
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
 
@@ -41,6 +42,7 @@ def test_query(spark, duck, name):
     assert {n: TYPES[t] for n, t in found.dtypes} == kinds
     places = [list(kinds).index(c) for c in columns]
     expected = _sorted([[r[i] for i in places] for r in result.fetchall()])
+    assert expected or name in EMPTY
     assert _sorted([[r[c] for c in columns] for r in found.collect()]) == expected
 
 
