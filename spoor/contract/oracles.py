@@ -434,6 +434,34 @@ def oracle_sql() -> dict[str, str]:
       FULL JOIN (SELECT CAST(c AS BIGINT) AS case_id, count(*) AS findings FROM found, (VALUES (2), (9)) v(c) GROUP BY 1) b
       ON a.case_id = b.case_id""")
 
+    rhythm = f"""{LOG}, step AS (SELECT ip, ts, CAST(epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY ip ORDER BY ts, seq) AS HUGEINT) AS gap FROM w),
+      tempo AS (SELECT ip, count(*) AS requests, min(ts) AS first_seen, max(ts) AS last_seen, round(sum(gap) / 1000 / (count(*) - 1), 6) AS mean_gap,
+        round(sqrt(CAST((count(*) - 1) * sum(gap * gap) - sum(gap) * sum(gap) AS DOUBLE)) / nullif(sum(gap), 0), 6) AS variation
+        FROM step GROUP BY ip HAVING count(*) >= 3)"""
+    o["interval_profile"] = _with(rhythm, "SELECT * FROM tempo")
+    o["find_beacons"] = _with(rhythm, f"""SELECT CAST(0 AS BIGINT) AS case_id, 'beacon' AS rule, 'medium' AS severity,
+      printf('A request every %.1f seconds, give or take %.0f %%', mean_gap, variation * 100) AS description, ip AS source_ip, requests AS count,
+      '' AS sample, first_seen, last_seen{created} FROM tempo WHERE requests >= 20 AND variation <= 0.95 AND mean_gap >= 1""")
+    hours = f"""{LOG}, ih AS (SELECT ip, extract(hour FROM ts) AS h, count(*) AS n FROM w GROUP BY 1, 2),
+      fh AS (SELECT h, CAST(sum(n) AS BIGINT) AS f, sum(sum(n)) OVER () AS total FROM ih GROUP BY h),
+      grid AS (SELECT i.ip, fh.h, coalesce(ih.n, 0) AS n, f / total AS share, i.requests FROM
+        (SELECT ip, CAST(sum(n) AS BIGINT) AS requests FROM ih GROUP BY ip) i CROSS JOIN fh LEFT JOIN ih ON ih.ip = i.ip AND ih.h = fh.h),
+      odd AS (SELECT ip, any_value(requests) AS requests, first(h ORDER BY n DESC, h) AS busiest_hour,
+        round(any_value(requests) / (any_value(requests) + 24.0::DOUBLE) * sum(abs(n / requests - share)) / 2, 6) AS distance FROM grid GROUP BY ip)"""
+    o["hour_profile"] = _with(hours, "SELECT * FROM odd")
+    o["find_odd_hours"] = _with(hours, f"""SELECT CAST(0 AS BIGINT) AS case_id, 'odd_hours' AS rule, 'low' AS severity, ip AS source_ip,
+      requests AS count, '' AS sample, {NO_TS} AS first_seen, {NO_TS} AS last_seen FROM odd WHERE distance >= 0.12""")
+    dense = f"""{LOG}, pr AS (SELECT unnest(string_split(regexp_extract(url, '\\?([^?]*)$', 1), '&')) AS p FROM w WHERE contains(url, '?')),
+      pv AS (SELECT split_part(p, '=', 1) AS name, substr(p, strpos(p, '=') + 1) AS value, count(*) AS requests FROM pr WHERE contains(p, '=')
+        GROUP BY 1, 2 HAVING value <> ''),
+      ch AS (SELECT name, value, c, count(*) AS k FROM (SELECT name, value, unnest(string_split(value, '')) AS c FROM pv) GROUP BY 1, 2, 3),
+      en AS (SELECT name, value, round(log2(sum(k)) - sum(k * log2(k)) / sum(k), 6) AS entropy FROM ch GROUP BY 1, 2),
+      ev AS (SELECT name, value, requests, entropy FROM pv JOIN en USING (name, value))"""
+    o["parameter_entropy"] = _with(dense, "SELECT * FROM ev")
+    quarts = "quantile_disc(entropy, 0.5) + 0.5 * (quantile_disc(entropy, 0.75) - quantile_disc(entropy, 0.25))"
+    o["find_dense_parameters"] = _with(f"""{dense}, own AS (SELECT name, {quarts} AS b FROM ev GROUP BY name HAVING count(*) >= 20)""",
+      f"""SELECT name, value, requests, entropy, round(coalesce(b, (SELECT {quarts} FROM ev)), 6) AS bound FROM ev LEFT JOIN own USING (name)
+      WHERE entropy > coalesce(b, (SELECT {quarts} FROM ev))""")
     o["event_order"] = _with(LOG, "SELECT ts, seq, url FROM w")
     o["sessionize"] = _with(SESS, """SELECT e.seq, e.session_no, s."start" AS session_start, s."end" AS session_end
       FROM e JOIN s USING (ip, ua, session_no)""")
@@ -453,10 +481,42 @@ def oracle_sql() -> dict[str, str]:
       string_agg(phase, ',' ORDER BY first, {_RANKS}) AS phases, CAST(sum(n) AS BIGINT) AS sessions FROM f GROUP BY ip""")
     near = f"starts_with(ip, {_NET})"
     o["pivot_ip"] = _with(f"""{ALL}, {_sessions()}""", f"""SELECT *, ip = '{LEAD_IP}' AS same_ip FROM (
-      SELECT 'events' AS source, ip, count(*) AS count, min(ts) AS first_seen, max(ts) AS last_seen FROM w WHERE {near} GROUP BY ip
-      UNION ALL SELECT 'sessions', ip, count(*), min("start"), max("end") FROM s WHERE {near} GROUP BY ip
-      UNION ALL SELECT 'findings', source_ip, count(*), min(first_seen), max(last_seen) FROM found
-        WHERE starts_with(source_ip, {_NET}) GROUP BY source_ip)""")
+      SELECT seq % 3 AS case_id, 'events' AS source, ip, count(*) AS count, min(ts) AS first_seen, max(ts) AS last_seen
+        FROM w WHERE {near} GROUP BY ip, seq % 3
+      UNION ALL SELECT 0, 'sessions', ip, count(*), min("start"), max("end") FROM s WHERE {near} GROUP BY ip
+      UNION ALL SELECT c, 'findings', source_ip, count(*), min(first_seen), max(last_seen) FROM found, (VALUES (2), (9)) v(c)
+        WHERE starts_with(source_ip, {_NET}) GROUP BY source_ip, c)""")
+    o["nearest_findings"] = _with(f"""{TAGGED}, {_hits(_SIGN)},
+      m0 AS (SELECT rule, source_ip, unnest([first_seen, last_seen]) AS moment FROM hits WHERE severity = 'critical'),
+      m1 AS (SELECT CAST(epoch(moment) AS BIGINT) AS sec, rule, source_ip FROM m0 WHERE moment IS NOT NULL),
+      m AS (SELECT * FROM m1 QUALIFY row_number() OVER (PARTITION BY sec ORDER BY rule, source_ip) = 1),
+      e AS (SELECT seq, CAST(epoch(ts) AS BIGINT) AS s FROM w)""", """
+      SELECT seq, 'before' AS side, make_timestamp(sec * 1000000) AS moment, s - sec AS seconds, rule, source_ip FROM e JOIN m
+        ON sec BETWEEN s - 60 AND s QUALIFY row_number() OVER (PARTITION BY seq ORDER BY sec DESC) = 1
+      UNION ALL SELECT seq, 'after', make_timestamp(sec * 1000000), sec - s, rule, source_ip FROM e JOIN m
+        ON sec BETWEEN s AND s + 60 QUALIFY row_number() OVER (PARTITION BY seq ORDER BY sec) = 1""")
+    opens = f"""{LOG}, a AS (SELECT *, split_part(url, '?', 1) AS path FROM w),
+      lost AS (SELECT path, count(*) AS misses, min(ts) AS first_miss, max(ts) AS last_miss FROM a WHERE status = 404 GROUP BY path),
+      hit AS (SELECT a.*, misses, first_miss, last_miss FROM a JOIN lost USING (path) WHERE status BETWEEN 200 AND 299 AND ts > last_miss),
+      opened AS (SELECT path, any_value(misses) AS misses, any_value(first_miss) AS first_miss, any_value(last_miss) AS last_miss,
+        min(ts) AS opened_at, first(ip ORDER BY ts, src_file, block_start, seq) AS opened_by,
+        first(method ORDER BY ts, src_file, block_start, seq) AS opened_with, count(*) AS hits,
+        count(*) FILTER (method = 'POST') AS posts FROM hit GROUP BY path)"""
+    o["path_openings"] = _with(opens, "SELECT * FROM opened")
+    o["touched_before_opening"] = _with(opens, """SELECT path, ip, count(*) AS count, min(ts) AS first_seen, max(ts) AS last_seen
+      FROM a JOIN opened USING (path) WHERE ts < opened_at GROUP BY path, ip""")
+    nets = f"""{LOG}, net0 AS (SELECT CASE seq % 4 WHEN 0 THEN '203.0.113.' || (seq % 256) WHEN 1 THEN '8.8.' || (seq % 8) || '.' || (seq % 256)
+        WHEN 2 THEN '198.51.' || (seq % 128) || '.' || (seq * 3 % 256)
+        ELSE (seq * 7 % 256) || '.' || (seq % 256) || '.' || (seq * 3 % 256) || '.' || (seq * 5 % 256) END AS a,
+        8 + seq % 25 AS len, 'owner-' || seq AS owner FROM w),
+      net AS (SELECT a || '/' || len AS network, owner, len, ({_ipnum('a')}) >> (32 - len)::INT AS head FROM net0),
+      ips AS (SELECT DISTINCT ip, {_ipnum('ip')} AS v FROM w),
+      best AS (SELECT ip, network, owner FROM ips JOIN net ON v >> (32 - len)::INT = head
+        QUALIFY row_number() OVER (PARTITION BY ip ORDER BY len DESC, network, owner) = 1)"""
+    o["longest_networks"] = _with(nets, "SELECT * FROM best")
+    o["tag_networks"] = _with(nets, "SELECT network, owner, count(*) AS requests FROM w LEFT JOIN best USING (ip) GROUP BY network, owner")
+    o["events_in_networks"] = _with(nets, """SELECT seq, ip FROM w WHERE ip IN (SELECT ip FROM ips JOIN net ON v >> (32 - len)::INT = head
+      WHERE len IN (30, 31))""")
     o["pivot_ua"] = _with(LOG, """SELECT ua, ip, count(*) AS count, min(ts) AS first_seen, max(ts) AS last_seen
       FROM w GROUP BY ua, ip""")
     o["shared_clients"] = _with(LOG, "SELECT ua, count(DISTINCT ip) AS n_ips, count(*) AS count FROM w GROUP BY ua")

@@ -12,7 +12,8 @@ from spoor import rules as R
 from spoor.functions import rank, text
 from spoor.functions.ip import is_non_global_ip
 from spoor.functions.logtime import has_tz_offset, parse_ts_kind
-from spoor.operators import catalogue, correlate, describe, detect, enrich, pivot, profile
+from spoor.operators import (catalogue, correlate, describe, detect, enrich, networks, openings, pivot, profile,
+                             rhythm)
 from spoor.operators.tokenize import tokenize
 from spoor.schema import REPUTATION_SCHEMA
 from spoor.session import configure, run_path, stage
@@ -193,6 +194,14 @@ _simple("find_rare_ua", lambda log: _found(detect.find_rare_ua(log)))
 _simple("find_traffic_spike", lambda log: _found(detect.find_traffic_spike(log)))
 
 
+_simple("interval_profile", rhythm.interval_profile)
+_simple("find_beacons", lambda log: rhythm.find_beacons(log, 20, 0.95, now=NOW))
+_simple("hour_profile", rhythm.hour_profile)
+_simple("find_odd_hours", lambda log: _found(rhythm.find_odd_hours(log, 0.12)))
+_simple("parameter_entropy", rhythm.parameter_entropy)
+_simple("find_dense_parameters", lambda log: rhythm.find_dense_parameters(log, 0.5))
+
+
 def _all(log, case_id=0, now=NOW):
     return detect.all_findings(log, case_id=case_id, now=now, thresholds=THRESHOLDS)
 
@@ -238,8 +247,9 @@ _simple("attack_chains", lambda log: correlate.attack_chains(
 
 @query("pivot_ip")
 def _(spark, log):
-    return pivot.pivot_ip(log, correlate.timeline(log, include_benign=True, samples=False),
-                          _all(log), LEAD_IP)
+    cases = log.withColumn("case_id", (F.col("seq") % 3).cast("int"))
+    found = _all(log, 2).unionByName(_all(log, 9))
+    return pivot.pivot_ip(cases, correlate.timeline(log, include_benign=True, samples=False), found, LEAD_IP)
 
 
 _simple("pivot_ua", lambda log: pivot.pivot_ua(log))
@@ -259,6 +269,38 @@ def _(spark, log):
     return pivot.pivot_time(log, spans, 60).select("seq", "window_start", "window_end")
 
 
+
+
+@query("nearest_findings")
+def _(spark, log):
+    found = pivot.nearest_findings(log, detect.find_signatures(log), 60)
+    return found.select("seq", "side", "moment", "seconds", "rule", "source_ip")
+
+
+_simple("path_openings", openings.path_openings)
+_simple("touched_before_opening", lambda log: openings.touched_before_opening(log, openings.path_openings(log)))
+
+
+def _networks(log):
+    """A network a log row, of 8 to 32 bits, many inside each other and some around the log's addresses."""
+    n = F.col("seq")
+    text = F.col("seq").cast("string")
+
+    def octet(k):
+        return (n * k % 256).cast("string")
+    address = (F.when(n % 4 == 0, F.concat(F.lit("203.0.113."), octet(1)))
+               .when(n % 4 == 1, F.concat_ws(".", F.lit("8.8"), (n % 8).cast("string"), octet(1)))
+               .when(n % 4 == 2, F.concat_ws(".", F.lit("198.51"), (n % 128).cast("string"), octet(3)))
+               .otherwise(F.concat_ws(".", octet(7), octet(1), octet(3), octet(5))))
+    return log.select(F.concat(address, F.lit("/"), (8 + n % 25).cast("string")).alias("network"),
+                      F.concat(F.lit("owner-"), text).alias("owner"))
+
+
+_simple("longest_networks", lambda log: networks.longest_networks(log, _networks(log)))
+_simple("tag_networks", lambda log: networks.tag_networks(log, _networks(log)).groupBy("network", "owner").agg(
+    F.count("*").alias("requests")))
+_simple("events_in_networks", lambda log: networks.events_in_networks(
+    log, _networks(log).filter("network like '%/31' or network like '%/30'")).select("seq", "ip"))
 _simple("pivot_referrer", lambda log: pivot.pivot_referrer(log))
 _simple("phase_transition", lambda log: pivot.phase_transition(log))
 

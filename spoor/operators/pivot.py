@@ -17,9 +17,10 @@ MARGIN_SECONDS = 300
 
 
 def pivot_ip(events: DataFrame, sessions: DataFrame, findings: DataFrame, ip: str) -> DataFrame:
-    """How often an address, and the /24 around it, occurs in each table.
+    """How often an address, and the /24 around it, occurs in each table, case by case.
 
-    ``source, ip, count, first_seen, last_seen``; rows cover the whole /24.
+    ``source, ip, count, first_seen, last_seen, same_ip``; rows cover the whole /24. Tables that hold
+    several cases give a row for each, with ``case_id`` in front; others belong to case 0.
     """
     net = subnet24(F.lit(ip))
     block = f"{ip}/24" if is_ipv4_text(ip) else None
@@ -29,7 +30,8 @@ def pivot_ip(events: DataFrame, sessions: DataFrame, findings: DataFrame, ip: st
         if block and "ip_key" in rows.columns:
             near = filter_ip(rows, block)          # reaches the Parquet reader
         near = near.filter(subnet24(F.col(column)) == net)
-        return near.groupBy(F.lit(source).alias("source"), F.col(column).alias("ip")).agg(
+        case = F.col("case_id") if "case_id" in rows.columns else F.lit(0)
+        return near.groupBy(case.alias("case_id"), F.lit(source).alias("source"), F.col(column).alias("ip")).agg(
             F.count("*").alias("count"), F.min(first).alias("first_seen"),
             F.max(last).alias("last_seen"))
 
@@ -105,6 +107,34 @@ def pivot_time(events: DataFrame, findings: DataFrame, margin_seconds: int = MAR
             .withColumnsRenamed({"lo": "window_start", "hi": "window_end"}))
 
 
+def nearest_findings(events: DataFrame, findings: DataFrame, margin_seconds: int = MARGIN_SECONDS,
+                     severity: str = "critical") -> DataFrame:
+    """Each event with the nearest critical finding before and after it: at most two rows an event.
+
+    Adds ``side`` (``before`` or ``after``), ``moment``, ``seconds`` away, ``rule`` and ``source_ip`` of the finding.
+    A finding has two moments, its first and last hit. Time counts in whole seconds; a moment in the event's own
+    second is on both sides. Of findings at one moment the least (rule, address) counts.
+
+    Moments are reduced to one a second, and each tells the seconds within the margin about itself; a second keeps
+    the nearest on either side. So that table grows with the time around findings, and events meet it by their second.
+    """
+    second = F.unix_seconds(F.col("moment"))
+    moments = (findings.filter(F.col("severity") == severity)
+               .select("rule", "source_ip", F.explode(F.array("first_seen", "last_seen")).alias("moment"))
+               .filter("moment is not null").groupBy(second.alias("at"))
+               .agg(F.min(F.struct("rule", "source_ip")).alias("finding")))
+    away = F.explode(F.sequence(F.lit(-margin_seconds), F.lit(margin_seconds)))
+    near = moments.withColumn("away", away).withColumn("second", F.col("at") + F.col("away"))
+    pick = F.struct(F.abs("away").alias("seconds"), F.timestamp_seconds("at").alias("moment"), "finding.rule", "finding.source_ip")
+    sides = near.groupBy("second").agg(F.min(F.when(F.col("away") >= 0, pick)).alias("before"),
+                                       F.min(F.when(F.col("away") <= 0, pick)).alias("after"))
+    sides = stage(sides, "finding-seconds")
+    met = events.withColumn("second", F.unix_seconds("ts")).join(sides, "second").drop("second")
+    both = F.filter(F.array(*[F.when(F.col(s).isNotNull(), F.struct(F.lit(s).alias("side"), f"{s}.*")) for s in ("before", "after")]),
+                    lambda s: s.isNotNull())
+    return met.select(*events.columns, F.inline(both))
+
+
 def pivot_referrer(events: DataFrame, method: str = "POST") -> DataFrame:
     """Requests of one method by referrer, blank ones included."""
     return (events.filter(F.col("method") == method).groupBy("referrer")
