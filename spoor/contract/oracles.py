@@ -384,6 +384,8 @@ def oracle_sql() -> dict[str, str]:
       count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) FILTER (len(tags) > 0) AS tagged FROM two GROUP BY 1, 2""")
     o["read_case"] = _with(two, f"""SELECT case_id, seq, ts, ip, url, status, bytes, array_to_string(tags, ',') AS tags
       FROM two WHERE case_id = 2 AND NOT {_BAD_IP}""")
+    o["ingest_new"] = _with(PARSED, f"""SELECT CAST(3 AS BIGINT) AS case_id, method, status, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes
+      FROM p WHERE NOT {_BAD_IP} GROUP BY method, status""")
     o["sample_raw_lines"] = _with(LOG, "SELECT least(1000, count(*)) AS n FROM w WHERE raw <> ''")
 
     o["filter_ip"] = _with(LOG, f"""SELECT 'ip' AS scope, seq, ip FROM w WHERE ip = '{LEAD_IP}' UNION ALL
@@ -434,6 +436,14 @@ def oracle_sql() -> dict[str, str]:
       FULL JOIN (SELECT CAST(c AS BIGINT) AS case_id, count(*) AS findings FROM found, (VALUES (2), (9)) v(c) GROUP BY 1) b
       ON a.case_id = b.case_id""")
 
+    marks = f"""{LOG}, i0 AS (SELECT CASE seq % 5 WHEN 0 THEN upper(split_part(url, '?', 1)) WHEN 1 THEN right(url, seq % 9 + 2)
+        WHEN 2 THEN '/lab-' || seq ELSE left(url, seq % 11 + 1) END AS t FROM w),
+      ind AS (SELECT lower(t) AS folded, min(t) AS indicator FROM i0 WHERE trim(t) <> '' GROUP BY lower(t)),
+      us AS (SELECT url, count(*) AS requests FROM w GROUP BY url),
+      im AS (SELECT url, indicator, requests FROM us JOIN ind ON contains(lower(url), folded))"""
+    o["match_indicators"] = _with(marks, "SELECT * FROM im")
+    o["find_indicators"] = _with(marks, """SELECT indicator, ip AS source_ip, count(*) AS count, min(ts) AS first_seen, max(ts) AS last_seen
+      FROM w JOIN im USING (url) GROUP BY indicator, ip""")
     rhythm = f"""{LOG}, step AS (SELECT ip, ts, CAST(epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY ip ORDER BY ts, seq) AS HUGEINT) AS gap FROM w),
       tempo AS (SELECT ip, count(*) AS requests, min(ts) AS first_seen, max(ts) AS last_seen, round(sum(gap) / 1000 / (count(*) - 1), 6) AS mean_gap,
         round(sqrt(CAST((count(*) - 1) * sum(gap * gap) - sum(gap) * sum(gap) AS DOUBLE)) / nullif(sum(gap), 0), 6) AS variation
@@ -538,6 +548,13 @@ def oracle_sql() -> dict[str, str]:
       min(scan_end) AS first_scan_end FROM net JOIN hit USING (net, url) WHERE NOT scanner AND s_start > scan_end
       GROUP BY ip, ua, session_no""")
 
+    o["stream_session_phase"] = _with(SESS, "SELECT * EXCLUDE (session_no, scanner_ua) FROM s")
+    totals = "count(*) AS total_events, CAST(sum(bytes) AS BIGINT) AS total_bytes, min(ts) AS first_seen, max(ts) AS last_seen"
+    o["sketched_summary"] = _with(LOG, f"""SELECT {totals}, true AS unique_ips, true AS unique_user_agents, true AS unique_urls,
+      true AS unique_domains FROM w""")
+    o["sketched_period"] = _with(LOG, f"SELECT {totals} FROM w WHERE CAST(ts AS DATE) = DATE '2024-01-02'")
+    o["sketched_top"] = _with(LOG, """SELECT url AS label, count(*) AS count, 'url' AS field FROM w GROUP BY url UNION ALL
+      SELECT ip, count(*), 'ip' FROM w WHERE ts >= TIMESTAMP '2024-01-02' GROUP BY ip""")
     o["stats_summary"] = _with(f"{LOG}, {_SUMM}", "SELECT * FROM summ")
     for name, field, tie in (("top_ips", "ip", _ipnum("label")), ("top_user_agents", "ua", None),
                              ("top_urls", "url", None), ("top_domains", "domain", None),

@@ -12,15 +12,16 @@ from spoor import rules as R
 from spoor.functions import rank, text
 from spoor.functions.ip import is_non_global_ip
 from spoor.functions.logtime import has_tz_offset, parse_ts_kind
-from spoor.operators import (catalogue, correlate, describe, detect, enrich, networks, openings, pivot, profile,
-                             rhythm)
+from spoor.operators import (catalogue, correlate, describe, detect, enrich, indicators, networks, openings, pivot, profile,
+                             rhythm, sketches)
 from spoor.operators.tokenize import tokenize
 from spoor.schema import REPUTATION_SCHEMA
-from spoor.session import configure, run_path, stage
+from spoor.session import configure, match, run_path, stage
 from spoor.sinks import write
-from spoor.sources import parse, store
+from spoor.sources import batches, parse, store
 from spoor.sources import text as source_text
 from spoor.sources.weblog import as_lines, combined_lines, w3c_lines, weblog
+from spoor.streaming import windows
 
 NOW = dt.datetime(2024, 1, 3)
 QUERIES: dict = {}
@@ -121,6 +122,17 @@ def _(spark, log):
             .select("case_id", "seq", "ts", "ip", "url", "status", "bytes", "tags"))
 
 
+@query("ingest_new")
+def _(spark, log):
+    """Log files taken twice over, so that only their first turn counts."""
+    logs, path = run_path(spark, "log-files"), run_path(spark, "batches")
+    combined_lines(log).select("line").write.text(logs)
+    for _ in range(2):
+        batches.ingest_new(spark, logs, path, 3, "combined")
+    return batches.read_committed(spark, path, 3).groupBy("case_id", "method", "status").agg(
+        F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
 _simple("sample_raw_lines", lambda log: source_text.sample_raw_lines(log, 1000)
         .agg(F.count("*").alias("n")))
 
@@ -194,6 +206,16 @@ _simple("find_rare_ua", lambda log: _found(detect.find_rare_ua(log)))
 _simple("find_traffic_spike", lambda log: _found(detect.find_traffic_spike(log)))
 
 
+def _indicators(log):
+    """Paths, ends of paths and names of parameters of the log, one in another case, and many texts that no URL holds."""
+    n = F.col("seq")
+    return log.select(F.when(n % 5 == 0, F.upper(F.substring_index("url", "?", 1))).when(n % 5 == 1, F.right("url", (n % 9 + 2).cast("int")))
+                      .when(n % 5 == 2, F.concat(F.lit("/lab-"), n.cast("string"))).otherwise(F.left("url", (n % 11 + 1).cast("int")))
+                      .alias("indicator"))
+
+
+_simple("match_indicators", lambda log: indicators.match_indicators(log, _indicators(log)))
+_simple("find_indicators", lambda log: indicators.find_indicators(log, _indicators(log)))
 _simple("interval_profile", rhythm.interval_profile)
 _simple("find_beacons", lambda log: rhythm.find_beacons(log, 20, 0.95, now=NOW))
 _simple("hour_profile", rhythm.hour_profile)
@@ -305,9 +327,63 @@ _simple("pivot_referrer", lambda log: pivot.pivot_referrer(log))
 _simple("phase_transition", lambda log: pivot.phase_transition(log))
 
 
+# --- streams ------------------------------------------------------------------
+
+@query("stream_session_phase")
+def _(spark, log):
+    """The log as a stream in two runs of one query: the second goes on from the first one's checkpoint.
+
+    A last event, days later, closes all sessions; its own stays open.
+    """
+    source, out, mark = (run_path(spark, f"stream-{n}") for n in ("source", "sessions", "mark"))
+    rows = log.select("ts", "ip", "ua", "url", "status", "bytes")
+
+    def run():
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(source)
+        windows.write_sessions(stream, out, mark, "3 days").awaitTermination()
+    rows.filter("ts < '2024-01-01 18:00:00'").write.mode("append").parquet(source)
+    run()
+    rows.filter("ts >= '2024-01-01 18:00:00'").write.mode("append").parquet(source)
+    end = rows.agg(*[F.max(c).alias(c) for c in rows.columns]).withColumn("ts", F.col("ts") + F.expr("interval 9 days"))
+    end.write.mode("append").parquet(source)
+    run()
+    return spark.read.parquet(out).drop("scanner_ua")
+
+
 # --- statistics ---------------------------------------------------------------
 
 _simple("stats_summary", describe.stats_summary)
+
+
+def _sketched(spark, log):
+    path = run_path(spark, "sketches")
+    sketches.write_sketches(log, path, 1)
+    return path
+
+
+@query("sketched_summary")
+def _(spark, log):
+    """Merged sketches beside the exact figures: counts within 2 %."""
+    found = sketches.sketched_summary(spark, _sketched(spark, log), 1)
+    exact = describe.stats_summary(log).select(*[F.col(c).alias(f"exact_{c}") for c in sketches.COUNTED])
+    close = [(F.abs(F.col(c) - F.col(f"exact_{c}")) <= 0.02 * F.col(f"exact_{c}")).alias(c) for c in sketches.COUNTED]
+    both = match(found.withColumn("k", F.lit(1)), exact.withColumn("k", F.lit(1)), ["k"])
+    return both.select("total_events", "total_bytes", "first_seen", "last_seen", *close)
+
+
+@query("sketched_period")
+def _(spark, log):
+    return sketches.sketched_summary(spark, _sketched(spark, log), 1, "2024-01-02", "2024-01-02").select(
+        "total_events", "total_bytes", "first_seen", "last_seen")
+
+
+@query("sketched_top")
+def _(spark, log):
+    path = _sketched(spark, log)
+    return sketches.sketched_top(spark, path, 1, "url", 1000).withColumn("field", F.lit("url")).unionByName(
+        sketches.sketched_top(spark, path, 1, "ip", 1000, start="2024-01-02").withColumn("field", F.lit("ip")))
+
+
 _simple("top_ips", lambda log: describe.top_ips(log, TOP))
 _simple("top_user_agents", lambda log: describe.top_user_agents(log, TOP))
 _simple("top_urls", lambda log: describe.top_urls(log, TOP))

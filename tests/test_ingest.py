@@ -2,7 +2,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from spoor.sources import parse, store, text, w3c
+from spoor.operators import sketches
+from spoor.sources import batches, parse, store, text, w3c
 from spoor.session import run_path
 
 GOOD = '203.0.113.7 - - [10/Jul/2026:13:55:36 +0200] "GET /a?b=1 HTTP/1.1" 200 45 "https://x.example/p" "UA 1"'
@@ -155,3 +156,105 @@ def test_one_spelling_for_each_address(spark):
              "1:0:2:0:3:0:4:0": "1:0:2:0:3:0:4:0", "0:0:1:0:0:0:0:2": "0:0:1::2", "8.8.8.8": "8.8.8.8", "x:y": "x:y"}
     rows = spark.createDataFrame([(k,) for k in cases], "ip string").select("ip", canonical_ip(F.col("ip")).alias("c")).collect()
     assert {r.ip: r.c for r in rows} == cases
+
+
+# --- clustered store, batches, sketches ------------------------------------------------------
+
+def _scanned(df):
+    """Rows that the file scan handed on, after row groups were left out by their bounds."""
+    df._jdf.queryExecution().toRdd().count()
+    def find(plan):
+        if "Scan parquet" in plan.nodeName():
+            return plan.metrics().apply("numOutputRows").value()
+        return max((find(plan.children().apply(i)) for i in range(plan.children().size())), default=0)
+    return find(df._jdf.queryExecution().executedPlan())
+
+
+def test_a_block_of_addresses_is_found_by_bounds(spark, events_of, tmp_path):
+    rows = [{"ip": f"10.{n % 40}.{n % 7}.{n % 200}", "s": n * 80} for n in range(8000)]
+    path = str(tmp_path / "events")
+    spark.conf.set("spark.sql.shuffle.partitions", "128")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.write_events(events_of(rows), path, 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        case = store.read_case(spark, path, 1)
+        block = store.filter_ip(case, "10.3.3.0/24")
+        files = case.select(F.col("_metadata.file_path")).distinct().count()
+        held = block.select(F.col("_metadata.file_path")).distinct().count()
+        assert block.count() == sum(r["ip"].startswith("10.3.3.") for r in rows) > 0
+        assert held * 10 < files and _scanned(block.select("ip", "ip_key")) * 10 < len(rows)
+        day = store.filter_time(case, "2024-01-03 00:00:00", "2024-01-03 11:00:00").select("ts")
+        assert 0 < day.count() and _scanned(day) <= 1081
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def _logs(folder, name, n, tail=""):
+    (folder / name).write_text("".join(GOOD.replace("203.0.113.7", f"203.0.113.{k % 9}") + tail + "\n" for k in range(n)))
+
+
+def test_ingest_twice_takes_files_once(spark, tmp_path):
+    logs, path = tmp_path / "logs", str(tmp_path / "events")
+    logs.mkdir()
+    _logs(logs, "a.log", 20)
+    _logs(logs, "b.log", 30)
+    first = batches.ingest_new(spark, str(logs), path, 1)
+    assert first == {"ok": 50, "failed": 0, "unparsed": 0, "files": 2}
+    assert batches.ingest_new(spark, str(logs), path, 1)["files"] == 0
+    assert batches.read_committed(spark, path, 1).count() == 50
+    _logs(logs, "c.log", 5)
+    assert batches.ingest_new(spark, str(logs), path, 1)["files"] == 1
+    assert batches.ingest_new(spark, str(logs), path, 2)["ok"] == 55
+    assert (batches.read_committed(spark, path, 1).count(), batches.read_committed(spark, path).count()) == (55, 110)
+
+
+def test_a_batch_without_commit_leaves_no_row(spark, tmp_path, monkeypatch):
+    logs, path = tmp_path / "logs", str(tmp_path / "events")
+    logs.mkdir()
+    _logs(logs, "a.log", 20)
+    written = store.write_events(parse.parse_lines(text.scan_log_text(spark, str(logs)), "combined", keep_unparsed=True),
+                                 f"{path}/batch=died", 1)
+    assert written["ok"] == 20
+    assert batches.ingest_new(spark, str(logs), path, 1)["ok"] == 20
+    assert batches.read_committed(spark, path, 1).count() == 20
+
+
+def test_a_changed_file_replaces_its_rows(spark, tmp_path):
+    logs, path = tmp_path / "logs", str(tmp_path / "events")
+    logs.mkdir()
+    _logs(logs, "a.log", 20)
+    _logs(logs, "b.log", 3)
+    batches.ingest_new(spark, str(logs), path, 1)
+    _logs(logs, "a.log", 25, " more")
+    assert batches.ingest_new(spark, str(logs), path, 1)["ok"] == 25
+    assert batches.read_committed(spark, path, 1).count() == 28
+
+
+def test_a_stream_takes_each_file_once(spark, tmp_path):
+    logs, path, mark = tmp_path / "logs", str(tmp_path / "events"), str(tmp_path / "mark")
+    logs.mkdir()
+    _logs(logs, "a.log", 20)
+    batches.stream_batches(spark, str(logs), path, 1, mark).awaitTermination()
+    _logs(logs, "b.log", 7)
+    batches.stream_batches(spark, str(logs), path, 1, mark).awaitTermination()
+    assert batches.read_committed(spark, path, 1).count() == 27
+    assert batches.ingest_new(spark, str(logs), path, 1)["files"] == 0
+
+
+def test_sketches_answer_for_days(spark, events_of, tmp_path):
+    rows = [{"ip": f"10.0.{n % 90}.{n % 50}", "url": f"/p{n}", "s": n * 60, "bytes": n} for n in range(6000)]
+    path = str(tmp_path / "sketches")
+    sketches.write_sketches(events_of(rows), path, 4)
+    whole = sketches.sketched_summary(spark, path, 4).first()
+    assert whole.total_events == 6000 and whole.total_bytes == sum(range(6000))
+    assert abs(whole.unique_urls - 6000) < 120 and abs(whole.unique_ips - 450) < 9
+    day = sketches.sketched_summary(spark, path, 4, "2024-01-02", "2024-01-02").first()
+    assert day.total_events == 1440 and abs(day.unique_urls - 1440) < 29
+    top = sketches.sketched_top(spark, path, 4, "ip", 3, start="2024-01-02").collect()
+    assert len(top) == 3 and all(r["count"] in (10, 11) for r in top)
+    assert sketches.sketched_summary(spark, path, 5).first().total_events == 0

@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from spoor.operators import networks, openings, pivot, rhythm
+from spoor.operators import indicators, networks, openings, pivot, rhythm
 
 
 # --- intervals ------------------------------------------------------------------------
@@ -149,3 +149,27 @@ def test_nearest_findings(spark, events_of):
     assert sorted((r.url, r.side, r.seconds, r.rule) for r in near) == [
         ("/100", "after", 0, "rce"), ("/100", "before", 0, "rce"), ("/40", "after", 60, "rce")]
     assert pivot.nearest_findings(events, found.limit(0)).count() == 0
+
+
+# --- indicators --------------------------------------------------------------------------------
+
+def test_many_indicators_equal_a_plain_search(spark, events_of):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeXY/%é") for _ in range(rng.randint(1, 12))) for _ in range(200_000)]
+    urls = ["/" + "".join(rng.choice("abcdexy/%É") for _ in range(rng.randint(0, 18))) for _ in range(120)] + ["", "/Shell.PHP?x=1"]
+    words += ["shell.php", "SHELL.PHP", " ", "", None, "/"]
+    events = events_of([{"url": u, "s": i} for i, u in enumerate(urls)])
+    table = spark.createDataFrame([(w, 1) for w in words], "indicator string, url int")
+    found = indicators.match_indicators(events, table)
+
+    def fold(text):
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    folded = {}
+    for w in words:
+        if w and w.strip():
+            folded[fold(w)] = min(folded.get(fold(w), w), w)
+    want = {(u, name) for u in set(urls) for f, name in folded.items() if f in fold(u)}
+    assert {(r.url, r.indicator) for r in found.collect()} == want and ("/Shell.PHP?x=1", "SHELL.PHP") in want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+    assert indicators.match_indicators(events, table.limit(0)).count() == 0
