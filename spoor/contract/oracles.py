@@ -449,9 +449,8 @@ def oracle_sql() -> dict[str, str]:
         round(sqrt(CAST((count(*) - 1) * sum(gap * gap) - sum(gap) * sum(gap) AS DOUBLE)) / nullif(sum(gap), 0), 6) AS variation
         FROM step GROUP BY ip HAVING count(*) >= 3)"""
     o["interval_profile"] = _with(rhythm, "SELECT * FROM tempo")
-    o["find_beacons"] = _with(rhythm, f"""SELECT CAST(0 AS BIGINT) AS case_id, 'beacon' AS rule, 'medium' AS severity,
-      printf('A request every %.1f seconds, give or take %.0f %%', mean_gap, variation * 100) AS description, ip AS source_ip, requests AS count,
-      '' AS sample, first_seen, last_seen{created} FROM tempo WHERE requests >= 20 AND variation <= 0.95 AND mean_gap >= 1""")
+    o["find_beacons"] = _with(rhythm, f"""SELECT CAST(0 AS BIGINT) AS case_id, 'beacon' AS rule, 'medium' AS severity, ip AS source_ip, requests AS count,
+      '' AS sample, first_seen, last_seen FROM tempo WHERE requests >= 20 AND variation <= 0.95 AND mean_gap >= 1""")
     hours = f"""{LOG}, ih AS (SELECT ip, extract(hour FROM ts) AS h, count(*) AS n FROM w GROUP BY 1, 2),
       fh AS (SELECT h, CAST(sum(n) AS BIGINT) AS f, sum(sum(n)) OVER () AS total FROM ih GROUP BY h),
       grid AS (SELECT i.ip, fh.h, coalesce(ih.n, 0) AS n, f / total AS share, i.requests FROM
@@ -552,9 +551,9 @@ def oracle_sql() -> dict[str, str]:
     totals = "count(*) AS total_events, CAST(sum(bytes) AS BIGINT) AS total_bytes, min(ts) AS first_seen, max(ts) AS last_seen"
     o["sketched_summary"] = _with(LOG, f"""SELECT {totals}, true AS unique_ips, true AS unique_user_agents, true AS unique_urls,
       true AS unique_domains FROM w""")
-    o["sketched_period"] = _with(LOG, f"SELECT {totals} FROM w WHERE CAST(ts AS DATE) = DATE '2024-01-02'")
+    o["sketched_period"] = _with(LOG, f"SELECT {totals} FROM w WHERE CAST(ts AS DATE) = DATE '2024-01-01'")
     o["sketched_top"] = _with(LOG, """SELECT url AS label, count(*) AS count, 'url' AS field FROM w GROUP BY url UNION ALL
-      SELECT ip, count(*), 'ip' FROM w WHERE ts >= TIMESTAMP '2024-01-02' GROUP BY ip""")
+      SELECT ip, count(*), 'ip' FROM w WHERE ts < TIMESTAMP '2024-01-02' GROUP BY ip""")
     o["stats_summary"] = _with(f"{LOG}, {_SUMM}", "SELECT * FROM summ")
     for name, field, tie in (("top_ips", "ip", _ipnum("label")), ("top_user_agents", "ua", None),
                              ("top_urls", "url", None), ("top_domains", "domain", None),

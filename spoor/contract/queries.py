@@ -217,7 +217,7 @@ def _indicators(log):
 _simple("match_indicators", lambda log: indicators.match_indicators(log, _indicators(log)))
 _simple("find_indicators", lambda log: indicators.find_indicators(log, _indicators(log)))
 _simple("interval_profile", rhythm.interval_profile)
-_simple("find_beacons", lambda log: rhythm.find_beacons(log, 20, 0.95, now=NOW))
+_simple("find_beacons", lambda log: _found(rhythm.find_beacons(log, 20, 0.95)))
 _simple("hour_profile", rhythm.hour_profile)
 _simple("find_odd_hours", lambda log: _found(rhythm.find_odd_hours(log, 0.12)))
 _simple("parameter_entropy", rhythm.parameter_entropy)
@@ -373,7 +373,7 @@ def _(spark, log):
 
 @query("sketched_period")
 def _(spark, log):
-    return sketches.sketched_summary(spark, _sketched(spark, log), 1, "2024-01-02", "2024-01-02").select(
+    return sketches.sketched_summary(spark, _sketched(spark, log), 1, "2024-01-01", "2024-01-01").select(
         "total_events", "total_bytes", "first_seen", "last_seen")
 
 
@@ -381,7 +381,7 @@ def _(spark, log):
 def _(spark, log):
     path = _sketched(spark, log)
     return sketches.sketched_top(spark, path, 1, "url", 1000).withColumn("field", F.lit("url")).unionByName(
-        sketches.sketched_top(spark, path, 1, "ip", 1000, start="2024-01-02").withColumn("field", F.lit("ip")))
+        sketches.sketched_top(spark, path, 1, "ip", 1000, end="2024-01-01").withColumn("field", F.lit("ip")))
 
 
 _simple("top_ips", lambda log: describe.top_ips(log, TOP))

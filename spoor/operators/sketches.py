@@ -51,6 +51,7 @@ def sketched_top(spark: SparkSession, path: str, case_id: int, field: str, n: in
     """
     if field not in RANKED:
         raise ValueError(f"no ranking is kept for {field}")
-    merged = _days(spark, path, case_id, start, end).agg(F.expr(f"approx_top_k_combine(top_{field}, {TRACKED})").alias("k"))
+    # Grouped by nothing, so that a period without days has no row rather than an empty sketch.
+    merged = _days(spark, path, case_id, start, end).groupBy(F.lit(1)).agg(F.expr(f"approx_top_k_combine(top_{field}, {TRACKED})").alias("k"))
     rows = merged.select(F.inline(F.expr(f"approx_top_k_estimate(k, {int(n)})")))
     return rows.select(F.col("item").alias("label"), "count").filter(~F.col("label").isin("", "-"))

@@ -258,3 +258,4 @@ def test_sketches_answer_for_days(spark, events_of, tmp_path):
     top = sketches.sketched_top(spark, path, 4, "ip", 3, start="2024-01-02").collect()
     assert len(top) == 3 and all(r["count"] in (10, 11) for r in top)
     assert sketches.sketched_summary(spark, path, 5).first().total_events == 0
+    assert sketches.sketched_top(spark, path, 4, "ip", 3, start="2025-01-01").count() == 0
