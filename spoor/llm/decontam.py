@@ -27,7 +27,24 @@ UNITS = frozenset(
     "% $ € £ ¥ ° mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons "
     "lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons s sec second seconds min minute "
     "minutes h hour hours day days week weeks month months year years dollar dollars euro euros cent cents mph kmh "
-    "meter meters metre metres kilometer kilometers kilometre kilometres percent degree degrees".split())
+    "meter meters metre metres kilometer kilometers kilometre kilometres percent degree degrees "
+    "zentimeter millimeter fuß zoll meile meilen gramm kilogramm tonne tonnen pfund unze unzen sekunde sekunden minuten stunde "
+    "stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad "
+    "mètre mètres centimètre centimètres kilomètre kilomètres gramme grammes kilogramme kilogrammes livre livres once onces "
+    "seconde secondes heure heures jour jours semaine semaines mois an ans année années pourcent degré degrés centime centimes "
+    "metro metros centímetro centímetros kilómetro kilómetros gramo gramos kilo kilos kilogramo kilogramos tonelada toneladas "
+    "libra libras onza onzas litro litros milla millas segundo segundos minuto minutos hora horas día días semana semanas mes "
+    "meses año años dólar dólares céntimo céntimos grado grados".split())
+# Numbers written as words. One is left out, as in these languages it is an article, too.
+NUMBER_WORDS = frozenset(
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn "
+    "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante "
+    "mille "
+    "dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis diecisiete dieciocho diecinueve "
+    "veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil".split())
 # Words that open sentences without being names. Words that are names as well (Will, May, Mark) are not here.
 OPENERS = frozenset(
     "a about add after all also although among an and any are as assume at based because before both but by calculate can "
@@ -35,7 +52,14 @@ OPENERS = frozenset(
     "find first five for four from give given he her here his how however identify if in is it its let list many more most "
     "multiply name no not now of on one only or other our out round select she should show simplify since six so solve some "
     "subtract suppose ten that the their then there these they this those three to two under using was we were what when "
-    "where which while who whom whose why with without write you your".split())
+    "where which while who whom whose why with without write you your "
+    "alle als am auch auf aus bei berechne bestimme da dann das dass den der des die diese dieser ein eine einer er es finde "
+    "für gib ihr im ist jede jeder löse mit nach nun nur ob sei sie sind so und vom von wann warum was welche welcher welches "
+    "wenn wer wie wo während zeige zu "
+    "au aux avec calcule calculez ce ces cette chaque combien comment dans de donnez du elle en est et étant il ils la le les leur "
+    "lorsque mais montrez où par pour pourquoi quand que quel quelle quelles quels qui sa ses si soit son sont sur trouve trouvez un une "
+    "al calcula cada como con cuando cuántas cuánto cuántos cuál cómo del demuestra determina dónde e el ella ellos en entonces "
+    "es esta este halla las lo los para pero por qué quién se según si sin sobre su sus un una y".split())
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[%$€£¥°]|[.!?:;\n]")
 WORD, NUMBER, CAPITAL, UNIT, STOP, OPENER = range(6)
 PLACEHOLDER = {NUMBER: 0x9D39247E33776D41, CAPITAL: 0x2AF7398005AAA5C7, UNIT: 0x44DB015024623547}
@@ -62,7 +86,7 @@ class Speller(dict):
 
     def __missing__(self, token: str) -> int:
         first = token[0]
-        kind = (NUMBER if first.isdigit() else STOP if first in ".!?:;\n" else UNIT if token.lower() in UNITS
+        kind = (NUMBER if first.isdigit() or token.lower() in NUMBER_WORDS else STOP if first in ".!?:;\n" else UNIT if token.lower() in UNITS
                 else WORD if not first.isupper() else OPENER if token.lower() in OPENERS else CAPITAL)
         self[token] = place = len(self.values)
         self.values.append(_spell(token))
@@ -83,7 +107,7 @@ class Speller(dict):
 def template(value: np.ndarray, kind: np.ndarray, text: np.ndarray, reading: int) -> tuple[np.ndarray, ...]:
     """(canonical, value, class, text) of the tokens of texts; ``text`` numbers the text of each token.
 
-    A number is a slot; so is a unit right before or after one, and a capitalised word. One that begins a
+    A number, in digits or as a word, is a slot; so is a unit right before or after one, and a capitalised word. One that begins a
     sentence is a plain word in the reading AS_WORD; in AS_NAME it is a slot, too, unless it is one of
     OPENERS. Names in a row are one slot. Other words stand for themselves, without case. VERBATIM has no
     slots: each token stands for itself, so that copies in any case or line length are the same.
@@ -207,7 +231,8 @@ def windows(rows: DataFrame, id_column: str, widths: list[int] | None = None, wa
 
 def _hits(docs: DataFrame, items: DataFrame, id_column: str) -> DataFrame:
     """Windows of documents that some item has. The benchmark's hashes go to the tasks in blocks of a
-    bounded size, so that no window of another text is ever shuffled."""
+    bounded size, one after another, so that no window of another text is ever shuffled and a task
+    never holds more than one block."""
     spark = docs.sparkSession
     distinct = items.select("hash", "width").distinct()
     size = distinct.agg(F.count("*").alias("n"), F.collect_set("width").alias("widths")).first()
@@ -217,6 +242,9 @@ def _hits(docs: DataFrame, items: DataFrame, id_column: str) -> DataFrame:
         wanted = spark.sparkContext.broadcast(np.unique(part.to_numpy(np.int64)))
         if len(wanted.value):
             own = windows(docs, id_column, sorted(size.widths), wanted)
+            if blocks > 1:
+                own = stage(own, "leak-block")
+                wanted.unpersist()
             found = own if found is None else found.unionByName(own)
     return found if found is not None else windows(docs.limit(0), id_column)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -14,13 +15,15 @@ from spoor.llm.common import stage
 
 LEVELS = 3          # tag-class steps of a generalised path, counted from the container upwards
 MIN_SHARE = 0.1     # of a host's votes that a path needs to win; so at most ten win
+GOOD_SHARE = 0.5    # of the text in the page's own container that a winning path has to hold to stand alone
 
 # Elements by their role in a page, and words of class, id and role names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object select option "
-                "button canvas audio video".split())
+RAW = frozenset("script style title textarea noscript template iframe svg select option "
+                "button canvas audio video annotation annotation-xml".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp "
-                   "small span strike strong sub sup time tt u var wbr".split())
+                   "small span strike strong sub sup time tt u var wbr object math mfrac mi mn mo mover mpadded mroot "
+                   "mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 SKIPPED = frozenset("nav footer aside form dialog menu".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -31,6 +34,10 @@ NOISE = frozenset(
     "modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion "
     "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription toolbar widget widgets".split())
+# Words that go with those in names of parts of a page, and of asides that belong to a text.
+PLAIN = frozenset("area articles bar block box buttons container form inner item items link links list news page post posts "
+                  "reader section site stories user wrap wrapper".split())
+QUOTED = frozenset("callout example pull pullquote quote tip".split())
 STATES = frozenset("has hide is js no not show with without".split())   # 'has-sidebar' tells of a sidebar, but is none
 GOOD = {"article": 1.5, "main": 1.2}
 
@@ -42,10 +49,13 @@ LEAF = re.compile(r"(p|h[1-6]|li|td|dd|dt|blockquote|pre)\b")
 
 @dataclass
 class Page:
-    """Elements as (parent, step, skipped) and text blocks as (element, text, linked characters)."""
+    """Elements as (parent, step, skipped, doubted) and text blocks as (element, text, linked characters).
+
+    What is read although its name says that it is noise is doubted."""
     parents: list[int] = field(default_factory=list)
     steps: list[str] = field(default_factory=list)
     skipped: list[bool] = field(default_factory=list)
+    doubted: list[bool] = field(default_factory=list)
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
     def path(self, node: int) -> str:
@@ -64,13 +74,20 @@ def _noisy(word: str) -> bool:
     return parts[0] in NOISE or (parts[-1] in NOISE and (parts[-1] != "header" or parts[0] in ("global", "site", "top")))
 
 
-def _step(name: str, attributes: str) -> tuple[str, bool]:
+def _all_noise(word: str) -> bool:
+    """Whether a name is about noise altogether, as inside an article it has to be: there a section may well be named
+    after what it tells of, such as 'comment-on-law'."""
+    parts = {x for x in re.split(r"[^a-z]+", word) if x}
+    return not parts.isdisjoint(NOISE - {"header"}) and parts <= NOISE | PLAIN
+
+
+def _step(name: str, attributes: str, inside: bool) -> tuple[str, bool]:
     """Generalised tag-class of an element, without digits, and whether its name says it is noise."""
     classes, noise = [], False
     if attributes:
         for what, *values in NAMES.findall(attributes):
             words = entities.unescape("".join(values)).lower().split()
-            noise |= any(map(_noisy, words))
+            noise |= any(map(_all_noise if inside else _noisy, words))
             if what.lower() == "class":
                 classes = sorted({re.sub(r"\d+", "", w).strip("-_") for w in words} - {""})
     return ".".join([name, *classes]), noise
@@ -108,6 +125,8 @@ def _settle(page: Page, named: list[int], articles: set[int]) -> None:
         left = sum(max(0, len(b) - linked) for n, b, linked in page.blocks if not page.skipped[n])
         if (4 * left >= total > 0 and least == 0) or (left and least):
             break
+    for n, parent in enumerate(page.parents):
+        page.doubted.append((parent >= 0 and page.doubted[parent]) or (named[n] > 0 and 2 * art[n] <= whole))
 
 
 def parse(html: str | None) -> Page:
@@ -115,9 +134,15 @@ def parse(html: str | None) -> Page:
     html, page = html or "", Page()
     named: list[int] = []                  # see _settle
     articles: set[int] = set()
-    stack: list[tuple[str, int]] = []      # block elements that are open
+    stack: list[tuple[str, int, bool]] = []      # block elements that are open: name, number, whether in an article
+    opened: Counter[str] = Counter()
     anchors, text, linked, at = 0, [], 0, 0
 
+    def close(i: int) -> None:
+        """Close the elements from place ``i`` of the stack on."""
+        opened.subtract(name for name, _, _ in stack[i:])
+        del stack[i:]
+
     def flush():
         nonlocal text, linked
         if text:
@@ -126,7 +151,8 @@ def parse(html: str | None) -> Page:
                 page.blocks.append((stack[-1][1], joined, linked))
             elif joined:
                 page.parents.append(-1), page.steps.append("html"), named.append(0)
-                stack.append(("html", len(page.parents) - 1))
+                stack.append(("html", len(page.parents) - 1, False))
+                opened["html"] += 1
                 page.blocks.append((stack[-1][1], joined, linked))
         text, linked = [], 0
 
@@ -158,33 +184,34 @@ def parse(html: str | None) -> Page:
         flush()
         anchors = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[i][0] == name:
-                    del stack[i:]
+                    close(i)
                     break
             continue
         if name in VOID:
             continue
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in CLOSES.get(name, ()):
-                del stack[i:]
+        ends = CLOSES.get(name, ())
+        for i in range(len(stack) - 1, -1, -1) if any(opened[e] for e in ends) else ():
+            if stack[i][0] in ends:
+                close(i)
                 break
             if stack[i][0] in BARRIER.get(name, ()):
                 break
-        else:
-            i = -1
         if stack and stack[-1][0] == "p" and name != "p":
-            del stack[-1:]                     # any block ends an open paragraph
-        step, noise = _step(name, attributes)
+            close(len(stack) - 1)              # any block ends an open paragraph
+        inside = bool(stack) and stack[-1][2]
+        step, noise = _step(name, attributes, inside)
         parent = stack[-1][1] if stack else -1
-        inside = any(s in ("article", "main") for s, _ in stack)
+        told = name == "aside" and inside and not noise and not QUOTED.isdisjoint(re.split(r"[^a-z]+", step))
         page.parents.append(parent), page.steps.append(step)
         if name in ("article", "main") and not noise:
             articles.add(len(named))
-        hard = (name in SKIPPED and name != "form") or (name == "header" and not inside)
+        hard = (name in SKIPPED and name != "form" and not told) or (name == "header" and not inside)
         soft = name == "form" or (noise and name not in ("html", "body", "article", "main"))
         named.append(2 if hard else 1 if soft else 0)
-        stack.append((name, len(page.parents) - 1))
+        stack.append((name, len(page.parents) - 1, inside or name in ("article", "main")))
+        opened[name] += 1
     if at < len(html):
         text.append(html[at:])
         linked += len(html) - at if anchors else 0
@@ -242,7 +269,11 @@ def best_path(html: str | None) -> str | None:
 
 
 def main_text(html: str | None, winners: list[str] | None) -> str:
-    """Blocks in the first winning path that the page has, else in its own container."""
+    """Blocks in the first winning path that holds a good share of the text in the page's own container.
+
+    If none does, the blocks of all winning paths and of the container, in page order: a host's usual
+    place may hold little of a page whose article lies elsewhere. Against a path that won, doubted text has no weight.
+    """
     page = parse(html)
     paths = {}
     for n in range(len(page.parents)):
@@ -250,17 +281,28 @@ def main_text(html: str | None, winners: list[str] | None) -> str:
             paths.setdefault(page.path(n), set()).add(n)
     choices = [paths[w] for w in (winners if winners is not None else []) if w in paths]
     own = container(page)
-    if own is not None:
-        choices.append({own})
-    inside: list[bool] = []
-    for chosen in choices:
-        inside = []
+    own = set() if own is None else {own}
+
+    def inside(chosen: set[int]) -> list[bool]:
+        found: list[bool] = []
         for n, parent in enumerate(page.parents):
-            inside.append(n in chosen or (parent >= 0 and inside[parent]))
-        text = "\n".join(t for n, t, _ in page.blocks if inside[n] and not page.skipped[n])
-        if text:
-            return text
-    return ""
+            found.append((n in chosen or (parent >= 0 and found[parent])) and not page.skipped[n])
+        return found
+
+    def blocks(within: list[bool]) -> list[tuple[str, int]]:
+        return [(t, linked) for n, t, linked in page.blocks if within[n]]
+
+    def plain(found: list[tuple[str, int]]) -> int:
+        return sum(max(0, len(t) - linked) for t, linked in found)
+
+    sure = [x and not d for x, d in zip(inside(own), page.doubted)]
+    for chosen in choices:
+        found = blocks(inside(chosen))
+        if found and plain(found) >= GOOD_SHARE * plain(blocks(sure)):
+            return "\n".join(t for t, _ in found)
+    usual = inside(set().union(*choices))
+    within = [a or b for a, b in zip(usual, sure)] if blocks(usual) else inside(own)
+    return "\n".join(t for t, _ in blocks(within))
 
 
 def host_of(url: Column) -> Column:
@@ -290,7 +332,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """All columns of ``pages`` (url, html) and ``main_text``.
 
     Null and empty pages give the empty text. Pages without a host vote together. A page in which no
-    winning path holds text uses its own container. Repeated rows stay.
+    winning path holds half as much text as its own container gets the text of all of them. Of paths with
+    equally many votes the one first in text comes first. Repeated rows stay.
     """
     def of(htmls: pd.Series, winners: pd.Series) -> pd.Series:
         return pd.Series([main_text(h, w) for h, w in zip(htmls, winners)], dtype=object)

@@ -91,13 +91,24 @@ def _document_frequency(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
     yield pd.DataFrame({"gram": np.arange(DIMS + 1), "df": df})
 
 
+def _sparse(texts: pd.Series) -> pd.DataFrame:
+    """Counts of each text's n-grams, ``DIMS`` at most however long it is; none without a letter."""
+    rows = []
+    for counts in map(ngram_counts, texts):
+        at = np.zeros(0, np.int64) if counts is None else np.flatnonzero(counts)
+        rows.append((at.astype(np.int32), counts[at] if len(at) else at))
+    return pd.DataFrame(rows, columns=["at", "n"])
+
+
 def _centroids(idf: np.ndarray):
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         """Spherical k-means over one language's sample; starts far apart, so the result is fixed."""
-        found = [c for c in map(ngram_counts, rows.sort_values(["doc_id", "text"])["text"]) if c is not None]
-        if not found:
-            return pd.DataFrame({"lang": [], "centroid": [], "vector": []})
-        x = np.array([_vector(c, idf) for c in found], np.float32)
+        rows = rows.sort_values("doc_id")
+        x = np.zeros((len(rows), DIMS), np.float32)
+        for k, (at, n) in enumerate(zip(rows["at"], rows["n"])):
+            counts = np.zeros(DIMS, np.int64)
+            counts[at] = n
+            x[k] = _vector(counts, idf)
         centers = [x.mean(axis=0)]
         for _ in range(min(CENTROIDS, len(x)) - 1):
             centers.append(x[np.max(x @ np.array(centers).T, axis=1).argmin()])
@@ -117,8 +128,9 @@ def fit_languages(rows: DataFrame) -> LanguageModel:
     """Learn from ``rows`` (doc_id, text, lang); rows without lang or text are left out.
 
     Document frequencies cover all rows. Centroids are fitted on ``SAMPLE_PER_LANG`` rows of each
-    language, those with the smallest hash of doc_id; one task fits one language. The driver gets
-    DIMS frequencies and CENTROIDS vectors per language.
+    language, those with the smallest hash of doc_id; one task fits one language and gets the sample's
+    counts, not its texts. Of rows that share doc_id and lang, the one whose text has the smallest hash counts.
+    The driver gets DIMS frequencies and CENTROIDS vectors per language.
     """
     rows = rows.filter("lang is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
@@ -132,7 +144,9 @@ def fit_languages(rows: DataFrame) -> LanguageModel:
     ids = hash_sample(rows.select("doc_id", "lang"), "doc_id", SAMPLE_PER_LANG, ["lang"]).withColumn("n", F.row_number().over(first)).filter(
         F.col("n") <= SAMPLE_PER_LANG).select("doc_id").distinct()
     # At most SAMPLE_PER_LANG numbers for each language: a bounded table.
-    sample = rows.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id", "lang"])
+    counted = F.pandas_udf(_sparse, "at array<int>, n array<bigint>")("text")
+    sample = (rows.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", F.xxhash64("text").alias("h"), counted.alias("f"))
+              .filter("size(f.at) > 0").groupBy("doc_id", "lang").agg(F.min_by("f", "h").alias("f")).select("doc_id", "lang", "f.*"))
     fitted = sample.groupBy("lang").applyInPandas(
         _centroids(idf), "lang string, centroid int, vector array<double>").collect()
     fitted = sorted(fitted, key=lambda r: (r.lang, r.centroid))

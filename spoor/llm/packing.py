@@ -18,6 +18,7 @@ from spoor.llm.files import committed, open_fs
 
 LENGTH = 2048              # ids of a packed row
 POOL_IDS = 1 << 22         # ids that are packed together; a task holds one pool at a time
+SEGMENTS = "_segments"
 COLUMNS = ("doc_id long, piece int, doc_start long, length int, pool string, pack_row int, row_start int, "
            "ids_crc32 long, n_tokens long")
 
@@ -105,7 +106,8 @@ def _packer(folder: str, path: str, pattern: str, eos: int, length: int, pool_id
 
         def done(pool):
             nonlocal number
-            name = f"pool-{task.partitionId():06d}-{number:04d}"
+            # Each attempt has names of its own; the list of segments names those that count.
+            name = f"pool-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}"
             number += 1
             with committed(folder, f"{name}.npz", task.taskAttemptId()) as out:
                 found = _pack(pool, length, eos, out)
@@ -135,9 +137,14 @@ def pack_documents(docs: DataFrame, folder: str, path: str, pattern: str, eos: i
     of its own input, so nothing is shuffled; a pool is one file ``<pool>.npz`` with ids, cu_seqlens with
     row_ptr, and resets (where positions begin again). The result has one row per segment; it is
     also what shows which documents lie where. Repeated rows are packed again.
+
+    All is written before this returns, the segments below ``folder`` too, and the result reads them: however
+    often or little of it is used, the pools are packed once. Pools that a lost attempt left are in no segment.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(_packer(folder, path, pattern, eos, length, pool_ids), COLUMNS)
+    packed = rows.mapInPandas(_packer(folder, path, pattern, eos, length, pool_ids), COLUMNS)
+    packed.write.mode("overwrite").parquet(f"{folder}/{SEGMENTS}")
+    return docs.sparkSession.read.schema(COLUMNS).parquet(f"{folder}/{SEGMENTS}")
 
 
 def read_pool(folder: str, pool: str) -> dict[str, np.ndarray]:

@@ -108,7 +108,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int
 def fit_quality(docs: DataFrame, labels: DataFrame) -> FactorisationMachine:
     """Fit on the ``TRAIN_ROWS`` labelled rows of ``docs`` whose doc_id has the smallest hash.
 
-    ``labels``: doc_id, quality. Several labels of a document are averaged, null ones are ignored.
+    ``labels``: doc_id, quality. Several labels of a document are averaged, null ones are ignored. Of rows that
+    share a doc_id, the one whose text has the smallest hash is learnt from.
     Features are computed in the tasks; the driver gets TRAIN_ROWS x WORD_DIMS values at most.
     """
     own = (labels.filter("quality is not null and doc_id is not null").groupBy("doc_id")
@@ -120,8 +121,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> FactorisationMachine:
 
     # The limit bounds the broadcast table.
     rows = (docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
-            .select("doc_id", "label", F.pandas_udf(of, "at array<int>, x array<float>")("text").alias("f"))
-            .dropDuplicates(["doc_id"]).collect())
+            .select("doc_id", "label", F.xxhash64("text").alias("h"), F.pandas_udf(of, "at array<int>, x array<float>")("text").alias("f"))
+            .groupBy("doc_id", "label").agg(F.min_by("f", "h").alias("f")).collect())
     rows.sort(key=lambda r: r.doc_id)
     return fit([(np.array(r.f.at, np.int32), np.array(r.f.x, np.float32)) for r in rows], [r.label for r in rows])
 

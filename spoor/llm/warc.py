@@ -7,6 +7,7 @@ import hashlib
 import io
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,11 +21,13 @@ from spoor.llm.files import committed, open_fs
 
 DICTIONARY_MAGIC = 0x184D2A5D     # skippable frame that holds the dictionary
 DICTIONARY_BYTES = 1 << 15
-SAMPLE_BYTES = 1 << 20            # leading records of an archive that its dictionary is built from
-ARCHIVE_BYTES = 1 << 26           # uncompressed; a task starts another archive beyond it
+SAMPLE_BYTES = 1 << 20            # of an archive's records, from all over it, that its dictionary is built from
+PIECE_BYTES = 1 << 17             # of one record in the sample
+ARCHIVE_BYTES = 1 << 25           # uncompressed; a task holds so much and starts another archive beyond it
 LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+LIST, LIST_COLUMNS = "_archives", "archive string, records long"
 COLUMNS = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
            "url string")
 
@@ -67,27 +70,33 @@ def build_dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
         return zstandard.ZstdCompressionDict(b"".join(samples)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def write_archive(out, records: Iterator[bytes]) -> int:
-    """Dictionary frame, then one frame for each record; only the sample is held in memory."""
-    held, size = [], 0
-    for r in records:
-        held.append(r)
-        size += len(r)
+def sample(records: list[bytes]) -> list[bytes]:
+    """Pieces of records from all over an archive, by the hash of a record, ``SAMPLE_BYTES`` at most.
+
+    Of a very long record a piece from a place that also follows from its hash, so one record is never the whole sample.
+    """
+    hashed = sorted((zlib.crc32(r), k) for k, r in enumerate(records))
+    pieces, size = [], 0
+    for h, k in hashed:
+        r = records[k]
+        start = h % (len(r) - PIECE_BYTES) if len(r) > PIECE_BYTES else 0
+        pieces.append(r[start:start + PIECE_BYTES])
+        size += len(pieces[-1])
         if size >= SAMPLE_BYTES:
             break
-    pieces, size = [], 0
-    for r in held:                     # one very long record does not make the sample large
-        pieces.append(r[:SAMPLE_BYTES >> 3])
-    dictionary = build_dictionary(pieces)
+    return pieces
+
+
+def write_archive(out, records: Iterator[bytes]) -> int:
+    """Dictionary frame, then one frame for each record. The records of one archive are held until they are written."""
+    records = list(records)
+    dictionary = build_dictionary(sample(records))
     raw = dictionary.as_bytes()
     out.write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
     compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True).compress
-    n = 0
-    for source in (held, records):
-        for r in source:
-            out.write(compress(r))
-            n += 1
-    return n
+    for r in records:
+        out.write(compress(r))
+    return len(records)
 
 
 def read_archive(source) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -128,7 +137,8 @@ def _writer(folder: str, archive_bytes: int):
                 yield made
 
         while row is not None:
-            name = f"part-{task.partitionId():06d}-{number:04d}.warc.zst"
+            # Each attempt has names of its own: only archives in a committed list are read.
+            name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.warc.zst"
             with committed(folder, name, task.taskAttemptId()) as out:
                 n = write_archive(out, records())
             yield pd.DataFrame({"archive": [name], "records": [n]})
@@ -151,11 +161,15 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Archives below ``folder``, a new folder that all executors share: (archive, records), when the result is read.
+    """Write archives below ``folder``, which all executors share, and then the list of them: (archive, records).
 
-    ``pages``: page_id, url, html; other columns are ignored. A null html is an empty payload.
+    ``pages``: page_id, url, html; other columns are ignored. A null html is an empty payload. The list is
+    written by the tasks that count, so what a lost or doubled attempt left beside it is not in it;
+    writing again into the same folder replaces the list.
     """
-    return mark_revisits(pages, min_bytes).mapInPandas(_writer(folder, archive_bytes), "archive string, records long")
+    made = mark_revisits(pages, min_bytes).mapInPandas(_writer(folder, archive_bytes), LIST_COLUMNS)
+    made.write.mode("overwrite").parquet(f"{folder}/{LIST}")
+    return pages.sparkSession.read.schema(LIST_COLUMNS).parquet(f"{folder}/{LIST}")
 
 
 def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,16 +202,14 @@ def _frame(rows, names):
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record of the archives in ``folder``. Payloads are checked against their digests."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path"))
+    """One row per record of the archives in the folder's list. Payloads are checked against their digests."""
+    listed = spark.read.schema(LIST_COLUMNS).parquet(f"{folder}/{LIST}")
+    files = listed.select(F.concat(F.lit(f"{folder}/"), "archive").alias("path")).repartition("path")
     return files.mapInPandas(_reader, COLUMNS)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write all pages into archives in the shared folder and read them back; an empty table gives no rows."""
-    spark = pages.sparkSession
-    folder, done = run_path(spark, "warc"), run_path(spark, "warc-list")
-    write_warc(pages, folder, min_bytes).write.parquet(done)
-    if spark.read.schema("archive string, records long").parquet(done).isEmpty():
-        return spark.createDataFrame([], COLUMNS)
-    return read_warc(spark, folder)
+    folder = run_path(pages.sparkSession, "warc")
+    write_warc(pages, folder, min_bytes)
+    return read_warc(pages.sparkSession, folder)

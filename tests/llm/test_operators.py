@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -232,6 +233,45 @@ def test_languages_on_held_out_rows(spark):
     assert max(model.langs.count(x) for x in set(model.langs)) > 1
 
 
+def test_language_scores_are_cosines_of_tf_idf(docs_of):
+    """Frequencies, weights and cosines again, one text at a time."""
+    rng = random.Random(12)
+    sets = {"xx": "abcd", "yy": "efgh"}
+    train = [(i, _words(rng, 12, sets[lang]), lang) for i, lang in enumerate(["xx", "yy"] * 20)]
+    model = langid.fit_languages(docs_of(train))
+    df = np.zeros(langid.DIMS)
+    for _, text, _ in train:
+        df += langid.ngram_counts(text) > 0
+    idf = np.log((1 + len(train)) / (1 + df)) + 1
+    assert np.allclose(model.idf, idf)
+    for _, text, lang in train[:6]:
+        v = np.log1p(langid.ngram_counts(text)) * idf
+        v /= np.sqrt((v * v).sum())
+        near = max((sum(a * b for a, b in zip(c, v)), name) for c, name in zip(model.centroids, model.langs))
+        said, score, rejected = model.predict(text)
+        assert said == near[1] == lang and abs(score - near[0]) < 1e-9 and not rejected
+
+
+def test_texts_far_from_every_language_are_rejected(spark, docs_of):
+    rng = random.Random(13)
+    model = langid.fit_languages(docs_of([(i, _words(rng, 30, "abcd" if i % 2 else "efgh"), "xx" if i % 2 else "yy") for i in range(60)]))
+    odd = docs_of([(1, _words(rng, 30, "abcd")), (2, "жщюя " * 30), (3, "12 34"), (4, None)])
+    found = {r.doc_id: r.p for r in langid.predict_languages(odd, model, "p").collect()}
+    assert not found[1].rejected and found[1].lang_pred == "xx"
+    assert found[2].rejected and found[2].score < langid.REJECT_AT and found[2].lang_pred in ("xx", "yy")
+    assert found[3].rejected and found[3].lang_pred == found[4].lang_pred == langid.UNKNOWN
+
+
+def test_models_do_not_depend_on_the_order_of_repeated_ids(spark, docs_of):
+    rng = random.Random(14)
+    rows = [(i % 40, _words(rng, 20, "abcd" if i % 2 else "efgh"), "xx" if i % 2 else "yy") for i in range(160)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    langs = [langid.fit_languages(docs_of(r).repartition(n)) for r, n in ((rows, 3), (rows[::-1], 2))]
+    assert np.array_equal(langs[0].centroids, langs[1].centroids)
+    machines = [quality.fit_quality(docs_of(r).repartition(n), labels) for r, n in ((rows, 3), (rows[::-1], 2))]
+    assert np.array_equal(machines[0].weights, machines[1].weights)
+
+
 def test_languages_of_odd_rows(docs_of, odd):
     train = docs_of([(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, "the", None), (4, None, "de")])
     found = langid.predict_languages(odd, langid.fit_languages(train)).select("doc_id", "prediction.*").collect()
@@ -276,6 +316,19 @@ def test_archives_are_cut_and_begin_with_their_dictionary(spark):
     raw = spark.read.format("binaryFile").load(folder).select("content").collect()
     assert all(bytes(r.content[:4]) == (0x184D2A5D).to_bytes(4, "little") for r in raw)
     assert warc.read_warc(spark, folder).count() == 200
+    # As a second attempt would: other archives in the same folder. Those of the first are left over and not read.
+    again = warc.write_warc(pages.repartition(2), folder, archive_bytes=9_000).collect()
+    assert not {r.archive for r in listed} & {r.archive for r in again}
+    assert spark.read.format("binaryFile").load(folder).count() == len(listed) + len(again)
+    assert sorted(r.page_id for r in warc.read_warc(spark, folder).collect()) == list(range(200))
+
+
+def test_the_dictionary_is_built_from_all_over_an_archive():
+    rng = random.Random(3)
+    records = [b"head " * 60_000] * 30 + [rng.randbytes(3000) for _ in range(600)]
+    pieces = warc.sample(records)
+    assert len({p for p in pieces if len(p) == 3000}) > 50 and max(map(len, pieces)) <= warc.PIECE_BYTES
+    assert sum(map(len, pieces)) < warc.SAMPLE_BYTES + warc.PIECE_BYTES and warc.sample([]) == []
 
 
 # --- tokens ---------------------------------------------------------------------------
@@ -316,6 +369,16 @@ def test_best_fit_decreasing_takes_the_fullest_row_that_fits():
     assert n == len(room) and sorted(64 - u for u in used) == sorted(room) and slow == [0] * len(lengths)
 
 
+def test_pools_are_packed_once_however_the_result_is_used(spark, docs_of):
+    folder = run_path(spark, "pack-lazy")
+    docs = docs_of([(i, "some words to pack " * 20) for i in range(200)])
+    found = packing.pack_documents(docs, folder, RANKS, PATTERN, 50256, pool_ids=500)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(folder).select("path", "modificationTime")
+    before = sorted(map(tuple, files.collect()))
+    assert len(found.limit(1).collect()) == 1 and found.select("doc_id").distinct().count() == 200
+    assert sorted(map(tuple, files.collect())) == before and len(before) == found.select("pool").distinct().count() > 20
+
+
 def test_packed_files_hold_every_document(spark, odd):
     folder = run_path(spark, "pack-test")
     found = packing.pack_documents(odd, folder, RANKS, PATTERN, 50256, length=128, pool_ids=5000).collect()
@@ -358,6 +421,24 @@ def test_other_slot_values_are_caught_and_torn_ones_are_not(docs_of):
     assert decontam.decontaminate(docs, items.limit(0)).count() == 6
 
 
+def test_number_words_and_units_of_four_languages_are_slots(docs_of):
+    asks = [("Alice has {} apples and buys three more , so after 12 {} how long does she wait until the shop opens", "five", "nine", "days", "weeks"),
+            ("wenn ein zug in {} stunden genau 300 {} weit fährt wie weit kommt er dann am ganzen tag ohne halt", "vier", "sieben", "kilometer", "meilen"),
+            ("si une recette demande {} œufs et 200 {} de farine combien faut il acheter pour la faire encore une fois", "deux", "neuf", "grammes", "livres"),
+            ("si un tanque pierde {} litros cada 5 {} cuánto queda después de llenar otra vez todo el tanque grande", "ocho", "doce", "minutos", "horas")]
+    items = docs_of([(k, a.format(n, u)) for k, (a, n, _, u, _) in enumerate(asks)]).withColumnRenamed("doc_id", "item_id")
+    docs = docs_of([(k, "x y " + a.format(n, u)) for k, (a, _, n, _, u) in enumerate(asks)])
+    found = {(r.doc_id, r.item_id): r for r in decontam.leaks(docs, items).collect()}
+    assert set(found) == {(k, k) for k in range(4)} and not any(r.same_values for r in found.values())
+
+
+def test_very_long_texts_and_clashing_columns_leak_like_others(docs_of):
+    item = "the quick brown fox jumps over the lazy dog while nine other animals watch from the old barn in silence"
+    items = docs_of([(1, item)]).withColumnRenamed("doc_id", "item_id").withColumn("hash", F.lit("x")).withColumn("at", F.lit(1))
+    docs = docs_of([(1, "word " * 300_000 + item + " tail" * 1000), (2, "word " * 1000)]).withColumn("reading", F.lit("y")).withColumn("id", F.lit(0))
+    assert [(r.doc_id, r.coverage) for r in decontam.leaks(docs, items).collect()] == [(1, 1.0)]
+
+
 def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
@@ -403,7 +484,7 @@ def test_pages_of_a_host_agree_on_a_path(spark):
     found = {r.page_id: r.main_text for r in extract.extract_text(pages).collect()}
     for i in range(5):
         assert found[i] == f"T&C\nHello world <x> é\nMore text{i} here and on.\none\ntwo"
-    assert found[90] == "Short" and found[91] == found[92] == "" and found[93] == "plain & simple"
+    assert found[90] == "Short\n" + ("long " * 80).strip() and found[91] == found[92] == "" and found[93] == "plain & simple"
     assert extract.extract_text(pages.limit(0)).count() == 0
 
 
@@ -428,6 +509,75 @@ def test_text_beside_the_best_block_is_kept():
             assert all(p in found for p in parts) and "Another" not in found
 
 
+def test_an_article_outside_a_thin_winner_is_kept(spark):
+    usual = "<html><body><div class=story><p>" + "Story text of the page. " * 40 + "</div><div class=more><a href=x>More</a></div>"
+    odd = "<html><body><div class=story><p>Line.</div><section class=longread><p>" + "Long read. " * 300 + "</section>"
+    rows = [(i, f"http://h/{i}", usual) for i in range(9)] + [(9, "http://h/9", odd)]
+    found = extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = {r.page_id: r.main_text for r in found}
+    short = "<html><body><div class=ad>" + "Buy one. " * 40 + "</div><div class=story><p>Short.</div><div class=comments><p>" + "Reply. " * 90
+    assert extract.main_text(short, ["html>body>div.story"]) == "Short."
+    assert texts[9].startswith("Line.\nLong read.") and texts[9].count("Long read.") == 300
+    assert texts[0].count("Story text") == 40 and "More" not in texts[0]
+
+
+def test_formulas_objects_and_named_sections_of_an_article_are_kept():
+    words = "Plain words of the article go on and on. " * 6
+    page = ("<body><article><h1>Head</h1><p>Area is <math><mi>x</mi><mo>=</mo><mn>3</mn><annotation>tex</annotation></math> here.</p>"
+            "<p>See <object>the drawing</object> too.</p><section class='search-results'><p>%s</p></section><div id=comment-on-law><p>On the law."
+            "</p></div><aside class=pullquote><p>A quote.</p></aside><aside class=box><p>Aside.</p></aside><div class=post-comments><p>Reply."
+            "</p></div><div class='social-share buttons'><p>Tell all.</p></div></article><aside class=pullquote>Out.</aside>" % words)
+    text = extract.main_text(page, None)
+    for part in ("Area is x=3 here.", "See the drawing too.", "Plain words", "On the law.", "A quote."):
+        assert part in text
+    for part in ("tex\n", "annotation", "Aside.", "Reply.", "Tell all.", "Out."):
+        assert part not in text
+
+
+def test_paths_with_equal_votes_are_taken_in_order(spark):
+    pages = [("a", "<body><div class=b><p>" + "x " * 50), ("a", "<body><div class=a><p>" + "y " * 50)]
+    rows = [(i, f"http://h/{i}", html) for i, (_, html) in enumerate(pages * 3)]
+    paths = extract.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert [r.winners for r in paths] == [["body>div.a", "body>div.b"]]
+
+
+class _Plain(HTMLParser):
+    """Blocks by a general parser: whole tags, no noise but elements by name."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.text = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in ("script", "style", "nav", "footer", "form", "title")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag in ("script", "style", "nav", "footer", "form", "title")
+
+    def handle_data(self, data):
+        if not self.depth:
+            self.text.append(data)
+
+
+def test_extracted_blocks_are_blocks_of_the_page(spark):
+    """Every block is text of the page in page order, and the container's blocks that are not skipped are all there."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    for r in extract.extract_text(pages).select("html", "main_text").collect():
+        plain = _Plain()
+        plain.feed(r.html or "")
+        whole, at = "".join("".join(plain.text).split()), 0
+        for block in r.main_text.split("\n"):
+            at = whole.find("".join(block.split()), at)
+            assert at >= 0, block
+        page = extract.parse(r.html)
+        own = extract.container(page)
+        inside = []
+        for n, parent in enumerate(page.parents):
+            inside.append(n == own or (parent >= 0 and inside[parent]))
+        for n, block, linked in page.blocks:
+            assert not inside[n] or page.skipped[n] or linked * 2 > len(block) or block in r.main_text.split("\n")
+
+
 def test_hostile_markup_is_read_in_time():
     for html in ("<" * 200_000, "<div>" * 50_000 + "x", "<!--" * 50_000, "<a b='" * 20_000, "<script>" * 20_000, "&" * 200_000):
         extract.main_text(html, None)
