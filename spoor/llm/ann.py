@@ -15,7 +15,7 @@ from spoor.llm.common import stage
 
 TABLES = 2
 WIDTH = 2.0             # of a bucket along one projection of unit vectors
-SUCCESS = 0.97          # chance, over all tables, with which a neighbour at the fitted distance is met
+SUCCESS = 0.94          # chance, over all tables, with which a neighbour at the fitted distance is met
 FIT_QUERIES = 64        # queries whose true neighbours give that distance, at most
 FIT_QUANTILE = 0.9
 CELL_ROWS = 4096        # rows of one cell: larger buckets are dealt over several cells
@@ -225,14 +225,18 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     held = indexed.join(cells, ["tab", "bucket"]).withColumn(
         "cell", F.when(F.col("deals") == 1, home).otherwise(F.xxhash64("bucket", F.pmod(F.xxhash64("vec_id"), "deals"))))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        "tab", "cell", "block", "bucket", "vec_id", "embedding")
-    asked = (queries.select("query_id", "q").mapInPandas(probe, "query_id long, tab int, bucket long")
+    # Spread out first: a few queries are one file, and each has many buckets to list.
+    spread = queries.select("query_id", "q").repartition(max(1, min(blocks * 16, 512)), "query_id")
+    asked = (spread.mapInPandas(probe, "query_id long, tab int, bucket long")
              .join(cells, ["tab", "bucket"])
              .withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
              .withColumn("cell", F.when(F.col("deals") == 1, home).otherwise(F.xxhash64("bucket", F.col("deal").cast("long"))))
              .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")))
     asked = asked.groupBy("tab", "cell", "block", "query_id").agg(F.collect_set("bucket").alias("buckets"))
+    asked = stage(asked, "ann-asked")
+    # Rows go out only to the blocks of queries that visit their cell.
+    visits = stage(asked.select("tab", "cell", "block").distinct(), "ann-visits")
+    held = held.join(visits, ["tab", "cell"]).select("tab", "cell", "block", "bucket", "vec_id", "embedding")
     asked = asked.join(queries, "query_id")
 
     def search(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
