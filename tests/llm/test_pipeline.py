@@ -21,3 +21,19 @@ def test_stages_and_result(spark):
     found = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     assert 0 < found.count() < docs.count()
+
+
+def test_every_stage_takes_odd_rows_and_none(spark, odd, docs_of):
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, odd, SF)
+        kept = out.collect()
+        if step is not corpus_pipeline.encode:
+            assert out.columns == odd.columns, name
+            assert len(kept) <= odd.count(), name
+        else:
+            assert len(kept) == odd.count()
+        assert step(spark, docs_of([]), SF).count() == 0, name
+    found = [r.doc_id for r in corpus_pipeline.identify_language(spark, odd, SF).collect()]
+    assert not {1, 2, 3} & set(found)                  # null, empty and blank texts have no language
+    stays = corpus_pipeline.drop_near_duplicates(spark, docs_of([(1, "a b c d"), (1, "a b c d"), (2, "a b c d")]), SF).collect()
+    assert [r.doc_id for r in stays] == [1]
