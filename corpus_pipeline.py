@@ -1,4 +1,9 @@
-"""From raw documents to token ids: language, quality, near duplicates, benchmark leaks, encoding."""
+"""From raw documents to token ids: language, quality, near duplicates, benchmark leaks, encoding.
+
+Null and empty texts have no language and go in the first stage; rows that repeat a doc_id go through as they are until
+near duplicates, where one row of a group stays; rows without a doc_id cannot be leaks and stay. Columns beyond those
+of documents are kept but for the last stage, and may have any name. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
