@@ -608,13 +608,15 @@ def oracle_sql() -> dict[str, str]:
     o["chk_timezone_is_utc"] = _with(W3C, f"{utc} FROM v LIMIT 1")
     o["chk_non_chronological"] = _with(f"{LINES}, {_clf('lines')}, {_BACK}",
                                        "SELECT count(*) FILTER (fall > INTERVAL 1 HOUR) AS backward FROM steps")
-    o["chk_query_string_empty"] = _with(W3C, """SELECT 'query_string_empty' AS "check", 'medium' AS severity, '' AS examples
-      FROM v LIMIT 1""")
-    # The generated lines of both types also step back in time.
+    o["chk_query_string_empty"] = _with(LOG, """SELECT 'query_string_empty' AS "check", 'medium' AS severity, '' AS examples FROM (
+      SELECT count(*) AS n, count(*) FILTER (contains(split_part(url, '?', 1), '?')) AS filled FROM w) WHERE n > 0 AND filled = 0""")
+    late = "SELECT 'non_chronological', 'medium', '' WHERE (SELECT count(*) FROM {} WHERE fall > INTERVAL 1 HOUR) > 0"
+    iis_steps = """istep AS (SELECT lag(m) OVER (PARTITION BY src_file ORDER BY block_start, seq) - m AS fall FROM (
+      SELECT *, try_strptime(f[1] || ' ' || f[2], '%Y-%m-%d %H:%M:%S') AS m FROM v) WHERE m IS NOT NULL)"""
     apache = " UNION ALL ".join(_CHECKS.values())
-    o["discrepancies"] = _with(f"{_BROKEN}, " + W3C[len(LOG) + 1:] + f", {pr}", f"""
-      SELECT *, 'apache' AS server FROM ({apache} UNION ALL SELECT 'non_chronological', 'medium', '')
-      UNION ALL SELECT *, 'iis' FROM ({utc} UNION ALL SELECT 'non_chronological', 'medium', '' UNION ALL {private})""")
+    o["discrepancies"] = _with(f"{_BROKEN}, {_BACK}, " + W3C[len(LOG) + 1:] + f", {pr}, {iis_steps}", f"""
+      SELECT *, 'apache' AS server FROM ({apache} UNION ALL {late.format('steps')})
+      UNION ALL SELECT *, 'iis' FROM ({utc} FROM (SELECT count(*) AS n FROM v) WHERE n > 0 UNION ALL {late.format('istep')} UNION ALL {private})""")
 
     o["write_findings"] = _with(ALL, f"""SELECT CAST(1 AS BIGINT) AS case_id, rule, count(*) AS n,
       CAST(sum(count) AS BIGINT) AS hits FROM found GROUP BY rule UNION ALL
