@@ -163,7 +163,7 @@ def window_hashes(canonical: np.ndarray, kind: np.ndarray, text: np.ndarray, wid
             yield width, (hashes ^ hashes >> np.uint64(32)).view(np.int64), telling
 
 
-WINDOW_COLUMNS = ("id long, reading int, width int, at int, hash long, slots array<struct<place: int, kind: int, value: long>>, "
+WINDOW_COLUMNS = ("id long, copy long, reading int, width int, at int, hash long, slots array<struct<place: int, kind: int, value: long>>, "
                   "total int")
 
 
@@ -182,7 +182,7 @@ class Wanted:
         return maybe[self.hashes[at] == hashes[maybe]]
 
 
-def _rows(idents: list[int], texts: list[str], widths, wanted: Wanted | None, speller: Speller) -> list[tuple]:
+def _rows(idents: list[tuple[int, int]], texts: list[str], widths, wanted: Wanted | None, speller: Speller) -> list[tuple]:
     """Windows of texts: all, or those whose hash is ``wanted``. Without ``widths``, of one text."""
     tokens = [TOKEN.findall(t) for t in texts]
     spelled, out = speller.spelled(tokens), []
@@ -198,21 +198,23 @@ def _rows(idents: list[int], texts: list[str], widths, wanted: Wanted | None, sp
                 place = at - int(start[own])
                 slots = [(place + k, int(kind[at + k]), int(value[at + k].view(np.int64)))
                          for k in range(width) if kind[at + k] != WORD]
-                out.append((idents[own], reading, width, place, int(hashes[at]), slots, int(total[own])))
+                out.append((*idents[own], reading, width, place, int(hashes[at]), slots, int(total[own])))
     return out
 
 
 def windows(rows: DataFrame, id_column: str, widths: list[int] | None = None, wanted=None) -> DataFrame:
-    """Template windows of ``rows`` (id, text). ``wanted``: broadcast sorted hashes to keep."""
-    names = ["id", "reading", "width", "at", "hash", "slots", "total"]
+    """Template windows of ``rows`` (id, text). ``wanted``: broadcast sorted hashes to keep.
+
+    ``copy`` is a hash of the text: rows that share an id and differ in text stay apart."""
+    names = ["id", "copy", "reading", "width", "at", "hash", "slots", "total"]
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         speller, kept = Speller(), None if wanted is None else Wanted(wanted.value)
         for batch in batches:
             found, idents, texts, size = [], [], [], 0
-            for ident, text in zip(batch["id"], batch["text"]):
+            for ident, copy, text in zip(batch["id"], batch["copy"], batch["text"]):
                 if not pd.isna(ident) and text:
-                    idents.append(int(ident))
+                    idents.append((int(ident), int(copy)))
                     texts.append(text)
                     size += len(text)
                 if texts and (size > CHUNK or widths is None):
@@ -225,7 +227,8 @@ def windows(rows: DataFrame, id_column: str, widths: list[int] | None = None, wa
                 found += _rows(idents, texts, widths, kept, speller)
             yield pd.DataFrame(found, columns=names)
 
-    narrow = rows.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    narrow = rows.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("copy"), text.alias("text"))
     return narrow.mapInPandas(of, WINDOW_COLUMNS)
 
 
@@ -249,6 +252,28 @@ def _hits(docs: DataFrame, items: DataFrame, id_column: str) -> DataFrame:
     return found if found is not None else windows(docs.limit(0), id_column)
 
 
+def candidates(item: DataFrame, hit: DataFrame) -> DataFrame:
+    """Pairs of a document and an item that share one of the item's least frequent windows.
+
+    A leak holds a share of the item's T windows or a run of them. Of any T - ceil(share x T) + 1 windows it
+    holds one, so the item is looked up by that many, those that the fewest documents have; and of every run
+    that the item has room for, it is looked up by the rarest window (of equal ones that with the least hash).
+    A window that many items and many documents share thus makes no pairs unless most of the item, or a whole
+    run, consists of such windows, and then the pairs are leaks or fail by their slots only. No leak is lost.
+    """
+    key, own = ["hash", "width", "reading"], ["item_id", "item_copy", "reading"]
+    often = hit.groupBy(*key).agg(F.count("*").alias("n"))
+    told = item.drop("item_slots").join(often, key, "left").fillna(0, ["n"])
+    each, run = W.partitionBy(*own), W.partitionBy(*own).orderBy("item_at").rangeBetween(0, MIN_RUN - 1)
+    ranked = told.withColumns({
+        "rank": F.row_number().over(each.orderBy("n", "hash", "item_at")),
+        "least": F.when(F.count("*").over(run) == MIN_RUN, F.min(F.struct("n", "hash", "width")).over(run))})
+    needed = F.ceil(F.lit(MIN_COVERAGE) * F.col("windows"))
+    scattered = ranked.filter(F.col("rank") <= F.col("windows") - needed + 1).select(*own, "n", "hash", "width")
+    probes = scattered.unionByName(ranked.filter("least is not null").select(*own, "least.*")).filter("n > 0").drop("n").distinct()
+    return hit.join(probes, key).select("doc_id", "doc_copy", *own).distinct()
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", item_column: str = "item_id") -> DataFrame:
     """Pairs of a document and a benchmark item it contains, word for word or with other slot values.
 
@@ -258,18 +283,22 @@ def leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", item_col
     Windows are joined by hash. Along one alignment (document place minus item place) each slot value of
     the item has to stand for one value of the document, and the other way round. The value seen most
     often (of equal ones the smaller) is the one; windows with any other do not count. Null ids, null and empty texts take no part; repeated rows count once. A
-    passage that a third of all documents hold makes one hit per window and document. Each reading is judged on its own;
-    the figures are those of the reading with the greatest coverage, then the longest run, then the first.
+    passage that a third of all documents hold makes one hit per window and document. Each reading is judged on its own,
+    and so is each text of an id that has several; the figures are those with the greatest coverage, then the longest run,
+    then the first reading. Slots are compared for the pairs of ``candidates`` only.
     """
-    own = stage(windows(items, item_column).dropDuplicates(["id", "reading", "width", "at"]), "leak-items")
-    item = own.select(F.col("id").alias("item_id"), "reading", F.col("at").alias("item_at"), "hash", "width",
+    place = ["id", "copy", "reading", "width", "at"]
+    own = stage(windows(items, item_column).dropDuplicates(place), "leak-items")
+    item = own.select(F.col("id").alias("item_id"), F.col("copy").alias("item_copy"), "reading", F.col("at").alias("item_at"), "hash", "width",
                       F.col("slots").alias("item_slots"), F.col("total").alias("windows"))
-    hits = stage(_hits(docs, own, id_column).dropDuplicates(["id", "reading", "width", "at"]), "leak-hits")
-    hit = hits.select(F.col("id").alias("doc_id"), "reading", F.col("at").alias("doc_at"), "hash", "width",
+    hits = stage(_hits(docs, own, id_column).dropDuplicates(place), "leak-hits")
+    hit = hits.select(F.col("id").alias("doc_id"), F.col("copy").alias("doc_copy"), "reading", F.col("at").alias("doc_at"), "hash", "width",
                       F.col("slots").alias("doc_slots"))
-    pair = ["doc_id", "item_id", "reading"]
+    pair = ["doc_id", "doc_copy", "item_id", "item_copy", "reading"]
     line = [*pair, "shift"]
-    met = stage(hit.join(item, ["hash", "width", "reading"]).withColumn("shift", F.col("doc_at") - F.col("item_at")), "leak-met")
+    asked = stage(candidates(item, hit), "leak-pairs").join(item, ["item_id", "item_copy", "reading"])
+    met = stage(hit.join(asked, ["doc_id", "doc_copy", "reading", "hash", "width"])
+                .withColumn("shift", F.col("doc_at") - F.col("item_at")), "leak-met")
     slots = met.select(*line, "item_at", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("z")).select(
         *line, "item_at", F.col("z.item_slots.kind").alias("kind"), F.col("z.item_slots.value").alias("asked"),
         F.col("z.doc_slots.value").alias("given"))

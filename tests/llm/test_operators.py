@@ -447,6 +447,51 @@ def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
     assert sorted(map(tuple, decontam.leaks(docs, items).collect())) == whole
 
 
+def _plain_pairs(item, hit):
+    """All pairs that share any window."""
+    return hit.join(item, ["hash", "width", "reading"]).select("doc_id", "doc_copy", "item_id", "item_copy", "reading").distinct()
+
+
+def test_a_window_of_many_items_and_documents_makes_few_pairs(spark, docs_of, monkeypatch):
+    rng = random.Random(7)
+    opening = "read the following passage with care and then answer the question that stands below it"
+    ends = [_words(rng, rng.randint(20, 60)) for _ in range(40)]
+    items = docs_of([(k, f"{opening} {e}") for k, e in enumerate(ends)]).withColumnRenamed("doc_id", "item_id")
+    cut = lambda t, share: " ".join(t.split()[:int(len(t.split()) * share)])
+    rows = [(k, f"{_words(rng, 4)} {opening} {_words(rng, 30)}") for k in range(100)]
+    rows += [(100 + k, f"{_words(rng, 4)} {cut(e, rng.choice((0.3, 0.5, 0.7, 1.0)))} {_words(rng, 4)}") for k, e in enumerate(ends * 2)]
+    rows += [(200 + k, f"{opening} {cut(e, 0.5)}") for k, e in enumerate(ends)]
+    docs = docs_of(rows)
+    made, real = [], decontam.candidates
+
+    def counted(item, hit):
+        found = real(item, hit)
+        made.append((found.count(), _plain_pairs(item, hit).count()))
+        return found
+    monkeypatch.setattr(decontam, "candidates", counted)
+    few = sorted(map(tuple, decontam.leaks(docs, items).collect()))
+    monkeypatch.setattr(decontam, "candidates", _plain_pairs)
+    assert few == sorted(map(tuple, decontam.leaks(docs, items).collect())) and few
+    assert made[0][0] * 2 < made[0][1]
+
+
+def test_candidates_lose_no_leak_of_the_tables(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    few = sorted(map(tuple, decontam.leaks(docs, items).collect()))
+    monkeypatch.setattr(decontam, "candidates", _plain_pairs)
+    assert few == sorted(map(tuple, decontam.leaks(docs, items).collect()))
+
+
+def test_texts_that_share_an_id_leak_one_by_one(docs_of):
+    item = "seven old ships with red sails left the quiet harbour before the storm came over the northern hills"
+    words = item.split()
+    items = docs_of([(1, item), (1, "another text of the same number that no document holds in any part at all")])
+    rows = [(1, item), (1, "nothing of it here"), (2, " ".join(words[:9])), (2, " ".join(words[9:])), (1, item)]
+    found = decontam.leaks(docs_of(rows), items.withColumnRenamed("doc_id", "item_id")).collect()
+    assert [(r.doc_id, r.item_id, r.coverage, r.windows) for r in found] == [(1, 1, 1.0, len(words) - 7)]
+
+
 def test_changed_names_that_begin_sentences_are_caught(docs_of):
     ask = "{a} has 5 apples. {b} has 3 apples. How many apples do {a} and {b} have?"
     short = "{a} sold 12 red kites today."
