@@ -17,7 +17,7 @@ from spoor.rules import DEFAULT_RULES, RuleSet
 from spoor.session import match
 from spoor.sources.parse import parse_lines
 from spoor.sources.store import write_events
-from spoor.sources.text import scan_log_text
+from spoor.sources.text import file_formats, scan_log_text
 
 FILE = ["src_file", "length", "modified"]
 COMMIT_SCHEMA = T.StructType([
@@ -26,9 +26,11 @@ COMMIT_SCHEMA = T.StructType([
 
 
 def list_files(spark: SparkSession, source) -> DataFrame:
-    """``src_file, length, modified`` of the files below ``source``; none of them is opened."""
+    """``src_file, length, modified, path`` of the files below ``source``; none of them is opened.
+
+    ``src_file`` is the name as events carry it, with the escapes of a URI; ``path`` is the one to read from."""
     return spark.read.format("binaryFile").load(source).select(
-        F.col("path").alias("src_file"), "length", F.col("modificationTime").alias("modified"))
+        F.col("_metadata.file_path").alias("src_file"), "length", F.col("modificationTime").alias("modified"), "path")
 
 
 def commits(spark: SparkSession, path: str) -> DataFrame:
@@ -66,12 +68,14 @@ def ingest_new(spark: SparkSession, source, path: str, case_id: int, fmt: str =
     Called again with the same files it does nothing. Their names pass through the driver, as those of any
     table that Spark reads do; their text does not.
     """
-    found = [tuple(r) for r in new_files(spark, source, path, case_id).collect()]
+    found = [tuple(r) for r in new_files(spark, source, path, case_id).select(*FILE, "path").collect()]
     if not found:
         return {"ok": 0, "failed": 0, "unparsed": 0, "files": 0}
-    files = spark.createDataFrame(found, T.StructType(COMMIT_SCHEMA.fields[:3]))
-    lines = scan_log_text(spark, [f[0] for f in found])
-    counts = write_batch(parse_lines(lines, fmt, keep_unparsed=True), files, path, case_id, uuid.uuid4().hex, rules)
+    files = spark.createDataFrame([f[:3] for f in found], T.StructType(COMMIT_SCHEMA.fields[:3]))
+    names = [f[3] for f in found]
+    formats = file_formats(spark, names) if fmt == "auto" else None
+    events = parse_lines(scan_log_text(spark, names), fmt, keep_unparsed=True, formats=formats)
+    counts = write_batch(events, files, path, case_id, uuid.uuid4().hex, rules)
     return {**counts, "files": len(found)}
 
 

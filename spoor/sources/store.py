@@ -11,7 +11,7 @@ from spoor.functions.ip import cidr_bounds, ip_key
 from spoor.functions.text import tag_url
 from spoor.rules import DEFAULT_RULES, RuleSet
 from spoor.sources.parse import parse_lines, validate_event
-from spoor.sources.text import scan_log_text
+from spoor.sources.text import file_formats, scan_log_text
 
 CLUSTER = ("verdict", "day", "ip_key", "ts")
 FILTER_SIZE = 20_000         # addresses a row group's membership filter is made for
@@ -49,7 +49,9 @@ def write_events(events: DataFrame, path: str, case_id: int,
 def ingest(spark: SparkSession, source, path: str, case_id: int, fmt: str = "auto",
            rules: RuleSet = DEFAULT_RULES) -> dict[str, int]:
     """Read log files, parse them and append them to a case; the counts are those of ``write_events``."""
-    return write_events(parse_lines(scan_log_text(spark, source), fmt, keep_unparsed=True), path, case_id, rules)
+    formats = file_formats(spark, source) if fmt == "auto" else None
+    events = parse_lines(scan_log_text(spark, source), fmt, keep_unparsed=True, formats=formats)
+    return write_events(events, path, case_id, rules)
 
 
 def read_case(spark: SparkSession, path: str, case_id: int) -> DataFrame:

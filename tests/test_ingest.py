@@ -1,4 +1,7 @@
+import bz2
 import datetime as dt
+import gzip
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -91,6 +94,54 @@ def test_auto_format_per_file(lines_of):
     assert per_file == {"w3c.log": 3, "c.log": 2}
 
 
+def _mixed_logs(folder):
+    folder.mkdir()
+    w3c_text, plain = "\n".join(W3C[1:]).encode(), f"{GOOD}\n#x\n{GOOD}\n".encode()
+    files = {"plain.log": plain, "w3c.log": w3c_text, "bom é 100%.log": text.BOM + w3c_text, "late #1.log": b"\n" + w3c_text,
+             "two files.log.gz": gzip.compress(w3c_text) + gzip.compress(b"\n" + w3c_text), "plain.log.gz": gzip.compress(plain),
+             "w3c.log.bz2": bz2.compress(w3c_text), "hash.gz.log": b"#", "_hidden.log": w3c_text, "two.log": text.BOM * 2 + w3c_text}
+    for name, body in files.items():
+        (folder / name).write_bytes(body)
+    return str(folder)
+
+
+def test_a_changed_file_with_an_escaped_name_counts_once(spark, tmp_path):
+    log, path = tmp_path / "a é 1%.log", run_path(spark, "escaped")
+    for lines in (1, 3):
+        log.write_text(f"{GOOD}\n" * lines)
+        assert batches.ingest_new(spark, str(tmp_path), path, 1, "combined")["ok"] == lines
+        assert batches.ingest_new(spark, str(tmp_path), path, 1, "combined")["files"] == 0
+    assert batches.read_committed(spark, path, 1).count() == 3
+
+
+def test_formats_from_first_bytes_equal_those_of_all_lines(spark, tmp_path):
+    logs = _mixed_logs(tmp_path / "logs")
+    heads = sorted(map(tuple, text.file_formats(spark, logs).collect()))
+    assert heads == sorted(map(tuple, text.detect_format(text.scan_log_text(spark, logs)).collect())) and len(heads) == 9
+    (tmp_path / "logs" / "empty.log").touch()
+    assert text.file_formats(spark, logs).count() == 9           # a file without lines has no format, here as there
+    one = text.file_formats(spark, [f"{logs}/w3c.log", f"{logs}/plain.log"])
+    assert sorted(r.fmt for r in one.collect()) == ["combined", "iis"]
+    assert "binaryFile" in (plan := one._jdf.queryExecution().toString()) and "content" not in plan.split("Physical Plan")[1]
+
+
+def test_ingest_reads_lines_for_the_format_only_if_it_must(spark, tmp_path, monkeypatch):
+    logs, scans = _mixed_logs(tmp_path / "logs"), []
+
+    def counted(lines):
+        scans.append(1)
+        return text.detect_format(lines)
+    monkeypatch.setattr(parse, "detect_format", counted)
+    counts = store.ingest(spark, logs, run_path(spark, "auto"), 1)
+    assert not scans and counts["ok"] > 4
+    assert batches.ingest_new(spark, logs, run_path(spark, "auto-new"), 1) == {**counts, "files": 9} and not scans
+    (tmp_path / "logs" / "old.log.deflate").write_bytes(zlib.compress("\n".join(W3C[1:]).encode()))
+    more = store.ingest(spark, logs, run_path(spark, "auto-deflate"), 1)
+    assert scans == [1] and more["ok"] == counts["ok"] + 3
+    whole = parse.parse_lines(text.scan_log_text(spark, logs), keep_unparsed=True)
+    assert parse.validate_event(whole).filter("verdict = 'ok'").count() == more["ok"]
+
+
 def test_files_keep_line_order(spark, tmp_path):
     path = tmp_path / "big.log"
     path.write_bytes(b"".join(b"line %06d \xff\n" % i for i in range(20000)))
