@@ -50,6 +50,60 @@ def test_a_group_larger_than_a_shard_is_split(docs_of):
     assert max(sizes.values()) - min(sizes.values()) <= 120
 
 
+def _homes(spark, keys, n):
+    rows = spark.createDataFrame([(k,) for k in keys], "key long")
+    return {r.key: r.home for r in rows.select("key", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(n)).alias("home")).collect()}
+
+
+def test_wishes_match_counting_by_hand(spark):
+    rng, n = random.Random(3), 4
+    label = {v: rng.randrange(n) for v in range(120)}
+    links = {(rng.randrange(120), rng.randrange(30)) for _ in range(400)}
+    home = _homes(spark, range(30), n)
+    want = {}
+    for v, here in label.items():
+        votes = [0.0] * n
+        for _, key in (own := [link for link in links if link[0] == v]):
+            votes[home[key]] += 0.5
+            for u, other in links:
+                votes[label[u]] += other == key
+        target = max(range(n), key=lambda j: (votes[j], -j))
+        if own and target != here:
+            want[v] = (target, votes[target] - votes[here])
+    labels = spark.createDataFrame([(v, 1, s) for v, s in label.items()], "v long, size long, shard int")
+    rows = shard._wishes(labels, spark.createDataFrame(sorted(links), "v long, key long"), n).collect()
+    assert {r.v: (r.target, r.gain) for r in rows} == want and len(rows) == len(want) > 20
+
+
+def _cut(links, label):
+    """Pairs of vertices that share a key and lie in different shards."""
+    by_key = {}
+    for v, key in links:
+        by_key.setdefault(key, []).append(v)
+    return sum(label[a] != label[b] for vs in by_key.values() for a, b in itertools.combinations(sorted(vs), 2))
+
+
+def test_cut_is_no_worse_than_that_of_moves_one_at_a_time(spark):
+    rng, n = random.Random(5), 4
+    sizes = {v: rng.randint(1, 9) for v in range(400)}
+    links = {(v, v // 10) for v in range(300)} | {(rng.randrange(300), 100 + k) for k in range(20) for _ in range(2)}
+    neighbours = {v: [u for own, key in links if own == v for u, other in links if other == key and u != v] for v in sizes}
+    start = {r.v: r.s for r in spark.range(400).select(F.col("id").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("s")).collect()}
+    plain, room = dict(start), sum(sizes.values()) / n + max(sizes.values())
+    for _ in range(6):                          # a vertex at a time goes where most neighbours are, if there is room
+        for v in range(300):
+            full = [sum(sizes[u] for u in sizes if plain[u] == j) for j in range(n)]
+            votes = [sum(plain[u] == j for u in neighbours[v]) for j in range(n)]
+            best = max((j for j in range(n) if j == plain[v] or full[j] + sizes[v] <= room), key=lambda j: (votes[j], j == plain[v]))
+            plain[v] = best
+    vertices = spark.createDataFrame(list(sizes.items()), "v long, size long")
+    found = {r.v: r.shard for r in shard.balanced_shards(vertices, spark.createDataFrame(sorted(links), "v long, key long"), n).collect()}
+    held = [sum(sizes[v] for v in sizes if found[v] == j) for j in range(n)]
+    print("cut: start, one at a time, found", _cut(links, start), _cut(links, plain), _cut(links, found), held)
+    assert set(found) == set(sizes) and max(held) - min(held) <= 2 * max(sizes.values())
+    assert _cut(links, found) <= _cut(links, plain) < _cut(links, start)
+
+
 def test_shards_of_odd_rows(odd, docs_of):
     found = shard.shard_documents(odd, 8).collect()
     assert len(found) == odd.count() and {r["size"] for r in found if r.doc_id == 1} == {1}
