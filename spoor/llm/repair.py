@@ -253,17 +253,18 @@ def _plan(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     crossed = (blocks.groupBy("key").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
                .select("key", F.inline(_crossings("pieces"))))
     edits = blocks.join(crossed, ["key", "block"]).select(
-        *ORDER, _edits("symbols", "enter", "leave", "ends").alias("edits"), "cost", "illegal")
+        *ORDER, "block", _edits("symbols", "enter", "leave", "ends").alias("edits"), "cost", "illegal")
     return counts, edits
 
 
 def _stream(rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """Each conversation's edits and rows in order: a block's edits come before the rows they are for."""
+    """Each conversation's edits and rows in order: a block's edits come before the rows they are for. Blocks that
+    begin with equal rows, copies that were cut apart, go by their number."""
     none = F.lit(None)
-    texts = rows.select(*ORDER, F.lit(1).alias("kind"), "text", none.cast("array<string>").alias("edits"),
+    texts = rows.select(*ORDER, F.lit(1).alias("kind"), none.cast("long").alias("block"), "text", none.cast("array<string>").alias("edits"),
                         none.cast("long").alias("cost"), none.cast("long").alias("illegal"))
-    plans = edits.select(*ORDER, F.lit(0).alias("kind"), none.cast("string").alias("text"), "edits", "cost", "illegal")
-    return texts.unionByName(plans).repartition("key").sortWithinPartitions(*ORDER, "kind").drop("digest", "turn")
+    plans = edits.select(*ORDER, F.lit(0).alias("kind"), "block", none.cast("string").alias("text"), "edits", "cost", "illegal")
+    return texts.unionByName(plans).repartition("key").sortWithinPartitions(*ORDER, "kind", "block").drop("digest", "turn", "block")
 
 
 def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:

@@ -130,6 +130,15 @@ def test_repair_of_long_texts_and_repeated_rows(spark):
     assert tuple(found)[:8] == (1, 0, 0, 49, 1, 49, 3 + 49 * 4, "KK" + "D" * 49)
 
 
+def test_stream_keeps_blocks_in_order(spark):
+    """Also blocks that begin with equal rows, as copies that the edge of a partition or of a block cuts apart."""
+    rows = spark.createDataFrame([("c1", 0, "user", "Same.", b"d")] * 3, "key string, turn long, role string, text string, digest binary")
+    plans = [("c1", 0, "user", b"d", block, edits, 8, 2) for block, edits in [(7, ["D", "I"]), (5, ["K"]), (6, ["D"])]]
+    edits = spark.createDataFrame(plans, "key string, turn long, role string, digest binary, block long, edits array<string>, cost long, illegal long")
+    found = repair._stream(rows, edits).filter("kind = 0").collect()
+    assert [r.edits for r in found] == [["K"], ["D"], ["D", "I"]]
+
+
 # --- secrets ------------------------------------------------------------------------------
 
 def _plain_spans(text):
