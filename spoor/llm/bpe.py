@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 BUCKETS = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)   # padded lengths of the matrices
 BUCKET_OF = [min(i for i, b in enumerate(BUCKETS) if b >= n) for n in range(BUCKETS[-1] + 1)]
 CELLS = 1 << 18        # cells of one matrix at most
-KEPT_WORDS = 400_000   # chunks a worker remembers before it forgets all
+KEPT_WORDS = 1 << 17   # chunks a worker remembers before it forgets all; it holds them while it does other work, too
 STOPS = tuple(".,;:!?")
 KEPT_BYTES = 64        # longer chunks are not remembered
 GROUP_CHARS = 1 << 22  # texts whose new pieces share matrices

@@ -18,10 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hand Python workers few rows at a time: texts may be megabytes long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+    """Hand Python workers few rows at a time, and read as few from files: texts may be megabytes long."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if int(spark.conf.get(key)) > rows:
+            spark.conf.set(key, str(rows))
 
 
 def narrow(df: DataFrame, **columns: str) -> DataFrame:

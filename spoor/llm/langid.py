@@ -124,6 +124,16 @@ def _centroids(idf: np.ndarray):
     return fit
 
 
+def _sample(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, lang, at, n of the rows whose doc_id is in ``ids``: at most SAMPLE_PER_LANG numbers for each language, a bounded table.
+
+    To the planner the counts are not deterministic: else it would count in the filter and again after it, with two workers a task.
+    """
+    counted = F.pandas_udf(_sparse, "at array<int>, n array<bigint>").asNondeterministic()("text")
+    return (rows.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", F.xxhash64("text").alias("h"), counted.alias("f"))
+            .filter("size(f.at) > 0").groupBy("doc_id", "lang").agg(F.min_by("f", "h").alias("f")).select("doc_id", "lang", "f.*"))
+
+
 def fit_languages(rows: DataFrame) -> LanguageModel:
     """Learn from ``rows`` (doc_id, text, lang); rows without lang or text are left out.
 
@@ -143,10 +153,7 @@ def fit_languages(rows: DataFrame) -> LanguageModel:
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = hash_sample(rows.select("doc_id", "lang"), "doc_id", SAMPLE_PER_LANG, ["lang"]).withColumn("n", F.row_number().over(first)).filter(
         F.col("n") <= SAMPLE_PER_LANG).select("doc_id").distinct()
-    # At most SAMPLE_PER_LANG numbers for each language: a bounded table.
-    counted = F.pandas_udf(_sparse, "at array<int>, n array<bigint>")("text")
-    sample = (rows.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", F.xxhash64("text").alias("h"), counted.alias("f"))
-              .filter("size(f.at) > 0").groupBy("doc_id", "lang").agg(F.min_by("f", "h").alias("f")).select("doc_id", "lang", "f.*"))
+    sample = _sample(rows, ids)
     fitted = sample.groupBy("lang").applyInPandas(
         _centroids(idf), "lang string, centroid int, vector array<double>").collect()
     fitted = sorted(fitted, key=lambda r: (r.lang, r.centroid))
